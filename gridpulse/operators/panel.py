@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridpulse.catalog import ELECTRICAL, MECHANICAL, SIGNAL_ALIASES, SIGNALS, THERMAL
-from gridpulse.functions.columns import epoch_hour, hour_start, nearest_hour
+from gridpulse.functions.columns import epoch_hour, fixed, hour_start, nearest_hour
 from gridpulse.functions.joins import attach_by_key
 from gridpulse.operators.clean import fill_edges, interpolate
 from gridpulse.operators.series import HOURLY, Series
@@ -56,7 +56,7 @@ def hourly_buckets(readings: DataFrame, last_tags: list[str] = MECHANICAL, decim
     )
 
     def shown(x: Column) -> Column:
-        return F.round(x, decimals) if decimals is not None else x
+        return fixed(x, decimals) if decimals is not None else x
 
     return agg.select(
         "asset_id",
