@@ -228,12 +228,19 @@ def degradation(have: set, p: Params = DEFAULT_PARAMS) -> Block:
 THERMAL_BLOCKS = [gradients, inertia, thermal_efficiency, thermal_stress, bubbling]
 ELECTRICAL_BLOCKS = [load_factors, efficiency, tap_changer, stability, electrical_stress, degradation]
 
+ROW_BLOCKS = [gradients, thermal_efficiency, load_factors, efficiency]
+
 
 def build(df: DataFrame, blocks: list = THERMAL_BLOCKS + ELECTRICAL_BLOCKS, p: Params = DEFAULT_PARAMS,
           s: Series = HOURLY) -> DataFrame:
-    """Run feature blocks over the panel in one pass. The halo covers the longest frame plus two chained differences."""
+    """Run feature blocks over the panel in one pass. The halo covers the longest frame plus two chained differences.
+
+    Blocks made of row formulas alone need no window and are a plain projection.
+    """
     have = set(df.columns)
     made = [block(have, p) for block in blocks]
+    if all(block in ROW_BLOCKS for block in blocks):
+        return df.withColumns({name: expr for b in made for step in b for name, expr in step(None).items()})
 
     def stage(i):
         return lambda w: {name: expr for b in made if i < len(b) for name, expr in b[i](w).items()}
