@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridpulse.catalog import DEFAULT_PARAMS, LABEL_COLUMNS, Params
 from gridpulse.operators.dataset import temporal_split
 from gridpulse.operators.features import ELECTRICAL_FEATURES, THERMAL_FEATURES, build
-from gridpulse.operators.labels import add_labels
+from gridpulse.operators.labels import add_labels, critical_event
 from gridpulse.operators.peaks import peak_counts
 from gridpulse.operators.series import HOURLY, Series
 from gridpulse.sources.store import materialize
@@ -26,7 +26,17 @@ def gold_features(silver: DataFrame, p: Params = DEFAULT_PARAMS, s: Series = HOU
 
 def gold(silver: DataFrame, event: Column | None = None, events: DataFrame | None = None,
          p: Params = DEFAULT_PARAMS, policy: str = "latest", s: Series = HOURLY) -> DataFrame:
-    """Features, labels and split. The feature table is written once: labels read it several times."""
-    features = materialize(gold_features(silver, p, s), "features")
-    labelled = add_labels(features, event, events, p, policy, s)
-    return temporal_split(labelled.select(*features.columns, *LABEL_COLUMNS), p.split_ratio, s)
+    """Features, labels and split.
+
+    Labels and split only need the time axis and the event flag, so their shuffles carry a few narrow columns; the
+    wide feature table takes part in one join at the end.
+    """
+    key = [*s.keys, s.time]
+    flag = event if event is not None else critical_event(silver)
+    axis = materialize(silver.select(*key, F.coalesce(flag, F.lit(False)).alias("__event")), "axis")
+    if events is not None:
+        labelled = add_labels(axis.drop("__event"), events=events, p=p, policy=policy, s=s)
+    else:
+        labelled = add_labels(axis, F.col("__event"), p=p, policy=policy, s=s).drop("__event")
+    labelled = temporal_split(labelled, p.split_ratio, s)
+    return gold_features(silver, p, s).join(labelled.select(*key, *LABEL_COLUMNS, "split"), key)

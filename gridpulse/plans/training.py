@@ -76,13 +76,14 @@ def train(gold: DataFrame, p: Params = DEFAULT_PARAMS, components: int = 8, ae_o
     scaler = fit_scaler(train_normal, cols)
     scaled = scale(encoded, scaler).withColumn("y", (~is_normal).cast("int"))
     valid = scaled.where(F.col("split") != TRAIN)
-    normal_scaled = scaled.where((F.col("split") == TRAIN) & is_normal)
+    normal_scaled = materialize(
+        scaled.where((F.col("split") == TRAIN) & is_normal).select(*key, *cols), "normal-scaled"
+    )
 
-    seq_train = materialize(sequences(normal_scaled, cols, p.lookback, p.horizon_shift, s=s), "windows-train")
-    if seq_train.limit(1).count() == 0:  # normal hours too scattered for consecutive windows
-        seq_train = materialize(
-            sequences(normal_scaled, cols, p.lookback, p.horizon_shift, allow_gaps=True, s=s), "windows-train"
-        )
+    # a window repeats its rows `lookback` times, so windows are formed on the fly and never stored
+    seq_train = sequences(normal_scaled, cols, p.lookback, p.horizon_shift, s=s)
+    if seq_train.isEmpty():  # normal hours too scattered for consecutive windows
+        seq_train = sequences(normal_scaled, cols, p.lookback, p.horizon_shift, allow_gaps=True, s=s)
     seq_valid = sequences(valid, cols, p.lookback, p.horizon_shift, s=s)
     recon = fit_reconstruction(seq_train, cols, components)
     err_train = materialize(recon.errors(seq_train).select(*key, "recon_error"), "errors-train")

@@ -39,13 +39,12 @@ def conform(df: DataFrame) -> DataFrame:
 def append(df: DataFrame, path: str, fmt: str = "parquet", max_rows_per_file: int = 5_000_000) -> None:
     """Append partitioned by tag and date.
 
-    Rows are shuffled by partition value plus a salt from the hour of day, so each directory gets few files and a tag
-    with very many rows is still written by several tasks.
+    Rows are rebalanced by partition value: adaptive execution merges small partitions, so a directory gets few files,
+    and splits a very large one, so a tag with very many rows is still written by many tasks.
     """
-    d = conform(df).withColumn("__slot", F.coalesce(F.hour("timestamp"), F.lit(0)) % 4)
     (
-        d.repartition("tag", "date", "__slot")
-        .drop("__slot")
+        conform(df)
+        .hint("rebalance", "tag", "date")
         .write.format(fmt)
         .mode("append")
         .option("maxRecordsPerFile", max_rows_per_file)

@@ -24,11 +24,8 @@ def write_gold(df: DataFrame, path: str, fmt: str = "parquet", time: str = "ts")
 
 def _write(df: DataFrame, path: str, fmt: str, parts: list[str]) -> None:
     # static overwrite: a rewritten table must not keep partitions of its former content
-    slot = F.pmod(F.xxhash64(*[c for c in ("asset_id", "ts") if c in df.columns]), F.lit(8))
     (
-        df.withColumn("__slot", slot)
-        .repartition(*parts, "__slot")
-        .drop("__slot")
+        df.hint("rebalance", *parts)
         .write.format(fmt)
         .mode("overwrite")
         .option("partitionOverwriteMode", "static")
