@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridpulse.catalog import OPERATING, SIGNALS
+from gridpulse.catalog import OPERATING, SIGNALS, category_of
 from gridpulse.models import prep
 from gridpulse.operators import dataset as ds, quality, series
 from gridpulse.plans.gold import gold
 from gridpulse.session import fresh_dir
 from gridpulse.sources import tables
 from gridpulse.sources.store import once
-from gridpulse.suite.base import clean, panel, query, silver
+from gridpulse.sources.bronze import distinct_tags
+from gridpulse.suite.base import clean, panel, query, readings, silver
 from gridpulse.suite.labels import LIMIT, _EV, _SEV, timed
-from gridpulse.suite.sql import TO_CLEAN, TO_PANEL, TO_SILVER, hour_ts, r, with_
+from gridpulse.suite.sql import READINGS, TO_CLEAN, TO_PANEL, TO_SILVER, hour_ts, r, with_
 
 HOT, OIL, CUR, POW = "temp_spot_hot_value", "temp_oil_value", "current_load_value", "power_apparent_value"
 
@@ -214,6 +215,25 @@ def silver_table(spark, sf):
     )
 
 
+_CATS = "CASE WHEN tag LIKE 'temp%' THEN 'Térmica' WHEN tag LIKE 'tap%' THEN 'Mecánica' ELSE 'Eléctrica' END"
+
+
+@query("variables_per_category", with_([READINGS], f"SELECT {_CATS} AS categoria_tecnica, count(DISTINCT tag) AS variables FROM readings GROUP BY 1"))
+def variables_per_category(spark, sf):
+    """A catalogue of the tags present, written as CSV and read back."""
+    kinds = F.create_map(*[F.lit(x) for c in SIGNALS for x in (c, category_of(c)[0])])
+    found = distinct_tags(readings(spark, sf)).select(F.col("tag").alias("variable"), kinds[F.col("tag")].alias("categoria_tecnica"))
+    path = fresh_dir(spark, "variables")
+    found.write.option("header", True).csv(path)
+    return tables.variables_per_category(tables.read_variables(spark, path))
+
+
+@query("event_period", with_([*TO_CLEAN, *_EV], "SELECT asset_id, count(*) AS eventos, " + hour_ts("min(hour)") + " AS primero, " + hour_ts("max(hour)") + " AS ultimo FROM ev GROUP BY asset_id"))
+def event_period(spark, sf):
+    hit = clean(spark, sf).where(F.col(HOT) >= LIMIT)
+    return hit.groupBy("asset_id").agg(F.count(F.lit(1)).alias("eventos"), F.min("ts").alias("primero"), F.max("ts").alias("ultimo"))
+
+
 @query("anomaly_subset", with_(TO_SILVER, "SELECT asset_id, ts, estado_operacional FROM silver WHERE estado_operacional IN ('ALERTA', 'CRITICO')"))
 def anomaly_subset(spark, sf):
     return tables.anomalies(spark, silver(spark, sf)).select("asset_id", "ts", "estado_operacional")
@@ -227,9 +247,75 @@ def gold_table(spark, sf):
     return once(spark, ("gold", sf), make)
 
 
-@query("gold_dataset")
+def _gold_sql() -> str:
+    """Every column of the dataset, put together from the statements of the single features and labels."""
+    from gridpulse.operators.features import ELECTRICAL_FEATURES, THERMAL_FEATURES
+    from gridpulse.suite import features as f
+    from gridpulse.suite.sql import diff, roll
+
+    rolled = {
+        **{f"{c}_rate": f"{c}_rate" for c in f.TEMPS},
+        **{f"{c}_accel": diff(f"{c}_rate") for c in f.TEMPS},
+        **{f"{c}_rate_smooth": roll("avg", f"{c}_rate", 6) for c in f.TEMPS},
+        "gradient_hot_oil": f"{f.HOT} - {f.OIL}",
+        "gradient_normalized": f"({f.HOT} - {f.OIL}) / ({f.OIL} - {f.AMB} + 1e-6)",
+        "temp_rise_hot": f"{f.HOT} - {f.AMB}",
+        "temp_rise_oil": f"{f.OIL} - {f.AMB}",
+        "thermal_efficiency": f"({f.OIL} - {f.AMB}) / ({f.CUR} + 1e-6)",
+        "thermal_loading_factor": f"({f.OIL} - {f.AMB}) / 25.0",
+        "thermal_cycles_7d": f"CAST(sum(peak) OVER ({f.W} ROWS BETWEEN 168 PRECEDING AND CURRENT ROW) AS DOUBLE)",
+        "thermal_stress_index": f"0.7 * ({f.HOT} / 100.0) + 0.3 * (({f.HOT} - {f.OIL}) / 25.0)",
+        "overheating_trend": f._TREND,
+        "bubbling_anomaly": f"({f.BUB} - {roll('avg', f.BUB, 168, 24)}) / ({roll('stddev_samp', f.BUB, 168, 24)} + 1e-6)",
+        "gas_formation_trend": f"{roll('avg', f.BUB, 720, 168)} - {roll('avg', f.BUB, 168, 24)}",
+        "load_factor_current": f._LOAD, "load_factor_power": f._LOADP,
+        "efficiency_indicator": "eff", "relative_losses": "1.0 - eff",
+        "power_factor_estimated": f"({f.POW} * 0.9) / ({f.POW} + 1e-6)",
+        **{f"tap_operations_{n // 24}d": roll("sum", "step", n) for n in (24, 168, 720)},
+        "tap_deviation_center": f"abs({f.TAP} - 8.5)", "tap_instability": roll("stddev_samp", "step", 24),
+        **{f"{c}_stability": f"{roll('stddev_samp', c, 24, 6)} / ({roll('avg', c, 24, 6)} + 1e-6)" for c in (f.CUR, f.VOL, f.POW)},
+        "electrical_stress_index": f"0.6 * {f._LOAD} + 0.4 * (1.0 - eff)",
+        "efficiency_degradation_trend": "trend", "efficiency_degradation_accel": diff("trend"),
+    }
+    flags = {
+        "overload_indicator": f"coalesce({f._LOAD} > 1.2, false) OR coalesce({f._LOADP} > 1.2, false)",
+        "tap_extreme_position": f"{f.TAP} <= 2 OR {f.TAP} >= 15",
+        **{f"{c}_transient": f"coalesce(abs({diff(c)}) > {roll('stddev_samp', c, 168, 168)} * 2, false)" for c in (f.CUR, f.VOL, f.POW)},
+        "suboptimal_operation": f"coalesce({f._LOAD} < 0.3 OR {f._LOAD} > 1.1, false) OR coalesce(eff < 0.95, false)",
+    }
+    cols = [
+        r(rolled[c], c) if c in rolled else f"CAST({flags[c]} AS INTEGER) AS {c}" for c in THERMAL_FEATURES + ELECTRICAL_FEATURES
+    ]
+    steps = ", ".join(f"{diff(c)} AS {c}_rate" for c in f.TEMPS)
+    ctes = [
+        *TO_SILVER,
+        *f._PEAKS,
+        f"""g1 AS (SELECT s.*, m.peak, {steps.replace("PARTITION BY asset_id ORDER BY hour", "PARTITION BY s.asset_id ORDER BY s.hour")},
+            abs({diff(f.TAP)}) AS step, {f._EFF} AS eff FROM silver s JOIN marked m USING (asset_id, hour, ts))""".replace(
+            "OVER (PARTITION BY asset_id ORDER BY hour)", "OVER (PARTITION BY s.asset_id ORDER BY s.hour)"),
+        f"g2 AS (SELECT *, {roll('avg', 'eff', 720, 168)} - {roll('avg', 'eff', 24, 12)} AS trend FROM g1)",
+        f"feats AS (SELECT asset_id, hour, ts, {', '.join(r(c, c) for c in SIGNALS)}, estado_operacional, nivel_severidad, variables_anomalas, descripcion_anomalia, {', '.join(cols)} FROM g2)",
+        *_EV,
+        """nxt AS (SELECT c.asset_id, c.hour, least(coalesce((e.hour - c.hour) / 24.0, 30.0), 30.0) AS days
+            FROM clean c ASOF LEFT JOIN ev e ON c.asset_id = e.asset_id AND c.hour < e.hour)""",
+        """risk0 AS (SELECT c.asset_id, c.hour, coalesce(sum(exp(-abs(c.hour - e.hour) / 360.0)), 0) AS risk
+            FROM clean c LEFT JOIN ev e ON e.asset_id = c.asset_id GROUP BY c.asset_id, c.hour)""",
+        "risk AS (SELECT *, max(risk) OVER (PARTITION BY asset_id) AS top FROM risk0)",
+        _SPLIT.format(src="clean"),
+    ]
+    state = "CASE WHEN rul <= 7 THEN 'CRITICO' WHEN rul <= 15 THEN 'ALERTA' ELSE 'NORMAL' END"
+    return with_(ctes, f"""SELECT feats.* EXCLUDE (hour), falla AS falla_30d, {state} AS estado_futuro, {r('rul', 'rul_dias')},
+        {r(_SEV, 'severidad_futura')}, {r('days', 'dias_proximo_evento')}, {r('exp(-days / 10.0)', 'proximidad_evento')},
+        {r('CASE WHEN top > 0 THEN risk / top ELSE risk END', 'riesgo_acumulativo')}, split
+        FROM feats JOIN (SELECT asset_id, hour, falla, rul FROM rul) USING (asset_id, hour) JOIN nxt USING (asset_id, hour)
+        JOIN risk USING (asset_id, hour) JOIN (SELECT asset_id, hour, split FROM parts) USING (asset_id, hour)""")
+
+
+@query("gold_dataset", _gold_sql())
 def gold_dataset(spark, sf):
-    return gold_table(spark, sf)
+    from gridpulse.suite.panels import _without_number
+
+    return _without_number(gold_table(spark, sf))
 
 
 @query(

@@ -312,3 +312,31 @@ def load_factor_rule(spark, sf):
 def classify_outside_bands(spark, sf):
     d = clean(spark, sf).select("asset_id", "ts", TAP)
     return rules.classify(d, bands="outside").groupBy("estado_operacional").agg(F.count(F.lit(1)).alias("registros"))
+
+
+def _bands_sql() -> str:
+    from gridpulse.catalog import RULES
+    from gridpulse.operators.rules import rule_columns
+
+    parts = []
+    for rule in RULES:
+        for c in rule_columns(SIGNALS, rule.variable):
+            for band, (lo, hi) in (("normal", rule.normal), ("alerta", rule.alert), ("critico", rule.critical)):
+                top = f" AND {c} < {hi}" if hi != float("inf") else ""
+                parts.append(f"SELECT '{c}' AS columna, '{band}' AS band, count(*) AS horas FROM clean WHERE {c} >= {lo}{top} HAVING count(*) > 0")
+    return " UNION ALL ".join(parts)
+
+
+@query("rule_band_hours", with_(TO_CLEAN, _bands_sql()))
+def rule_band_hours(spark, sf):
+    """The rule table joined to the long panel by range: hours of each column inside each band."""
+    from gridpulse.catalog import RULES
+
+    table = rules.rules_table(spark)
+    use = spark.createDataFrame(
+        [(r.variable, c) for r in RULES for c in rules.rule_columns(SIGNALS, r.variable)], "variable string, columna string"
+    )
+    bands = F.broadcast(table.join(use, "variable"))  # one row per rule, column and band: fixed by the rule set
+    long = clean(spark, sf).unpivot(["asset_id", "ts"], SIGNALS, "columna", "valor")
+    inside = (F.col("valor") >= F.col("min")) & (F.col("valor") < F.col("max"))
+    return long.join(bands, "columna").where(inside).groupBy("columna", "band").agg(F.count(F.lit(1)).alias("horas"))
