@@ -74,3 +74,16 @@ def float_text_to_double(text: Column) -> Column:
         F.when(s.rlike(numeric) | named, s.try_cast("double"))
         .when(dotted.rlike(numeric), dotted.try_cast("double"))
     )
+
+
+def one_decimal(x: Column) -> Column:
+    """Non-negative number as text with one decimal, rounded by its exact binary value and half to even.
+
+    The built-in formatter rounds the shortest decimal form half up instead. With m/20 the middle of the cell that x
+    lies in, (16x - m) + 4x is 20x - m without rounding error, so its sign decides exactly.
+    """
+    cell = F.floor(x * 10)
+    middle = (cell * 2 + 1).cast("double")
+    rest = (x * 16 - middle) + x * 4
+    up = (rest > 0) | ((rest == 0) & (cell % 2 == 1))
+    return F.format_string("%.1f", (cell + up.cast("int")) / F.lit(10.0))

@@ -8,7 +8,7 @@ from gridpulse.catalog import (
     ALERT, COMBINED_RULES, CRITICAL, GRADIENT_LIMIT, GRADIENT_TEXT, NORMAL, OVERLOAD_CURRENT, OVERLOAD_OIL,
     OVERLOAD_TEXT, RULES, Rule,
 )
-from gridpulse.functions.columns import any_of, flag
+from gridpulse.functions.columns import any_of, flag, one_decimal
 from gridpulse.operators.series import HOURLY, Series, over_chunks, rows
 
 NOT_DATA = {"asset_id", "ts"}
@@ -70,7 +70,7 @@ def classify(df: DataFrame, rules: list[Rule] = RULES, bands: str = "parity") ->
     steep = [F.when(F.col(h) - F.col(o) > GRADIENT_LIMIT, F.col(h) - F.col(o)) for h in hots for o in oils]
     gradient = F.when(~critical, F.coalesce(*steep)) if steep else F.lit(None).cast("double")
     alert = any_of(alerts) | gradient.isNotNull()
-    gradient_text = F.format_string(f"{GRADIENT_TEXT} (%.1f°C)", gradient)
+    gradient_text = F.concat(F.lit(f"{GRADIENT_TEXT} ("), one_decimal(gradient), F.lit("°C)"))
     return df.withColumns(
         {
             "estado_operacional": F.when(critical, CRITICAL).when(alert, ALERT).otherwise(NORMAL),

@@ -67,7 +67,7 @@ def with_date_partition(df: DataFrame, time: str = "timestamp") -> DataFrame:
 def load_windows(spans: DataFrame, days: int = 15) -> DataFrame:
     """Split each (start, end) row into load windows of at most `days`; the next starts a second after the last end."""
     step = f"interval {days} days 1 second"
-    starts = F.expr(f"sequence(start, end - interval 1 microsecond, {step})")
+    starts = F.expr(f"sequence(start, greatest(start, end - interval 1 microsecond), {step})")
     keys = [c for c in spans.columns if c not in ("start", "end")]
     return (
         spans.where(F.col("start") < F.col("end"))

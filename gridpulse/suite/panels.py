@@ -240,18 +240,13 @@ def quality_report(spark, sf):
 
 # ---- classification ---------------------------------------------------------------------------------------------
 
-def _without_number(df):
-    # engines format decimal ties differently, so the printed gradient itself is left out of the comparison
-    return df.withColumn("descripcion_anomalia", F.regexp_replace("descripcion_anomalia", r"\([0-9.]+°C\)", "(#°C)"))
-
-
 @query(
     "classify_states",
     with_(TO_SILVER, "SELECT asset_id, ts, estado_operacional, nivel_severidad, variables_anomalas, descripcion_anomalia FROM silver"),
 )
 def classify_states(spark, sf):
     cols = ["asset_id", "ts", "estado_operacional", "nivel_severidad", "variables_anomalas", "descripcion_anomalia"]
-    return _without_number(silver(spark, sf)).select(*cols)
+    return silver(spark, sf).select(*cols)
 
 
 @query("state_counts", with_(TO_SILVER, f"SELECT estado_operacional, count(*) AS registros, {r('count(*) * 100.0 / sum(count(*)) OVER ()', 'porcentaje')} FROM silver GROUP BY ALL"))

@@ -145,7 +145,7 @@ def classified() -> list[str]:
         CASE WHEN {crit} THEN 2 WHEN {' OR '.join(alerts)} OR {grad} IS NOT NULL THEN 1 ELSE 0 END AS nivel_severidad,
         concat_ws(', ', {', '.join(names)}) AS variables_anomalas,
         concat_ws('; ', {', '.join(texts)}, CASE WHEN {overload} THEN '{OVERLOAD_TEXT}' END,
-                  CASE WHEN {grad} IS NOT NULL THEN '{GRADIENT_TEXT} (#°C)' END) AS descripcion_anomalia
+                  CASE WHEN {grad} IS NOT NULL THEN '{GRADIENT_TEXT} (' || format('{{:.1f}}', {grad}) || '°C)' END) AS descripcion_anomalia
         FROM hits)""",
     ]
 
