@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from gridpulse.catalog import DEFAULT_PARAMS, Params
 from gridpulse.functions.columns import flag, ratio
-from gridpulse.operators.series import HOURLY, Series, over_chunks, rows
+from gridpulse.operators.series import HOURLY, Series, over_chunks, rows, running
 
 OIL, HOT, AMBIENT = "temp_oil_value", "temp_spot_hot_value", "temp_ambient_value"
 OLTC, BUBBLING = "temp_oil_oltc_value", "temp_bubbling_value"
@@ -56,6 +56,34 @@ def rolling_std(x: Column, w: WindowSpec, window: int, min_periods: int) -> Colu
     return rolling(F.stddev_samp(x), x, w, window, min_periods)
 
 
+def totals(cols: list[str], w: WindowSpec) -> dict[str, Column]:
+    """Running sum and count of each column inside the chunk.
+
+    A sliding frame is evaluated anew for every row, at a cost of its length. Long means and sums are taken as
+    differences of these running totals instead, at the same cost for any length. Totals restart with each chunk, so
+    they stay small enough not to lose digits.
+    """
+    upto = running(w)
+    return {
+        f"__{k}_{c}": f(F.col(c)).over(upto) for c in cols for k, f in (("sum", F.sum), ("cnt", F.count))
+    }
+
+
+def _last(kind: str, col: str, w: WindowSpec, window: int) -> Column:
+    total = F.coalesce(F.col(f"__{kind}_{col}"), F.lit(0))
+    return total - F.coalesce(F.lag(f"__{kind}_{col}", window).over(w), F.lit(0))
+
+
+def total_sum(col: str, w: WindowSpec, window: int) -> Column:
+    """Sum over the last `window` rows from running totals; NULL while no value was seen."""
+    return F.when(_last("cnt", col, w, window) > 0, _last("sum", col, w, window))
+
+
+def total_mean(col: str, w: WindowSpec, window: int, min_periods: int) -> Column:
+    n = _last("cnt", col, w, window)
+    return F.when(n >= min_periods, F.try_divide(_last("sum", col, w, window), n))
+
+
 def diff(x: Column, w: WindowSpec) -> Column:
     return x - F.lag(x).over(w)
 
@@ -103,13 +131,10 @@ def thermal_efficiency(have: set, p: Params = DEFAULT_PARAMS) -> Block:
 def thermal_stress(have: set, p: Params = DEFAULT_PARAMS) -> Block:
     if not {HOT, OIL} <= have:
         return []
-    oil = F.col(OIL)
+    index = 0.7 * (F.col(HOT) / p.nominal_hot) + 0.3 * ((F.col(HOT) - F.col(OIL)) / p.gradient_limit)
     return [
-        lambda w: {
-            "thermal_stress_index": 0.7 * (F.col(HOT) / p.nominal_hot)
-            + 0.3 * ((F.col(HOT) - oil) / p.gradient_limit),
-            "overheating_trend": rolling_mean(oil, w, MONTH, WEEK) - rolling_mean(oil, w, DAY, 12),
-        }
+        lambda w: {"thermal_stress_index": index, **totals([OIL], w)},
+        lambda w: {"overheating_trend": total_mean(OIL, w, MONTH, WEEK) - total_mean(OIL, w, DAY, 12)},
     ]
 
 
@@ -119,13 +144,13 @@ def bubbling(have: set, p: Params = DEFAULT_PARAMS) -> Block:
     x = F.col(BUBBLING)
 
     def stage(w):
-        week = rolling_mean(x, w, WEEK, DAY)
+        week = total_mean(BUBBLING, w, WEEK, DAY)
         return {
-            "bubbling_anomaly": (x - week) / (rolling_std(x, w, WEEK, DAY) + p.eps),
-            "gas_formation_trend": rolling_mean(x, w, MONTH, WEEK) - week,
+            "bubbling_anomaly": (x - week) / (F.stddev_samp(x).over(rows(w, WEEK)) + p.eps),
+            "gas_formation_trend": total_mean(BUBBLING, w, MONTH, WEEK) - week,
         }
 
-    return [stage]
+    return [lambda w: totals([BUBBLING], w), stage]
 
 
 # ---- electrical -------------------------------------------------------------------------------------------------
@@ -174,11 +199,9 @@ def tap_changer(have: set, p: Params = DEFAULT_PARAMS) -> Block:
             "tap_deviation_center": F.abs(tap - p.tap_center),
             "tap_extreme_position": flag((tap <= 2) | (tap >= 15)),
         },
+        lambda w: {"tap_instability": rolling_std(step, w, DAY, 1), **totals(["__tap_step"], w)},
         lambda w: {
-            "tap_operations_1d": F.sum(step).over(rows(w, DAY)),
-            "tap_operations_7d": F.sum(step).over(rows(w, WEEK)),
-            "tap_operations_30d": F.sum(step).over(rows(w, MONTH)),
-            "tap_instability": rolling_std(step, w, DAY, 1),
+            f"tap_operations_{n // DAY}d": total_sum("__tap_step", w, n) for n in (DAY, WEEK, MONTH)
         },
     ]
 
@@ -190,11 +213,14 @@ def stability(have: set, p: Params = DEFAULT_PARAMS) -> Block:
         out = {}
         for v in cols:
             x = F.col(v)
-            out[f"{v}_stability"] = ratio(rolling_std(x, w, DAY, 6), rolling_mean(x, w, DAY, 6) + p.eps)
-            out[f"{v}_transient"] = flag(F.abs(diff(x, w)) > rolling_std(x, w, WEEK, WEEK) * 2)
+            enough = _last("cnt", v, w, DAY) >= 6
+            spread = F.when(enough, F.stddev_samp(x).over(rows(w, DAY)))
+            out[f"{v}_stability"] = ratio(spread, total_mean(v, w, DAY, 6) + p.eps)
+            full = _last("cnt", v, w, WEEK) >= WEEK
+            out[f"{v}_transient"] = flag(full & (F.abs(diff(x, w)) > F.stddev_samp(x).over(rows(w, WEEK)) * 2))
         return out
 
-    return [stage]
+    return [lambda w: totals(cols, w), stage]
 
 
 def electrical_stress(have: set, p: Params = DEFAULT_PARAMS) -> Block:
@@ -215,12 +241,11 @@ def electrical_stress(have: set, p: Params = DEFAULT_PARAMS) -> Block:
 def degradation(have: set, p: Params = DEFAULT_PARAMS) -> Block:
     if not {CURRENT, VOLTAGE, POWER} <= have:
         return []
-    eff, trend = F.col("efficiency_indicator"), F.col("efficiency_degradation_trend")
+    eff, trend = "efficiency_indicator", F.col("efficiency_degradation_trend")
     return [
         lambda w: {},
-        lambda w: {
-            "efficiency_degradation_trend": rolling_mean(eff, w, MONTH, WEEK) - rolling_mean(eff, w, DAY, 12)
-        },
+        lambda w: totals([eff], w),
+        lambda w: {"efficiency_degradation_trend": total_mean(eff, w, MONTH, WEEK) - total_mean(eff, w, DAY, 12)},
         lambda w: {"efficiency_degradation_accel": diff(trend, w)},
     ]
 
@@ -246,7 +271,8 @@ def build(df: DataFrame, blocks: list = THERMAL_BLOCKS + ELECTRICAL_BLOCKS, p: P
         return lambda w: {name: expr for b in made if i < len(b) for name, expr in b[i](w).items()}
 
     depth = max((len(b) for b in made), default=0)
-    return over_chunks(df, [stage(i) for i in range(depth)], s, before=MONTH + 2, drop=["__tap_step"])
+    out = over_chunks(df, [stage(i) for i in range(depth)], s, before=MONTH + 2)
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 # ---- generic lags and rolling statistics ------------------------------------------------------------------------
