@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridpulse.sources.store import materialize
+
 SALTS = 32
+BROADCAST_ROWS = 200_000
 
 
-def attach_by_key(df: DataFrame, facts: DataFrame, keys: list[str], spread: Column, salts: int = SALTS) -> DataFrame:
-    """Left-join one-row-per-key `facts`.
+def attach_by_key(df: DataFrame, facts: DataFrame, keys: list[str], spread: Column, salts: int = SALTS,
+                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Left-join `facts`, a narrow table with one row per key.
 
-    The fact side is replicated over `salts` sub-keys and the row side takes its sub-key from `spread`, so a key
-    holding a third of all rows still lands in many tasks. Nothing is broadcast by hint: AQE turns the join into a
-    broadcast only when the measured size of `facts` is below the session threshold.
+    The facts are written first, so their size is known before the large side is touched. Up to `broadcast_rows` they
+    are broadcast and the rows of `df` are not shuffled at all. Beyond, they are replicated over `salts` sub-keys and
+    each row takes its sub-key from `spread`, so a key holding a third of all rows still lands in many tasks.
     """
+    facts = materialize(facts, "facts")
+    if facts.count() <= broadcast_rows:
+        return df.join(F.broadcast(facts), keys, "left")
     wide = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))

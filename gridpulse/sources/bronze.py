@@ -117,7 +117,7 @@ def unify_value(df: DataFrame, keys: list[str] = ("asset_id", "tag")) -> DataFra
     """One numeric value per row; which channel is used is decided per tag, not per row.
 
     Numbers if the tag has any, else texts that parse, else booleans as 0/1. The decision is one small row per tag,
-    aggregated map-side and attached with a salted join, so a tag owning most rows does not end up in one task.
+    aggregated map-side and attached by key, so a tag owning most rows does not end up in one task.
     """
     from gridpulse.functions.columns import float_text_to_double
 
