@@ -79,7 +79,7 @@ def _fill(df: DataFrame, s: Series, line: list[str], edges: str, forward: list[s
     """One pass over the chunks for every column to fill: straight lines, forward fill, backward fill."""
     last, first = {}, {}
     for c in line:
-        known = F.when(F.col(c).isNotNull(), axis)
+        known = F.when(F.col(c).isNotNull(), F.col("__x"))  # the named column keeps both branches of the fill alike
         last |= {f"__pv_{c}": F.col(c), f"__pt_{c}": known}
         first |= {f"__nv_{c}": F.col(c), f"__nt_{c}": known}
     for c in [*forward, *backward]:

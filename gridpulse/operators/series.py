@@ -14,6 +14,8 @@ Both give the same result as one window over the whole series. Row frames assume
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -79,10 +81,8 @@ def by_chunk(df: DataFrame, s: Series = HOURLY) -> DataFrame:
     The callers split this into a summary branch and a row branch and join them again. Stating the shuffle and the
     non-null keys here gives both branches the same exchange, which Spark then runs once and reuses.
     """
-    d = add_chunk(df, s)
-    for c in s.by_chunk:
-        d = d.where(F.col(c).isNotNull())
-    return d.repartition(*s.by_chunk)
+    named = reduce(and_, [F.col(c).isNotNull() for c in s.by_chunk])
+    return add_chunk(df, s).where(named).repartition(*s.by_chunk)
 
 
 def with_halo(df: DataFrame, s: Series, before: int, after: int) -> DataFrame:
@@ -149,7 +149,8 @@ def fill_across(
 
 def with_position(df: DataFrame, s: Series = HOURLY, name: str = "pos", length: str | None = None) -> DataFrame:
     """0-based row position inside each series and, if asked, the series length, without one task per series."""
-    d = by_chunk(df, s)
+    d = add_chunk(df, s)
+    # counting needs two narrow columns and is reduced before its shuffle, so it does not share the rows' exchange
     per_chunk = d.groupBy(*s.by_chunk).agg(F.count(F.lit(1)).alias("__n"))
     facts = per_chunk.select(
         *s.by_chunk,

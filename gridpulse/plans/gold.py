@@ -34,9 +34,9 @@ def gold(silver: DataFrame, event: Column | None = None, events: DataFrame | Non
     key = [*s.keys, s.time]
     flag = event if event is not None else critical_event(silver)
     axis = materialize(silver.select(*key, F.coalesce(flag, F.lit(False)).alias("__event")), "axis")
+    axis = temporal_split(axis, p.split_ratio, s)
     if events is not None:
         labelled = add_labels(axis.drop("__event"), events=events, p=p, policy=policy, s=s)
     else:
         labelled = add_labels(axis, F.col("__event"), p=p, policy=policy, s=s).drop("__event")
-    labelled = temporal_split(labelled, p.split_ratio, s)
     return gold_features(silver, p, s).join(labelled.select(*key, *LABEL_COLUMNS, "split"), key)

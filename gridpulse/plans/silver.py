@@ -22,7 +22,9 @@ def panel_table(buckets: DataFrame, tags: list[str] = SIGNALS, max_days: float |
 
 
 def clean_panel(panel: DataFrame, tags: list[str] = SIGNALS, s: Series = HOURLY) -> DataFrame:
-    return impute(nullify_implausible(consolidate(panel, tags, s), tags), tags, s)
+    """Consolidation fill, plausibility, final fill. Written in between: each fill reads its input in two branches."""
+    plausible = materialize(nullify_implausible(consolidate(panel, tags, s), tags), "plausible")
+    return impute(plausible, tags, s)
 
 
 def silver(readings: DataFrame, tags: list[str] = SIGNALS, decimals: int | None = None,
