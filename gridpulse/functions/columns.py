@@ -56,6 +56,11 @@ def min_max_scale(x: Column, lo: Column, hi: Column) -> Column:
     return (x - lo) / F.greatest(hi - lo, F.lit(1e-12))
 
 
+def batch_scale(x: Column, lo: Column, hi: Column) -> Column:
+    """Scaling of a request by its own range; a constant request scores 0."""
+    return (x - lo) / (hi - lo + F.lit(1e-8))
+
+
 def weighted_score(first: Column, second: Column, alpha: float) -> Column:
     return F.lit(alpha) * first + F.lit(1.0 - alpha) * second
 

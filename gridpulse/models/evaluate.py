@@ -58,9 +58,9 @@ def best_fbeta(table: DataFrame, beta: float = 2.0, grid: int = 400) -> DataFram
     Without any positive F-beta the result is beta 0 and an empty threshold.
     """
     spark = table.sparkSession
-    bounds = table.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    lo, hi, step = F.col("lo"), F.col("hi"), F.col("step")
-    bounds = bounds.withColumn("step", (hi - lo) / F.lit(float(grid - 1)))
+    seen = table.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    low, high = (seen["lo"] or 0.0), (seen["hi"] or 0.0)
+    lo, hi, step = F.lit(low), F.lit(high), F.lit((high - low) / (grid - 1))
 
     def at(i: Column) -> Column:
         return F.when(i == grid - 1, hi).otherwise(i * step + lo)
@@ -71,8 +71,7 @@ def best_fbeta(table: DataFrame, beta: float = 2.0, grid: int = 400) -> DataFram
         ((guess + k >= 0) & (guess + k <= grid - 1) & (at(guess + k) < F.col("score"))).cast("int") for k in (-1, 0, 1)
     ) + (guess == 0).cast("int")
     cells = (
-        table.crossJoin(F.broadcast(bounds))  # bounds is one row
-        .withColumn("cell", below.cast("int"))
+        table.withColumn("cell", below.cast("int"))
         .groupBy("cell")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
@@ -91,8 +90,7 @@ def best_fbeta(table: DataFrame, beta: float = 2.0, grid: int = 400) -> DataFram
     fb = F.coalesce(F.try_divide((1 + b2) * F.col("precision") * F.col("recall"), b2 * F.col("precision") + F.col("recall")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
     best = (
-        counted.crossJoin(F.broadcast(bounds))
-        .withColumns({"threshold": at(F.col("i")), "precision": prec, "recall": rec})
+        counted.withColumns({"threshold": at(F.col("i")), "precision": prec, "recall": rec})
         .withColumns({"fbeta": fb, "f1": f1})
         .orderBy(F.col("fbeta").desc(), F.col("i"))
         .limit(1)
@@ -109,8 +107,10 @@ def operating_threshold(df: DataFrame, score: str = "score", truth: str = "y", b
     """The greater of the F-beta and the minimum-precision threshold."""
     t = threshold_table(df, score, truth)
     f = best_fbeta(t, beta).select(F.col("threshold").alias("thr_fbeta"), "fbeta")
-    m = min_precision_threshold(t, target).select(F.col("threshold").alias("thr_precision"))
-    return f.crossJoin(m).withColumn("operate_thr", F.greatest("thr_fbeta", "thr_precision"))  # one row each
+    lowest = min_precision_threshold(t, target).first()["threshold"]
+    return f.withColumn("thr_precision", F.lit(lowest).cast("double")).withColumn(
+        "operate_thr", F.greatest("thr_fbeta", "thr_precision")
+    )
 
 
 def quantile_threshold(df: DataFrame, score: str = "score", q: float = 0.95) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridpulse.catalog import DEFAULT_PARAMS, LABEL_COLUMNS, LEAK_COLUMNS, SIGNALS, STATE_COLUMNS, Params
 from gridpulse.operators.features import ELECTRICAL_FEATURES, THERMAL_FEATURES
@@ -28,9 +28,9 @@ def fleet_cut(df: DataFrame, ratio: float = DEFAULT_PARAMS.split_ratio, s: Serie
 
 
 def split_at(df: DataFrame, cut: DataFrame, s: Series = HOURLY) -> DataFrame:
-    """Split the whole fleet at one time; `cut` is a single row."""
-    d = df.crossJoin(F.broadcast(cut))
-    return d.withColumn("split", F.when(F.col(s.time) < F.col("cut"), TRAIN).otherwise(VALIDATION)).drop("cut")
+    """Split the whole fleet at one time; `cut` is a single row, as made by fleet_cut."""
+    micros = cut.select(F.unix_micros("cut")).first()[0]
+    return df.withColumn("split", F.when(F.col(s.time) < F.timestamp_micros(F.lit(micros)), TRAIN).otherwise(VALIDATION))
 
 
 def split_summary(df: DataFrame, s: Series = HOURLY, label: str = "falla_30d") -> DataFrame:
@@ -41,10 +41,8 @@ def split_summary(df: DataFrame, s: Series = HOURLY, label: str = "falla_30d") -
         F.max(s.time).alias("hasta"),
         *([F.avg(F.col(label).cast("double")).alias("tasa_fallas")] if label in df.columns else []),
     )
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    return out.crossJoin(F.broadcast(total)).withColumn(
-        "proporcion", F.col("registros") / F.col("__total")
-    ).drop("__total")
+    both_parts = Window.partitionBy(F.lit(1))  # two rows
+    return out.withColumn("proporcion", F.col("registros") / F.sum("registros").over(both_parts))
 
 
 def final_label_stats(df: DataFrame) -> DataFrame:

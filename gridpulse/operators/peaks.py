@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridpulse.functions.joins import attach_by_key
 from gridpulse.operators.series import HOURLY, Series, fill_across, over_chunks
+from gridpulse.sources.store import materialize
 
 WEEK_ROWS = 168
 
@@ -46,14 +47,14 @@ def candidates(df: DataFrame, col: str, s: Series = HOURLY) -> DataFrame:
 
 def peaks(df: DataFrame, col: str, distance: int = 12, min_rows: int = 48, rounds: int = 2,
           s: Series = HOURLY) -> DataFrame:
-    """(keys, time, pos, height) of the surviving peaks; series with at most `min_rows` values have none."""
+    """(keys, time, pos, height) of the surviving peaks; series with at most `min_rows` values have none.
+
+    The candidates are written before they are suppressed: that takes several passes over them.
+    """
     facts = df.groupBy(*s.keys).agg(F.avg(col).alias("__mean"), F.count(col).alias("__len"))
     found = attach_by_key(candidates(df, col, s), facts, list(s.keys), F.col("pos"))
-    live = (
-        found.where((F.col("height") >= F.col("__mean")) & (F.col("__len") > min_rows))
-        .drop("__mean", "__len")
-        .withColumn("state", F.lit("open"))
-    )
+    found = found.where((F.col("height") >= F.col("__mean")) & (F.col("__len") > min_rows)).drop("__mean", "__len")
+    live = materialize(found, "candidates").withColumn("state", F.lit("open"))
     for _ in range(rounds):
         live = _resolve_local_best(live, distance, s)
     return _fold_chains(live, distance, s)

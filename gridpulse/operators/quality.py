@@ -75,14 +75,12 @@ def gaps(df: DataFrame, s: Series = HOURLY, limit_hours: float = 1.5) -> DataFra
 def time_continuity(df: DataFrame, s: Series = HOURLY, by_asset: bool = True) -> DataFrame:
     """Number of gaps and percent of rows not preceded by one."""
     keys = list(s.keys) if by_asset else []
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("registros"))
-    found = gaps(df, s).groupBy(*keys).agg(F.count(F.lit(1)).alias("numero_gaps"))
-    d = total.join(found, keys, "left") if keys else total.crossJoin(found)  # without keys both sides are one row
-    n = F.coalesce("numero_gaps", F.lit(0))
+    marked = df.select(*keys, F.lit(0).alias("g")).unionByName(gaps(df, s).select(*keys, F.lit(1).alias("g")))
+    d = marked.groupBy(*keys).agg(F.count_if(F.col("g") == 0).alias("registros"), F.count_if(F.col("g") == 1).alias("numero_gaps"))
+    n = F.col("numero_gaps")
     return d.withColumns(
         {
-            "numero_gaps": n,
-            "continuidad_temporal": (F.col("registros") - n) * 100.0 / F.col("registros"),
+            "continuidad_temporal": F.try_divide((F.col("registros") - n) * 100.0, F.col("registros")),
             "alerta": n > F.col("registros") * 0.05,
         }
     )
@@ -118,11 +116,16 @@ def quality_report(before: DataFrame, after: DataFrame, cols: list[str]) -> Data
         n = _null_counts(df, [c for c in cols if c in df.columns])
         return n.agg(F.sum("missing").alias(name), F.sum("total").alias(f"{name}_of"))
 
+    def max_of_all(df):
+        return df.agg(*[F.max(c).alias(c) for c in df.columns])
+
     per_cat = {
         k: sum(any(part in c.lower() for part in parts) for c in after.columns) for k, parts in REPORT_CATEGORIES.items()
     }
-    # two one-row summaries side by side
-    d = totals(before, "missing_original").crossJoin(totals(after, "missing_final"))
+    # two one-row summaries laid over each other
+    d = max_of_all(
+        totals(before, "missing_original").unionByName(totals(after, "missing_final"), allowMissingColumns=True)
+    )
     return d.select(
         "missing_original",
         (F.col("missing_original") - F.col("missing_final")).alias("interpolated"),

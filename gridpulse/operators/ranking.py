@@ -26,9 +26,11 @@ def running_totals(df: DataFrame, order: str, sums: list[str], keys: list[str] =
     d = materialize(df, "ranked")
     steps = [i / buckets for i in range(1, buckets)]
     borders = d.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), steps, 1000).alias("__borders"))
-    spark = d.sparkSession
-    local = spark.createDataFrame(borders.collect(), borders.schema)  # len(keys) x BUCKETS numbers
-    d = d.join(F.broadcast(local), keys) if keys else d.crossJoin(F.broadcast(local))
+    fetched = borders.collect()  # len(keys) x BUCKETS numbers
+    if keys:
+        d = d.join(F.broadcast(d.sparkSession.createDataFrame(fetched, borders.schema)), keys)
+    else:
+        d = d.withColumn("__borders", F.array(*[F.lit(b) for b in fetched[0]["__borders"] or [0.0]]))
     x = F.col(order).cast("double")
     bucket = F.size(F.filter("__borders", lambda b: b <= x))
     d = d.withColumn("__bucket", -bucket if descending else bucket).drop("__borders")

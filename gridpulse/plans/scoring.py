@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridpulse.functions.columns import min_max_scale, weighted_score
+from gridpulse.functions.columns import batch_scale, min_max_scale, weighted_score
 from gridpulse.models.evaluate import decide
 from gridpulse.models.iforest import feature_vector
 from gridpulse.models.prep import sequences
@@ -42,17 +42,15 @@ def score_rows(df: DataFrame, model: TrainedModel, threshold: float = 0.6, weigh
     forest = model.forest.scores(feature_vector(x, model.columns).select(*key, "features")).select(*key, "if_score")
     recon = model.recon.errors(sequences(x, model.columns, model.recon.steps, 0, s=s)).select(*key, "recon_error")
     both = forest.join(recon, key, "left")
+    scaled = min_max_scale
     if within_batch:
-        b = both.agg(
-            F.min("if_score").alias("il"), F.max("if_score").alias("ih"),
-            F.min("recon_error").alias("al"), F.max("recon_error").alias("ah"),
-        )
-        both = both.crossJoin(F.broadcast(b))  # one row
-        il, ih, al, ah = F.col("il"), F.col("ih"), F.col("al"), F.col("ah")
+        scaled = batch_scale
+        bounds = both.agg(F.min("if_score"), F.max("if_score"), F.min("recon_error"), F.max("recon_error")).first()
+        il, ih, al, ah = (F.lit(v).cast("double") for v in bounds)
     else:
         il, ih, al, ah = (F.lit(model.meta[k]) for k in ("if_score_min", "if_score_max", "ae_score_min", "ae_score_max"))
-    s_if = min_max_scale(F.col("if_score"), il, ih)
-    s_ae = min_max_scale(F.col("recon_error"), al, ah)
+    s_if = scaled(F.col("if_score"), il, ih)
+    s_ae = scaled(F.col("recon_error"), al, ah)
     score = F.coalesce(weighted_score(s_ae, s_if, weight), s_if)
     return both.select(*key, "if_score", "recon_error", score.alias("score"), decide(score, threshold, True).alias("label"))
 

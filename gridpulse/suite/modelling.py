@@ -125,11 +125,10 @@ _MM = "(score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) O
 
 def _normalised(spark, sf):
     d = scored(spark, sf).withColumn("other", (F.col("doc_id") % 97).cast("double"))
-    b = d.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.min("other").alias("lo2"), F.max("other").alias("hi2"))
-    d = d.crossJoin(F.broadcast(b))  # one row
+    lo, hi, lo2, hi2 = d.agg(F.min("score"), F.max("score"), F.min("other"), F.max("other")).first()
     return d.select(
-        "doc_id", min_max_scale(F.col("score"), F.col("lo"), F.col("hi")).alias("ae_norm"),
-        min_max_scale(F.col("other"), F.col("lo2"), F.col("hi2")).alias("if_norm"),
+        "doc_id", min_max_scale(F.col("score"), F.lit(lo), F.lit(hi)).alias("ae_norm"),
+        min_max_scale(F.col("other"), F.lit(lo2), F.lit(hi2)).alias("if_norm"),
     )
 
 

@@ -238,3 +238,11 @@ def test_gold_train_score_roundtrip(spark):
     assert len(a) == 2 and np.allclose(sorted(a["score"]), sorted(b["score"]))
     rows = score_rows(g, back, within_batch=True)
     assert rows.count() == len(pdf) and set(r[0] for r in rows.select("label").distinct().collect()) <= {"ANOMALY", "NORMAL"}
+
+
+def test_normal_class_falls_back_to_the_most_frequent(spark):
+    from gridpulse.models.prep import normal_class
+
+    make = lambda xs: spark.createDataFrame([(x,) for x in xs], "l string")
+    assert normal_class(make(["B", "A", "B"]), "l") == "B"
+    assert normal_class(make(["B", "B", "NORMAL"]), "l") == "NORMAL"
