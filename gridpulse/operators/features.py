@@ -7,6 +7,8 @@ earlier one), and `build` runs all stages of all blocks over one shuffle and one
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
@@ -84,6 +86,57 @@ def total_mean(col: str, w: WindowSpec, window: int, min_periods: int) -> Column
     return F.when(n >= min_periods, F.try_divide(_last("sum", col, w, window), n))
 
 
+def day_moments(cols: list[str], w: WindowSpec) -> dict[str, Column]:
+    """Count, mean and squared deviation of the last day, as one struct per column."""
+    day = rows(w, DAY)
+    return {
+        f"__day_{c}": F.struct(
+            F.count(c).over(day).alias("n"),
+            F.avg(c).over(day).alias("m"),
+            (F.var_pop(c).over(day) * F.count(c).over(day)).alias("q"),
+        )
+        for c in cols
+    }
+
+
+def earlier_days(cols: list[str], w: WindowSpec, days: int) -> dict[str, Column]:
+    return {f"__day{k}_{c}": F.lag(f"__day_{c}", DAY * k).over(w) for c in cols for k in range(1, days)}
+
+
+def day_std(col: str) -> Column:
+    n = F.col(f"__day_{col}.n")
+    return F.when(n > 1, F.sqrt(F.col(f"__day_{col}.q") / (n - 1)))
+
+
+def merged_days(cols: list[str], days: int) -> dict[str, Column]:
+    """Count and mean over several days, merged from the moments of disjoint day windows."""
+    out = {}
+    for c in cols:
+        parts = [f"__day_{c}", *[f"__day{k}_{c}" for k in range(1, days)]]
+        n = reduce(add, [F.coalesce(F.col(f"{x}.n"), F.lit(0)) for x in parts])
+        total = reduce(add, [F.coalesce(F.col(f"{x}.n") * F.col(f"{x}.m"), F.lit(0.0)) for x in parts])
+        out[f"__n_{c}"], out[f"__mean_{c}"] = n, F.try_divide(total, n)
+    return out
+
+
+def merged_std(col: str, days: int) -> Column:
+    """Sample deviation over several days.
+
+    The last 168 rows are seven windows of a day that do not overlap, so the deviation follows from their moments:
+    only squares are added, no digits are lost, and no frame longer than a day is evaluated.
+    """
+    parts = [f"__day_{col}", *[f"__day{k}_{col}" for k in range(1, days)]]
+    n, mean = F.col(f"__n_{col}"), F.col(f"__mean_{col}")
+    spread = reduce(
+        add,
+        [
+            F.coalesce(F.col(f"{x}.q") + F.col(f"{x}.n") * (F.col(f"{x}.m") - mean) * (F.col(f"{x}.m") - mean), F.lit(0.0))
+            for x in parts
+        ],
+    )
+    return F.when(n > 1, F.sqrt(spread / (n - 1)))
+
+
 def diff(x: Column, w: WindowSpec) -> Column:
     return x - F.lag(x).over(w)
 
@@ -141,16 +194,22 @@ def thermal_stress(have: set, p: Params = DEFAULT_PARAMS) -> Block:
 def bubbling(have: set, p: Params = DEFAULT_PARAMS) -> Block:
     if BUBBLING not in have:
         return []
-    x = F.col(BUBBLING)
+    x, one = F.col(BUBBLING), [BUBBLING]
+    n = F.col(f"__n_{BUBBLING}")
 
     def stage(w):
-        week = total_mean(BUBBLING, w, WEEK, DAY)
+        week = F.when(n >= DAY, F.col(f"__mean_{BUBBLING}"))
         return {
-            "bubbling_anomaly": (x - week) / (F.stddev_samp(x).over(rows(w, WEEK)) + p.eps),
+            "bubbling_anomaly": (x - week) / (merged_std(BUBBLING, WEEK // DAY) + p.eps),
             "gas_formation_trend": total_mean(BUBBLING, w, MONTH, WEEK) - week,
         }
 
-    return [lambda w: totals([BUBBLING], w), stage]
+    return [
+        lambda w: {**totals(one, w), **day_moments(one, w)},
+        lambda w: earlier_days(one, w, WEEK // DAY),
+        lambda w: merged_days(one, WEEK // DAY),
+        stage,
+    ]
 
 
 # ---- electrical -------------------------------------------------------------------------------------------------
@@ -208,19 +267,21 @@ def tap_changer(have: set, p: Params = DEFAULT_PARAMS) -> Block:
 
 def stability(have: set, p: Params = DEFAULT_PARAMS) -> Block:
     cols = [v for v in (CURRENT, VOLTAGE, POWER) if v in have]
+    days = WEEK // DAY
 
-    def stage(w):
-        out = {}
+    def daily(w):
+        out = earlier_days(cols, w, days)
         for v in cols:
-            x = F.col(v)
-            enough = _last("cnt", v, w, DAY) >= 6
-            spread = F.when(enough, F.stddev_samp(x).over(rows(w, DAY)))
-            out[f"{v}_stability"] = ratio(spread, total_mean(v, w, DAY, 6) + p.eps)
-            full = _last("cnt", v, w, WEEK) >= WEEK
-            out[f"{v}_transient"] = flag(full & (F.abs(diff(x, w)) > F.stddev_samp(x).over(rows(w, WEEK)) * 2))
+            enough = F.col(f"__day_{v}.n") >= 6
+            out[f"{v}_stability"] = F.when(enough, ratio(day_std(v), F.col(f"__day_{v}.m") + p.eps))
+            out[f"__step_{v}"] = F.abs(diff(F.col(v), w))
         return out
 
-    return [lambda w: totals(cols, w), stage]
+    def weekly(w):
+        full = {v: F.col(f"__n_{v}") >= WEEK for v in cols}
+        return {f"{v}_transient": flag(full[v] & (F.col(f"__step_{v}") > merged_std(v, days) * 2)) for v in cols}
+
+    return [lambda w: day_moments(cols, w), daily, lambda w: merged_days(cols, days), weekly]
 
 
 def electrical_stress(have: set, p: Params = DEFAULT_PARAMS) -> Block:
