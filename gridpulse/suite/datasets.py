@@ -337,9 +337,8 @@ def gold_partitions(spark, sf):
 def snapshot_export(spark, sf):
     """Two time-stamped exports; the newest one is found and read (CSV first)."""
     folder = fresh_dir(spark, "snapshots")
-    d = ds.temporal_split(clean(spark, sf).select("asset_id", "ts", OIL))
-    tables.export_snapshot(d.where("asset_id < 0"), folder, "20240101_0000")
-    tables.export_snapshot(d, folder, "20240201_0000")
+    for stamp, source in (("20240101_0000", panel(spark, sf)), ("20240201_0000", clean(spark, sf))):
+        tables.export_snapshot(ds.temporal_split(source.select("asset_id", "ts", OIL)), folder, stamp)
     back = tables.newest_snapshot(spark, folder)
     return back.groupBy(F.col("asset_id").cast("bigint").alias("asset_id")).agg(
         F.count(F.lit(1)).alias("registros"), F.sum(OIL).alias("total")

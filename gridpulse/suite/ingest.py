@@ -215,13 +215,12 @@ def keep_tags(spark, sf):
 
 @query(
     "combine_batches",
-    f"""SELECT event_id, {r("CASE WHEN event_type = 'view' THEN value END", "value")},
-        CASE WHEN event_type = 'click' THEN CAST(value AS VARCHAR) END AS value_text
-        FROM events WHERE event_type IN ('view', 'click')""",
+    f"""SELECT event_id, {r("CASE WHEN event_type <> 'click' THEN value END", "value")},
+        CASE WHEN event_type = 'click' THEN CAST(value AS VARCHAR) END AS value_text FROM events""",
 )
 def combine_batches(spark, sf):
     ev = table(spark, sf, "events")
-    numbers = ev.where("event_type = 'view'").select("event_id", "value")
+    numbers = ev.where("event_type <> 'click'").select("event_id", "value")
     texts = ev.where("event_type = 'click'").select("event_id", F.col("value").cast("string").alias("value_text"))
     return bronze.combine_batches(numbers, texts)
 

@@ -210,3 +210,21 @@ def test_attached_facts_beyond_the_broadcast_bound(spark):
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
     assert large.count() == 1000
+
+
+def test_rolling_features_with_gaps_and_flat_stretches(spark):
+    pdf = panel_pdf(900, seed=21)
+    i = pdf.groupby("asset_id").cumcount()
+    for c in ("temp_bubbling_value", "voltage_value", "tap_position_value", "temp_oil_value"):
+        pdf.loc[(i > 300) & (i < 560), c] = 130.0  # a stuck sensor
+        pdf.loc[(i % 37 == 5) & (i > 600), c] = np.nan
+    got = collect(features.build(to_spark(spark, pdf), s=Series(chunk_hours=250)))
+    want = per_asset(pdf, restated_features)
+    for c in ("overheating_trend", "gas_formation_trend", "tap_operations_30d", "voltage_value_transient"):
+        same(got[c], want[c], 1e-6)
+    # inside the stuck stretch the true deviation is 0
+    stuck = (i > 300 + 170) & (i < 560)
+    assert (got["bubbling_anomaly"][stuck].abs() < 1e-6).all()
+    same(got["voltage_value_stability"], want["voltage_value_stability"], 1e-6)
+    moving = ~((i > 300) & (i < 740))
+    same(got["bubbling_anomaly"][moving], want["bubbling_anomaly"][moving], 1e-6)
