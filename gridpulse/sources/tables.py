@@ -77,11 +77,22 @@ def export_snapshot(df: DataFrame, folder: str, stamp: str, csv: bool = True) ->
 
 
 def newest_snapshot(spark: SparkSession, folder: str, prefix: str = "features_complete_") -> DataFrame:
-    """Newest exported complete set, CSV preferred over Parquet. Only file metadata is looked at to choose."""
+    """Newest exported complete set, CSV preferred over Parquet. Only file metadata is looked at to choose.
+
+    A CSV takes its types from the Parquet export of the same stamp; without one all columns are text.
+    """
     from pyspark.errors import AnalysisException
 
+    def read_csv(path: str) -> DataFrame:
+        reader = spark.read.option("header", True)
+        try:
+            reader = reader.schema(spark.read.parquet(path.removesuffix(".csv") + ".parquet").schema)
+        except AnalysisException:
+            pass
+        return reader.csv(path)
+
     readers: list[tuple[str, Callable[[str], DataFrame]]] = [
-        ("csv", lambda p: spark.read.option("header", True).option("inferSchema", True).csv(p)),
+        ("csv", read_csv),
         ("parquet", lambda p: spark.read.parquet(p)),
     ]
     for suffix, read in readers:
