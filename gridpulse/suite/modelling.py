@@ -17,7 +17,8 @@ from gridpulse.session import fresh_dir
 from gridpulse.sources.driver_tables import table
 from gridpulse.streaming.ingest import append_stream, drain, hourly_mean_stream, stream_readings
 from gridpulse.suite.base import clean, query, readings, silver
-from gridpulse.suite.datasets import gold_table
+from gridpulse.suite.datasets import _SPLIT, gold_table
+from gridpulse.suite.labels import _EV
 from gridpulse.suite.sql import READINGS, TO_CLEAN, W, r, with_
 
 HOT = "temp_spot_hot_value"
@@ -225,6 +226,20 @@ def evaluation_rows(spark, sf):
     return trained(spark, sf).evaluation
 
 
+@query(
+    "evaluation_truth",
+    with_(
+        [*TO_CLEAN, *_EV, _SPLIT.format(src="rul"),
+         """valid AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY asset_id) AS n
+            FROM parts WHERE split = 'validation')"""],
+        "SELECT asset_id, ts, CASE WHEN rul <= 15 THEN 1 ELSE 0 END AS y_true FROM valid WHERE rn >= 24 AND rn <= n - 12",
+    ),
+)
+def evaluation_truth(spark, sf):
+    """Which validation hours close a window, and their true class, as the training run aligned them."""
+    return trained(spark, sf).evaluation.select("asset_id", "ts", "y_true")
+
+
 @query("latest_window_scores")
 def latest_window_scores(spark, sf):
     return score_latest_window(gold_table(spark, sf), trained(spark, sf))
