@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridpulse.llm import chat, langid, sharding, topk
+from gridpulse.llm import chat, langid, packing, sharding, simhash, topk
 from gridpulse.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query("op1_packing")
+def op1(spark, sf_dir):
+    pieces = packing.pack(read(spark, sf_dir, "documents"), capacity=1024)
+    return pieces.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 @query("op3_topk", """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -45,6 +52,12 @@ def op3(spark, sf_dir):
     return topk.top_k(v, v.where("vec_id % 50 = 0"), k=5)
 
 
+@query("op4_simhash")
+def op4(spark, sf_dir):
+    groups = simhash.near_groups(read(spark, sf_dir, "documents"), shingle=3, words=1, radius=2)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op5_language")
 def op5(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
