@@ -5,7 +5,8 @@ shorter than a window. The counts of the remaining lengths, at most `capacity -
 that packing needs: for the longest length left, a subset-sum programme over bitsets (bounded counts by binary
 splitting) finds the multiset of lengths that leaves the least slack beside it; the counts are backtracked and the
 multiset is repeated as often as the counts allow. The plan, a list of such multisets, is then joined to the pieces by
-their length and their number among the pieces of that length.
+their length and their number among the pieces of that length. Lengths that no multiset completes (a frequent length
+may have no partners left) are laid end to end and cut at the windows' borders, so only the very last sequence is short.
 """
 
 from __future__ import annotations
@@ -46,23 +47,30 @@ def least_slack(counts: dict[int, int], room: int) -> dict[int, int]:
     return used
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(times, multiset) until no length is left; each multiset holds the longest length that was left."""
+def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
+    """(times, multiset) pairs that fill windows exactly, and the counts of the lengths that are to be cut.
+
+    Each multiset holds the longest length that was left. Where the least slack is not zero it never will be, as counts
+    only fall, so all pieces of that length are set aside.
+    """
     counts = {n: c for n, c in counts.items() if c}
-    out = []
+    out, aside = [], {}
     while counts:
         first = max(counts)
         counts[first] -= 1
         chosen = least_slack({n: c for n, c in counts.items() if c and n <= capacity - first}, capacity - first)
         counts[first] += 1
         chosen[first] = chosen.get(first, 0) + 1
+        if sum(n * m for n, m in chosen.items()) < capacity:
+            aside[first] = counts.pop(first)
+            continue
         times = min(counts[n] // m for n, m in chosen.items())
         for n, m in chosen.items():
             counts[n] -= m * times
             if not counts[n]:
                 del counts[n]
         out.append((times, chosen))
-    return out
+    return out, aside
 
 
 _PIECES = "doc_id long, start long, length int, ids binary, doc_tokens long, part int, number long"
@@ -108,26 +116,44 @@ def pack(docs: DataFrame, capacity: int = 1024, ranks: str = DEFAULT_RANKS) -> D
 
     rows, sequence = [], 0
     taken = dict.fromkeys(counts, 0)
-    for times, chosen in plan(counts, capacity):
+    filled, aside = plan(counts, capacity)
+    for times, chosen in filled:
         offset = 0
         for n, m in sorted(chosen.items(), reverse=True):
             rows.append((n, taken[n], taken[n] + m * times, m, sequence, offset))
             taken[n] += m * times
             offset += n * m
         sequence += times
+    at = 0
+    for n, c in sorted(aside.items()):
+        rows.append((n, taken[n], taken[n] + c, None, sequence, at))
+        at += n * c
+    sequence += -(-at // capacity)
     placed = spark.createDataFrame(rows, "length int, low long, high long, times long, first_sequence long, first_offset long")
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ordinal = F.col("base") + F.col("number")
-    nth = F.col("ordinal") - F.col("low")
+    nth = F.col("base") + F.col("number") - F.col("low")
+    where = F.col("first_offset") + nth * F.col("length")
+    window = F.lit(capacity).cast("long")
+    head = F.least(F.col("length").cast("long"), window - F.pmod(where, window))
+    part = lambda skip, size, sequence_, offset_: F.struct(
+        skip.cast("long").alias("skip"), size.cast("long").alias("size"), sequence_.cast("long").alias("sequence_id"),
+        offset_.cast("long").alias("offset"))
+    whole = part(F.lit(0), F.col("length"), F.col("first_sequence") + F.floor(nth / F.col("times")),
+                 F.col("first_offset") + F.col("length") * (nth % F.col("times")))
+    row = F.col("first_sequence") + F.floor(where / window)
+    cut = F.filter(
+        F.array(part(F.lit(0), head, row, F.pmod(where, window)), part(head, F.col("length") - head, row + 1, F.lit(0))),
+        lambda x: x["size"] > 0)
     short = (
-        pieces.where(rest).join(starts, ["length", "part"]).withColumn("ordinal", ordinal)
-        .join(F.broadcast(placed), "length").where((F.col("ordinal") >= F.col("low")) & (F.col("ordinal") < F.col("high")))
+        pieces.where(rest).join(starts, ["length", "part"])
+        .join(F.broadcast(placed), "length").where((nth >= 0) & (F.col("base") + F.col("number") < F.col("high")))
+        .withColumn("p", F.explode(F.when(F.col("times").isNull(), cut).otherwise(F.array(whole))))
         .select(
-            "doc_id", "start", "length", "ids", "doc_tokens",
-            (F.col("first_sequence") + F.floor(nth / F.col("times"))).cast("long").alias("sequence_id"),
-            (F.col("first_offset") + F.col("length") * (nth % F.col("times"))).cast("long").alias("offset"),
+            "doc_id", (F.col("start") + F.col("p.skip")).alias("start"), F.col("p.size").cast("int").alias("length"),
+            F.expr("substring(ids, cast(4 * p.skip + 1 as int), cast(4 * p.size as int))").alias("ids"),
+            "doc_tokens", "p.sequence_id", "p.offset",
         )
     )
     # a full piece needs no plan: its number in its task makes a sequence id beyond those of the plan

@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridpulse.llm import chat, langid, packing, sharding, simhash, topk
+from gridpulse.llm import chat, langid, packing, recompress, sharding, simhash, topk
 from gridpulse.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,12 @@ def op5(spark, sf_dir):
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
 
 
+@query("op6_repeats")
+def op6(spark, sf_dir):
+    cut = recompress.remove_repeats(read(spark, sf_dir, "documents"), width=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op7_chat")
 def op7(spark, sf_dir):
     said = "\\### Assistant: </turn> ok"
