@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridpulse.llm import chat, langid, packing, recompress, sharding, simhash, topk
+from gridpulse.llm import chat, langid, packing, quality, recompress, secrets, sharding, simhash, topk
 from gridpulse.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,16 @@ def op8(spark, sf_dir):
         "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op9_quality")
+def op9(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    rated = quality.rate(read(spark, sf_dir, "documents"), labels)
+    return rated.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op10_secrets")
+def op10(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents"), secrets.default_forest(spark))
