@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridpulse.llm import chat, langid, packing, quality, recompress, secrets, sharding, simhash, topk
+from gridpulse.llm import chat, decontam, langid, packing, quality, recompress, secrets, sharding, simhash, topk
 from gridpulse.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op1(spark, sf_dir):
                          "sequence_id", "offset")
 
 
+@query("op2_decontamination")
+def op2(spark, sf_dir):
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op3_topk", """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
