@@ -55,7 +55,7 @@ def compress(level: Level, number: int) -> Level:
     length = (last - first + 1).astype(np.uint64)
     names = np.where(length > 1, mix(s[first] * RUN + length), s[first])
     low, high = low[np.maximum(first - 1, 0)], high[np.minimum(last + 1, len(s) - 1)]
-    coin = mix(names ^ np.uint64(number + 1) * EDGE) & np.uint64(1) == 1
+    coin = mix(names ^ np.uint64((number + 1) * int(EDGE) % (1 << 64))) & np.uint64(1) == 1
     joined = coin[:-1] & ~coin[1:]
     left = np.append(joined, False)
     right = np.append(False, joined)
