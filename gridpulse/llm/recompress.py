@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridpulse.llm.common import Scratch, mix, slices
 
-ROUNDS = 3
+ROUNDS = 4
 BASE = np.uint64(0x9E3779B97F4A7C15)
 RUN, PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 EDGE = np.uint64(0x8EBC6AF09C88C6E3)
@@ -176,26 +176,29 @@ def _blocks(docs: DataFrame, width: int, rounds: int) -> DataFrame:
 
 
 def _single_windows(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """Hash of every window of the chosen blocks."""
-    lists = chosen.groupBy("id", "th").agg(F.collect_list(F.struct("name", "block", "alone", "first", "windows")).alias("blocks"))
-    schema = pa.schema([*_KEYS, ("name", pa.int64()), ("block", pa.int64()), ("alone", pa.bool_()), ("first", pa.int32()), ("hash", pa.int64())])
+    """(speaker, step, alone, hash): every window of the chosen blocks; the hash is of the anchor's name and the window's words."""
+    lists = chosen.groupBy("id", "th").agg(F.collect_list(F.struct("speaker", "name", "alone", "first", "windows")).alias("blocks"))
+    schema = pa.schema([("speaker", pa.int64()), ("step", pa.int16()), ("alone", pa.bool_()), ("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, chars=2_000_000):
-            rows = [[] for _ in schema]
-            for r in part.to_pylist():
-                hashes = word_hashes(split(r["text"]))[1]
-                for x in r["blocks"]:
-                    first = np.arange(x["first"], x["first"] + x["windows"])
-                    found = spans(hashes[first[0] : first[-1] + width], first - first[0], np.full(len(first), width))
-                    for column, value in zip(rows, (r["id"], r["th"], x["name"], x["block"], x["alone"])):
-                        column += [value] * len(first)
-                    rows[5] += first.tolist()
-                    rows[6] += found.view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
-
-    once = docs.join(lists, ["id", "th"]).select("id", "th", "text", "blocks")
-    return once.mapInArrow(run, "id long, th long, name long, block long, alone boolean, first int, hash long")
+            texts = [split(t) for t in part.column("text").to_pylist()]
+            sizes = np.array([len(t) for t in texts])
+            flat = part.column("blocks").flatten()
+            count = part.column("blocks").value_lengths().to_numpy(zero_copy_only=False)
+            speaker, name, alone, first, windows = (
+                flat.field(f).to_numpy(zero_copy_only=False) for f in ("speaker", "name", "alone", "first", "windows"))
+            windows = windows.astype(np.int64)
+            lead = np.repeat(np.cumsum(sizes) - sizes, count) + first
+            step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            hashes = spans(word_hashes([w for t in texts for w in t])[1], np.repeat(lead, windows) + step, np.full(len(step), width))
+            both = mix(hashes ^ np.repeat(name.view(np.uint64), windows)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(speaker, windows)), pa.array(step.astype(np.int16)), pa.array(np.repeat(alone, windows).astype(bool)),
+                pa.array(both)], schema=schema)
+
+    once = docs.join(lists, ["id", "th"]).select("text", "blocks")
+    return once.mapInArrow(run, "speaker long, step short, alone boolean, hash long")
 
 
 def repeated_windows(docs: DataFrame, width: int, rounds: int, scratch: Scratch) -> DataFrame:
@@ -211,12 +214,13 @@ def repeated_windows(docs: DataFrame, width: int, rounds: int, scratch: Scratch)
     speakers = scratch.write(
         kept.where("mixed").groupBy("name", "block").agg(
             F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "windows")).alias("x"))
-        .select("name", "block", (F.col("n") == 1).alias("alone"), "x.*"), "speakers")
+        .select(F.monotonically_increasing_id().alias("speaker"), "name", "block", (F.col("n") == 1).alias("alone"), "x.*"), "speakers")
     members = kept.where("mixed").join(speakers.where(~F.col("alone")).select("name", "block"), ["name", "block"], "left_semi").select(
         "id", "th", "first", "windows")
     single = scratch.write(_single_windows(docs, speakers, width), "single")
-    twice = single.groupBy("name", "hash").agg(F.count("*").alias("n")).where("n > 1").select("name", "hash")
-    border = single.where("alone").join(twice, ["name", "hash"], "left_semi").select("id", "th", "first", F.lit(1).cast("short").alias("windows"))
+    twice = single.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    border = single.where("alone").join(twice, "hash", "left_semi").join(speakers.select("speaker", "id", "th", "first"), "speaker").select(
+        "id", "th", (F.col("first") + F.col("step")).cast("int").alias("first"), F.lit(1).cast("short").alias("windows"))
     return same.unionByName(members).unionByName(border)
 
 
