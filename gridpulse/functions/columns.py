@@ -92,3 +92,23 @@ def one_decimal(x: Column) -> Column:
     rest = (x * 16 - middle) + x * 4
     up = (rest > 0) | ((rest == 0) & (cell % 2 == 1))
     return F.format_string("%.1f", (cell + up.cast("int")) / F.lit(10.0))
+
+
+def number_text(x: Column) -> Column:
+    """A double as decimal text: plain from 0.0001 up to 1e16, otherwise with an exponent of at least two digits."""
+    java, size = x.cast("string"), F.abs(x)
+
+    def plain(scale: int) -> Column:
+        digits = F.regexp_replace(x.cast(f"decimal(38,{scale})").cast("string"), "0+$", "")
+        return F.regexp_replace(digits, r"\.$", ".0")
+
+    # the fewest digits that read back as the same number
+    tries = [F.format_string(f"%.{digits}e", x) for digits in (14, 15, 16)]
+    short = F.coalesce(*[F.when(t.cast("double") == x, t) for t in tries])
+    short = F.regexp_replace(short, r"\.?0*e", "e")
+    return (
+        F.when(~F.contains(java, F.lit("E")), java)
+        .when((size >= 1e7) & (size < 1e16), plain(12))
+        .when((size >= 1e-4) & (size < 1e-3), plain(24))
+        .otherwise(short)
+    )

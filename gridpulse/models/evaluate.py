@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridpulse.catalog import DEFAULT_PARAMS
 from gridpulse.operators.ranking import exact_quantiles, running_totals
-from gridpulse.operators.series import HOURLY, Series, over_chunks, rows
+from gridpulse.operators.series import HOURLY, Series, over_chunks, rows, with_position
 
 
 def score_table(df: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
@@ -153,10 +153,12 @@ def classification_report(df: DataFrame, truth: str = "y", predicted: str = "yha
 
 def smooth_alerts(df: DataFrame, flag: str, k: int = DEFAULT_PARAMS.smooth_k, m: int = DEFAULT_PARAMS.smooth_m,
                   out: str = "alert", s: Series = HOURLY) -> DataFrame:
-    """1 where at least k of the last m hourly flags are set; fewer rows at the start of a series."""
+    """1 where at least k of the last m rows are flagged, whatever hours are missing; fewer rows at the start of a series."""
+    at = Series(s.keys, "__at", s.chunk_hours)  # one row position an "hour"
+    d = with_position(df, s, "__pos").withColumn("__at", F.timestamp_seconds(F.col("__pos") * 3600))
     return over_chunks(
-        df, [lambda w: {out: (F.coalesce(F.sum(flag).over(rows(w, m)), F.lit(0)) >= k).cast("int")}], s, before=m
-    )
+        d, [lambda w: {out: (F.coalesce(F.sum(flag).over(rows(w, m)), F.lit(0)) >= k).cast("int")}], at, before=m
+    ).drop("__pos", "__at")
 
 
 def decide(score: Column, threshold: Column | float, inclusive: bool = False) -> Column:

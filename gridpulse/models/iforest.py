@@ -26,26 +26,34 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+CELLS = 64
+
+
 def draw_samples(df: DataFrame, features: str, key: list[str], trees: int, sample: int, seed: int, n: int) -> DataFrame:
-    """(tree, x): `sample` distinct random rows per tree, chosen by hashes so a recomputed task draws the same rows.
+    """(tree, x): `sample` distinct rows per tree, by one rule at every size.
 
-    With many rows each belongs to at most one tree; with few rows each is offered to every tree. Both cases first cut
-    to about 1.5 x the needed rows, so the per-tree ranking only ever sees a bounded number.
+    Rows lie on a circle by the hash of their key, so a recomputed task draws the same ones. Each tree owns an arc from a
+    random start on; the arc is long enough for about 1.5 x `sample` of the n rows (the whole circle where there are
+    fewer), and the tree takes the first `sample` rows of it. Arcs overlap by chance, as independent draws do. The circle is
+    divided into cells, so that a row meets only the arcs that touch its cell.
     """
-    def uniform(*cols):
-        return F.pmod(F.xxhash64(*[F.col(k) for k in key], *cols), F.lit(2**53)) / F.lit(float(2**53))
-
-    need = 1.5 * sample + 32
-    if n >= need * trees:
-        d = df.where(uniform(F.lit(seed)) < need * trees / n)
-        d = d.withColumn("tree", F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed + 1)), F.lit(trees)).cast("int"))
-        d = d.withColumn("__u", uniform(F.lit(seed + 2)))
-    else:
-        d = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        d = d.withColumn("__u", uniform(F.col("tree"), F.lit(seed))).where(F.col("__u") < need / n)
-    w = Window.partitionBy("tree").orderBy("__u", *key)
-    d = d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample)
-    return d.select("tree", F.col(features).alias("x"))
+    length = min(1.0, (1.5 * sample + 32) / n)
+    starts = np.random.default_rng(seed).random(trees)
+    touched = []
+    for tree, start in enumerate(starts.tolist()):
+        first, last = int(start * CELLS), int((start + length) * CELLS)
+        touched += [(c % CELLS, tree, start) for c in range(first, min(last, first + CELLS - 1) + 1)]
+    arcs = df.sparkSession.createDataFrame(touched, "__cell int, tree int, __start double")  # at most trees x CELLS rows
+    at = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
+    offset = F.col("__at") - F.col("__start")
+    d = (
+        df.withColumn("__at", at).withColumn("__cell", F.floor(F.col("__at") * CELLS).cast("int"))
+        .join(F.broadcast(arcs), "__cell")
+        .withColumn("__far", F.when(offset < 0, offset + 1).otherwise(offset))
+        .where(F.col("__far") < length)
+    )
+    w = Window.partitionBy("tree").orderBy("__far", *key)
+    return d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample).select("tree", F.col(features).alias("x"))
 
 
 def _grow(seed: int, sample: int):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridpulse.catalog import (
     ACCENTED, CATEGORIES, DEFAULT_NAME, NAME_TOKENS, PLAIN, SIGNAL_ALIASES, category_of, plausible_range,
@@ -14,45 +14,33 @@ from gridpulse.operators.series import HOURLY, Series, fill_across, with_positio
 
 # ---- names ------------------------------------------------------------------------------------------------------
 
-def standard_name(name: str) -> str:
-    known = {f"{alias}_value": signal for alias, signal in SIGNAL_ALIASES.items()}
-    if name in known:
-        return known[name]
-    out = name.lower()
-    for old, new in NAME_TOKENS.items():
-        out = out.replace(old, new)
-    out = re.sub(r"\s+", "_", out.translate(str.maketrans(ACCENTED, PLAIN)))
-    out = re.sub(r"_+", "_", re.sub(r"[^a-z0-9_]", "", out)).strip("_")
-    return out or DEFAULT_NAME
-
-
-def unique_names(names: list[str]) -> list[str]:
-    """Repeated names get _1, _2, ... in order of appearance."""
-    seen: dict[str, int] = {}
-    out = []
-    for name in names:
-        n = seen.get(name, -1) + 1
-        seen[name] = n
-        out.append(f"{name}_{n}" if n else name)
-    return out
+def standard_name_of(name: Column) -> Column:
+    """Panel name of a column name. Tables of the catalogue drive it: aliases first, then tokens, then plain letters and digits."""
+    known = F.create_map(*[F.lit(x) for a, sig in SIGNAL_ALIASES.items() for x in (f"{a}_value", sig)])
+    token = [(F.replace, F.lit(old), F.lit(new)) for old, new in NAME_TOKENS.items()]
+    letters = [(F.translate, ACCENTED, PLAIN)]
+    shape = [(F.regexp_replace, p, n) for p, n in ((r"\s+", "_"), (r"[^a-z0-9_]", ""), (r"_+", "_"), (r"^_|_$", ""))]
+    out = reduce(lambda x, step: step[0](x, *step[1:]), [*token, *letters, *shape], F.lower(name))
+    return F.coalesce(F.try_element_at(known, name), F.when(out != "", out), F.lit(DEFAULT_NAME))
 
 
-def rename_columns(df: DataFrame, keep: tuple = ("asset_id", "ts")) -> DataFrame:
-    data = [c for c in df.columns if c not in keep]
-    return df.withColumnsRenamed(dict(zip(data, unique_names([standard_name(c) for c in data]))))
+def standard_name_column(tag: Column) -> Column:
+    """Panel name of a tag."""
+    return standard_name_of(F.concat(tag, F.lit("_value")))
 
 
-def standard_name_column(tag: Column) -> Column:
-    """The same renaming applied to values of a tag column, as expressions."""
-    value_name = F.concat(tag, F.lit("_value"))
-    known = F.create_map(*[F.lit(x) for a, sig in SIGNAL_ALIASES.items() for x in (f"{a}_value", sig)])
-    out = F.lower(value_name)
-    for old, new in NAME_TOKENS.items():
-        out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.translate(out, ACCENTED, PLAIN)
-    for pattern, new in ((r"\s+", "_"), (r"[^a-z0-9_]", ""), (r"_+", "_"), (r"^_|_$", "")):
-        out = F.regexp_replace(out, pattern, new)
-    return F.coalesce(F.try_element_at(known, value_name), F.when(out != "", out), F.lit(DEFAULT_NAME))
+def numbered_names(names: DataFrame) -> DataFrame:
+    """(position, name) with _1, _2, ... added to repeats, in order of position."""
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("position")) - 1
+    return names.withColumn("name", F.when(nth > 0, F.concat_ws("_", "name", nth)).otherwise(F.col("name")))
+
+
+def rename_columns(df: DataFrame, keep: tuple = ("asset_id", "ts")) -> DataFrame:
+    """Columns by their standard names; one small job over the column names, which the schema bounds."""
+    data = [c for c in df.columns if c not in keep]
+    listed = df.sparkSession.createDataFrame(list(enumerate(data)), "position int, name string")
+    found = numbered_names(listed.select("position", standard_name_of(F.col("name")).alias("name"))).collect()
+    return df.withColumnsRenamed({data[r["position"]]: r["name"] for r in found})
 
 
 # ---- types and ranges -------------------------------------------------------------------------------------------
@@ -76,7 +64,10 @@ def nullify_implausible(df: DataFrame, cols: list[str] | None = None) -> DataFra
 
 def _fill(df: DataFrame, s: Series, line: list[str], edges: str, forward: list[str], backward: list[str],
           axis: Column) -> DataFrame:
-    """One pass over the chunks for every column to fill: straight lines, forward fill, backward fill."""
+    """One pass over the chunks for every column to fill: straight lines, forward fill, backward fill.
+
+    With edges="inside" lines and forward fills end at the last value of a series."""
+    inside = edges == "inside"
     last, first = {}, {}
     for c in line:
         known = F.when(F.col(c).isNotNull(), F.col("__x"))  # the named column keeps both branches of the fill alike
@@ -84,7 +75,7 @@ def _fill(df: DataFrame, s: Series, line: list[str], edges: str, forward: list[s
         first |= {f"__nv_{c}": F.col(c), f"__nt_{c}": known}
     for c in [*forward, *backward]:
         last[f"__pv_{c}"] = F.col(c)
-    for c in backward:
+    for c in [*backward, *(forward if inside else ())]:
         first[f"__nv_{c}"] = F.col(c)
     if not last:
         return df
@@ -93,10 +84,10 @@ def _fill(df: DataFrame, s: Series, line: list[str], edges: str, forward: list[s
     for c in line:
         pv, pt, nv, nt = (F.col(f"__{k}_{c}") for k in ("pv", "pt", "nv", "nt"))
         between = pv + F.try_divide(nv - pv, nt - pt) * (F.col("__x") - pt)
-        edge = [pv, nv] if edges == "both" else [pv]
+        edge = {"both": [pv, nv], "forward": [pv], "inside": []}[edges]
         out[c] = F.coalesce(F.col(c), F.when(pt.isNotNull() & nt.isNotNull(), between), *edge)
     for c in forward:
-        out[c] = F.col(f"__pv_{c}")
+        out[c] = F.when(F.col(f"__nv_{c}").isNotNull(), F.col(f"__pv_{c}")) if inside else F.col(f"__pv_{c}")
     for c in backward:
         out[c] = F.coalesce(F.col(f"__pv_{c}"), F.col(f"__nv_{c}"))
     return d.withColumns(out).drop("__x", *last, *first)
@@ -105,8 +96,8 @@ def _fill(df: DataFrame, s: Series, line: list[str], edges: str, forward: list[s
 def interpolate(df: DataFrame, cols: list[str], by: str = "time", edges: str = "forward", s: Series = HOURLY) -> DataFrame:
     """Straight-line filling weighted by elapsed time or by row position.
 
-    edges="forward" holds the last value after the series' last reading and leaves the start missing;
-    edges="both" holds values at both ends.
+    edges="inside" fills between the first and the last value only; edges="forward" also holds the last value to the end
+    of the rows; edges="both" holds values at both ends.
     """
     if by == "position":
         d = with_position(df, s, "__pos")
@@ -119,8 +110,10 @@ def fill_forward(df: DataFrame, cols: list[str], then_back: bool = False, s: Ser
 
 
 def fill_edges(df: DataFrame, time: list[str], forward: list[str], s: Series = HOURLY) -> DataFrame:
-    """Consolidation fill: time interpolation without leading values, plus plain forward fill."""
-    return _fill(df, s, time, "forward", forward, [], F.unix_micros(F.col(s.time)).cast("double"))
+    """Consolidation fill: time interpolation and forward fill, each between the first and the last value of a tag.
+
+    A tag's hourly series ends at its last reading inside the range, so later hours of the panel stay empty."""
+    return _fill(df, s, time, "inside", forward, [], F.unix_micros(F.col(s.time)).cast("double"))
 
 
 def impute(df: DataFrame, cols: list[str] | None = None, s: Series = HOURLY) -> DataFrame:

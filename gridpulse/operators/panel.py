@@ -76,7 +76,7 @@ def common_range(buckets: DataFrame, max_days: float | None = None) -> DataFrame
         nearest_hour(F.max("lo")).alias("lo_hour"), nearest_hour(F.min("hi")).alias("hi_hour")
     )
     if max_days and max_days > 0:
-        out = out.withColumn("hi_hour", F.least("hi_hour", F.col("lo_hour") + int(round(max_days * 24))))
+        out = out.withColumn("hi_hour", F.least("hi_hour", F.col("lo_hour") + int(max_days * 24 + 1e-9)))
     return out
 
 
@@ -128,13 +128,13 @@ def consolidate(panel: DataFrame, tags: list[str] = SIGNALS, s: Series = HOURLY)
     """Raw panel with the per-kind fill of the consolidation step.
 
     Thermal tags are interpolated in time, unknown tags linearly by position, the tap is carried forward, electrical
-    tags keep their gaps. Values before the first reading stay missing.
+    tags keep their gaps. Values before a tag's first and after its last reading stay missing.
     """
     thermal = [t for t in tags if t in THERMAL]
     tap = [t for t in tags if t in MECHANICAL]
     other = [t for t in tags if t not in {*THERMAL, *ELECTRICAL, *MECHANICAL}]
     panel = fill_edges(panel, time=thermal, forward=tap, s=s)
-    return interpolate(panel, other, by="position", s=s) if other else panel
+    return interpolate(panel, other, by="position", edges="inside", s=s) if other else panel
 
 
 def tag_profile(readings: DataFrame) -> DataFrame:

@@ -14,12 +14,16 @@ from gridpulse.plans.training import TrainedModel
 
 
 def score_latest_window(gold: DataFrame, model: TrainedModel, s: Series = HOURLY) -> DataFrame:
-    """(keys, time, score, pred, label, model_version): the newest `lookback` rows of each asset as one window."""
+    """(keys, time, score, pred, label, basis, model_version): the newest `lookback` rows of each asset as one window.
+
+    An asset with fewer rows has a row of its newest time with a NULL score, no alarm and basis `too_short`.
+    """
     meta = model.meta
     steps = model.recon.steps
     recent = latest_rows(align_columns(gold, model.columns, (*s.keys, s.time)), steps, s)
     windows = sequences(model.prepare(recent), model.columns, steps, 0, allow_gaps=True, s=s)
-    scored = model.recon.errors(windows)
+    newest = recent.groupBy(*s.keys).agg(F.max(s.time).alias(s.time))
+    scored = newest.join(model.recon.errors(windows), [*s.keys, s.time], "left")
     score = min_max_scale(F.col("recon_error"), F.lit(meta["ae_score_min"]), F.lit(meta["ae_score_max"]))
     return scored.select(
         *s.keys,
@@ -27,6 +31,7 @@ def score_latest_window(gold: DataFrame, model: TrainedModel, s: Series = HOURLY
         score.alias("score"),
         F.coalesce(score > F.lit(meta["operate_thr"]), F.lit(False)).cast("int").alias("pred"),
         decide(score, meta["operate_thr"]).alias("label"),
+        F.when(F.col("recon_error").isNull(), "too_short").otherwise("window").alias("basis"),
         F.lit(meta.get("model_version", "unknown")).alias("model_version"),
     )
 
@@ -35,7 +40,8 @@ def score_rows(df: DataFrame, model: TrainedModel, threshold: float = 0.6, weigh
                within_batch: bool = False, s: Series = HOURLY) -> DataFrame:
     """Both scores per row, scaled with the trained bounds (or within the batch), averaged and labelled.
 
-    The reconstruction part needs a full window; rows without one are judged by the forest alone.
+    The reconstruction part needs a full window of consecutive hours. `basis` says what a score rests on: `both`, or
+    `forest` for rows that close no such window; only scores of one basis are comparable.
     """
     key = [*s.keys, s.time]
     x = model.prepare(align_columns(df, model.columns, (*s.keys, s.time)))
@@ -52,10 +58,11 @@ def score_rows(df: DataFrame, model: TrainedModel, threshold: float = 0.6, weigh
     s_if = scaled(F.col("if_score"), il, ih)
     s_ae = scaled(F.col("recon_error"), al, ah)
     score = F.coalesce(weighted_score(s_ae, s_if, weight), s_if)
-    return both.select(*key, "if_score", "recon_error", score.alias("score"), decide(score, threshold, True).alias("label"))
+    basis = F.when(s_ae.isNull(), "forest").otherwise("both")
+    return both.select(*key, "if_score", "recon_error", score.alias("score"), basis.alias("basis"), decide(score, threshold, True).alias("label"))
 
 
-def score_table_file(spark, path: str, model: TrainedModel, limit_rows: int = 200, s: Series = HOURLY, **kw) -> DataFrame:
-    """Score the newest rows of each asset in a Parquet table; 0 means all rows."""
+def score_table_file(spark, path: str, model: TrainedModel, newest: int | None = None, s: Series = HOURLY, **kw) -> DataFrame:
+    """Score a Parquet table: all rows, or the `newest` of each asset where that is asked for."""
     df = spark.read.parquet(path)
-    return score_rows(latest_rows(df, limit_rows, s) if limit_rows > 0 else df, model, s=s, **kw)
+    return score_rows(df if newest is None else latest_rows(df, newest, s), model, s=s, **kw)

@@ -32,6 +32,7 @@ class TrainedModel:
     meta: dict = field(default_factory=dict)
     evaluation: DataFrame | None = None
     importances: DataFrame | None = None
+    forest_evaluation: DataFrame | None = None
 
     def prepare(self, df: DataFrame) -> DataFrame:
         return scale(impute_medians(df, self.medians), self.scaler)
@@ -62,7 +63,15 @@ class TrainedModel:
 
 
 def train(gold: DataFrame, p: Params = DEFAULT_PARAMS, components: int = 8, ae_only: bool = True,
-          s: Series = HOURLY) -> TrainedModel:
+          windows: str = "positions", s: Series = HOURLY) -> TrainedModel:
+    """Fit both scorers on the normal training rows and evaluate them on the validation rows.
+
+    windows="positions" forms training windows over the positions of each asset's normal rows, whatever hours lie
+    between them; windows="consecutive" only where the hours follow each other. The forest's own metrics rest on all
+    validation rows, those of the reconstruction and of the ensemble on the rows that close a window.
+    """
+    if windows not in ("positions", "consecutive"):
+        raise ValueError(f"windows: {windows}")
     key = [*s.keys, s.time]
     cols = select_columns(gold, p)
     raw = gold.select(*key, "split", TARGET, *cols)
@@ -81,9 +90,7 @@ def train(gold: DataFrame, p: Params = DEFAULT_PARAMS, components: int = 8, ae_o
     )
 
     # a window repeats its rows `lookback` times, so windows are formed on the fly and never stored
-    seq_train = sequences(normal_scaled, cols, p.lookback, p.horizon_shift, s=s)
-    if seq_train.isEmpty():  # normal hours too scattered for consecutive windows
-        seq_train = sequences(normal_scaled, cols, p.lookback, p.horizon_shift, allow_gaps=True, s=s)
+    seq_train = sequences(normal_scaled, cols, p.lookback, p.horizon_shift, allow_gaps=windows == "positions", s=s)
     seq_valid = sequences(valid, cols, p.lookback, p.horizon_shift, s=s)
     recon = fit_reconstruction(seq_train, cols, components)
     err_train = materialize(recon.errors(seq_train).select(*key, "recon_error"), "errors-train")
@@ -93,7 +100,9 @@ def train(gold: DataFrame, p: Params = DEFAULT_PARAMS, components: int = 8, ae_o
     if_train = materialize(
         forest.scores(feature_vector(normal_scaled, cols).select(*key, "features")).select(*key, "if_score"), "if-train"
     )
-    if_valid = forest.scores(feature_vector(valid, cols).select(*key, "y", "features")).select(*key, "y", "if_score")
+    if_valid = materialize(
+        forest.scores(feature_vector(valid, cols).select(*key, "y", "features")).select(*key, "y", "if_score"), "if-valid"
+    )
 
     def low_high(df, c):
         r = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
@@ -119,8 +128,8 @@ def train(gold: DataFrame, p: Params = DEFAULT_PARAMS, components: int = 8, ae_o
     }
     for name, frame, col in (("ae", err_train, "recon_error"), ("if", if_train, "if_score")):
         meta[f"{name}_thr_p95"] = exact_quantiles(frame, [col], [0.95]).first()["quantile"]
-    for name, col in (("ae", "recon_error"), ("if", "if_score"), ("ens", "ens_score")):
-        table = evaluate.threshold_table(valid_scores, col)
+    for name, frame, col in (("ae", valid_scores, "recon_error"), ("if", if_valid, "if_score"), ("ens", valid_scores, "ens_score")):
+        table = evaluate.threshold_table(frame, col)
         meta[f"{name}_roc_auc"] = evaluate.roc_auc(table).first()[0]
         meta[f"{name}_pr_auc"] = evaluate.average_precision(table).first()[0]
         meta[f"{name}_thr_f2"] = evaluate.best_fbeta(table, 2.0).first()["threshold"]
@@ -134,7 +143,7 @@ def train(gold: DataFrame, p: Params = DEFAULT_PARAMS, components: int = 8, ae_o
     importances = surrogate_importances(
         encoded.select(*key, *cols).join(alerts.select(*key, "operate_pred_smooth"), key), cols, "operate_pred_smooth"
     )
-    return TrainedModel(cols, medians, scaler, recon, forest, meta, rows, importances)
+    return TrainedModel(cols, medians, scaler, recon, forest, meta, rows, importances, if_valid.withColumnRenamed("y", "y_true"))
 
 
 def metrics_frame(spark: SparkSession, meta: dict) -> DataFrame:

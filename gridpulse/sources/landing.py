@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridpulse.catalog import TAG_POINTS
-from gridpulse.functions.columns import float_text_to_double, not_nan
+from gridpulse.functions.columns import float_text_to_double, not_nan, number_text
 from gridpulse.functions.joins import attach_bounded
 
 ITEM_SCHEMA = "Items array<struct<Timestamp:string,Value:variant>>"
@@ -41,7 +41,7 @@ def split_value(value: Column) -> dict[str, Column]:
     return {
         "value": not_nan(number),
         "value_text": F.when(is_bool, F.initcap(as_bool.cast("string")))
-        .when(is_number & (kind != "BIGINT"), number.cast("string"))
+        .when(is_number & (kind != "BIGINT"), number_text(number))
         .when(is_number | is_text | kind.startswith("ARRAY"), text),
         "value_bool": as_bool,
     }

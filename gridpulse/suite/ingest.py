@@ -12,15 +12,12 @@ from gridpulse.suite.base import query, readings
 from gridpulse.suite.sql import READINGS, r, with_
 
 # Each event becomes one historian item; the kind of event decides the kind of value.
-_JSON_SQL = """CASE event_type
-    WHEN 'view' THEN CAST(value AS VARCHAR)
-    WHEN 'click' THEN '"' || replace(CAST(value AS VARCHAR), '.', ',') || '"'
-    WHEN 'error' THEN '{"Name":"No Data"}'
-    WHEN 'purchase' THEN '" ' || CAST(value AS VARCHAR) || 'd"'
-    ELSE CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END END"""
+# Numbers are scaled by powers of two, which is exact, to reach very large and very small ones.
+_SIZES = (1.0, 2.0**30, 2.0**-24, 1.0, 2.0**60, 2.0**-13)
+_SIZED = "(value * CASE event_id % 6 " + " ".join(f"WHEN {i} THEN CAST({x!r} AS DOUBLE)" for i, x in enumerate(_SIZES)) + " END)"
 _SPLIT_SQL = f"""
-    {r("CASE WHEN event_type IN ('view', 'click') THEN value END", "value")},
-    CASE event_type WHEN 'view' THEN CAST(value AS VARCHAR)
+    {r(f"CASE event_type WHEN 'view' THEN {_SIZED} WHEN 'click' THEN value END", "value")},
+    CASE event_type WHEN 'view' THEN CAST({_SIZED} AS VARCHAR)
         WHEN 'click' THEN replace(CAST(value AS VARCHAR), '.', ',')
         WHEN 'purchase' THEN ' ' || CAST(value AS VARCHAR) || 'd'
         WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END END AS value_text,
@@ -30,8 +27,9 @@ _SPLIT_SQL = f"""
 def _json_value():
     v = F.col("value").cast("string")
     kind = F.col("event_type")
+    sized = F.element_at(F.array(*[F.lit(x) for x in _SIZES]), (F.col("event_id") % len(_SIZES) + 1).cast("int")) * F.col("value")
     return (
-        F.when(kind == "view", v)
+        F.when(kind == "view", sized.cast("string"))
         .when(kind == "click", F.concat(F.lit('"'), F.replace(v, F.lit("."), F.lit(",")), F.lit('"')))
         .when(kind == "error", F.lit('{"Name":"No Data"}'))
         .when(kind == "purchase", F.concat(F.lit('" '), v, F.lit('d"')))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gridpulse.catalog import CATEGORIES, SIGNALS, category_of
@@ -31,11 +33,11 @@ def hourly_last_tap(spark, sf):
 
 
 @query(
-    "supplier_daily_mean",
+    "supplier_hourly_mean",
     f"""SELECT l_suppkey AS asset_id, l_returnflag AS tag, date_trunc('hour', l_shipdate) AS ts, {r('avg(l_quantity)', 'value')}
         FROM lineitem GROUP BY ALL""",
 )
-def supplier_daily_mean(spark, sf):
+def supplier_hourly_mean(spark, sf):
     """The same reduction over the largest table, with many assets."""
     from gridpulse.sources.driver_tables import table
 
@@ -65,10 +67,10 @@ def common_range(spark, sf):
 
 @query(
     "common_range_capped",
-    with_([*TO_BUCKETS, RANGES], f"""SELECT asset_id, {hour_ts('lo_hour')} AS desde, {hour_ts('least(hi_hour, lo_hour + 240)')} AS hasta FROM ranges"""),
+    with_([*TO_BUCKETS, RANGES], f"""SELECT asset_id, {hour_ts('lo_hour')} AS desde, {hour_ts('least(hi_hour, lo_hour + 241)')} AS hasta FROM ranges"""),
 )
 def common_range_capped(spark, sf):
-    c = panels.common_range(buckets(spark, sf), max_days=10)
+    c = panels.common_range(buckets(spark, sf), max_days=10.07)  # 241.68 hours
     return c.select("asset_id", hour_start(F.col("lo_hour")).alias("desde"), hour_start(F.col("hi_hour")).alias("hasta"))
 
 
@@ -79,42 +81,42 @@ def pivot_panel(spark, sf):
 
 @query(
     "hourly_spine_join",
-    with_(TO_PANEL, f"""SELECT s.asset_id, {hour_ts('s.hour')} AS ts, {r('c.value', 'value')}
-        FROM spine s LEFT JOIN clipped c ON c.asset_id = s.asset_id AND c.hour = s.hour AND c.tag = 'voltage_value'"""),
+    with_([*TO_PANEL, "tags AS (SELECT DISTINCT tag FROM buckets)"], f"""SELECT s.asset_id, t.tag, {hour_ts('s.hour')} AS ts, {r('c.value', 'value')}
+        FROM spine s CROSS JOIN tags t LEFT JOIN clipped c ON c.asset_id = s.asset_id AND c.hour = s.hour AND c.tag = t.tag"""),
 )
 def hourly_spine_join(spark, sf):
     b = buckets(spark, sf)
     ranges = panels.common_range(b)
-    one = panels.clip_to_range(b.where("tag = 'voltage_value'"), ranges).drop("tag")
-    d = panels.hourly_spine(ranges).join(one, ["asset_id", "hour"], "left")
-    return d.select("asset_id", hour_start(F.col("hour")).alias("ts"), "value")
+    tags = F.explode(F.array(*[F.lit(t) for t in SIGNALS])).alias("tag")
+    d = panels.hourly_spine(ranges).select("*", tags).join(panels.clip_to_range(b, ranges), ["asset_id", "tag", "hour"], "left")
+    return d.select("asset_id", "tag", hour_start(F.col("hour")).alias("ts"), "value")
 
 
-@query(
-    "merge_series",
-    with_(TO_BUCKETS, f"""SELECT asset_id, {hour_ts('hour')} AS ts, {r('o.value', 'oil')}, {r('h.value', 'hot')}
-        FROM (SELECT * FROM buckets WHERE tag = 'temp_oil_value') o
-        FULL JOIN (SELECT * FROM buckets WHERE tag = 'temp_spot_hot_value') h USING (asset_id, hour)"""),
-)
-def merge_series(spark, sf):
-    b = buckets(spark, sf).withColumn("ts", hour_start(F.col("hour")))
+def _merged_sql() -> str:
+    joined = "(SELECT asset_id, hour, value AS {0} FROM buckets WHERE tag = '{0}') t{1}"
+    out = joined.format(SIGNALS[0], 0)
+    for i, c in enumerate(SIGNALS[1:], 1):
+        out += f" FULL JOIN {joined.format(c, i)} USING (asset_id, hour)"
+    return f"SELECT asset_id, {hour_ts('hour')} AS ts, {_ALL} FROM {out}"
 
-    def one(tag, name):
-        return b.where(F.col("tag") == tag).select("asset_id", "ts", F.col("value").alias(name))
 
-    return panels.merge_series(one("temp_oil_value", "oil"), one("temp_spot_hot_value", "hot"))
+@query("merge_series", with_(TO_BUCKETS, _merged_sql()))
+def merge_series(spark, sf):
+    b = buckets(spark, sf).withColumn("ts", hour_start(F.col("hour")))
+    one = [b.where(F.col("tag") == c).select("asset_id", "ts", F.col("value").alias(c)) for c in SIGNALS]
+    return reduce(panels.merge_series, one)
 
 
 @query(
     "series_overlap",
-    with_(TO_BUCKETS, """SELECT o.asset_id, count(*) AS common_hours FROM (SELECT * FROM buckets WHERE tag = 'temp_oil_value') o
-        JOIN (SELECT * FROM buckets WHERE tag = 'temp_spot_hot_value') h ON o.asset_id = h.asset_id AND o.hour = h.hour GROUP BY ALL"""),
+    with_(TO_BUCKETS, f"""SELECT asset_id, count(*) AS common_hours FROM (SELECT asset_id, hour FROM buckets WHERE value IS NOT NULL
+        GROUP BY asset_id, hour HAVING count(DISTINCT tag) = {len(SIGNALS)}) GROUP BY ALL"""),
 )
 def series_overlap(spark, sf):
-    """Hours at which both series have a value."""
+    """Hours at which all series have a value."""
     b = buckets(spark, sf).where(F.col("value").isNotNull())
-    oil, hot = (b.where(F.col("tag") == t).select("asset_id", "hour") for t in ("temp_oil_value", "temp_spot_hot_value"))
-    return oil.intersect(hot).groupBy("asset_id").agg(F.count(F.lit(1)).alias("common_hours"))
+    hours = [b.where(F.col("tag") == t).select("asset_id", "hour") for t in SIGNALS]
+    return reduce(lambda x, y: x.intersect(y), hours).groupBy("asset_id").agg(F.count(F.lit(1)).alias("common_hours"))
 
 
 @query("consolidated_panel", with_([*TO_PANEL, CONSOLIDATED], f"SELECT asset_id, {hour_ts('hour')} AS ts, {_ALL} FROM consolidated"))
@@ -173,20 +175,19 @@ def range_nullify(spark, sf):
 
 @query(
     "interpolate_time",
-    with_([*TO_PANEL, fill("panel", "f", ["temp_oil_value"], "forward")], f"SELECT asset_id, {hour_ts('hour')} AS ts, {r('temp_oil_value', 'temp_oil_value')} FROM f"),
+    with_([*TO_PANEL, fill("panel", "f", SIGNALS, "inside")], f"SELECT asset_id, {hour_ts('hour')} AS ts, {_ALL} FROM f"),
 )
 def interpolate_time(spark, sf):
-    return cleaning.interpolate(panel(spark, sf).select("asset_id", "ts", "temp_oil_value"), ["temp_oil_value"])
+    return cleaning.interpolate(panel(spark, sf), SIGNALS, edges="inside")
 
 
 @query(
     "interpolate_linear",
-    with_([*TO_PANEL, fill("panel", "f", ["voltage_value"], "both")], f"SELECT asset_id, {hour_ts('hour')} AS ts, {r('voltage_value', 'voltage_value')} FROM f"),
+    with_([*TO_PANEL, fill("panel", "f", SIGNALS, "both")], f"SELECT asset_id, {hour_ts('hour')} AS ts, {_ALL} FROM f"),
 )
 def interpolate_linear(spark, sf):
     """By row position; on the gap-free spine this equals the time-weighted form of the SQL."""
-    d = panel(spark, sf).select("asset_id", "ts", "voltage_value")
-    return cleaning.interpolate(d, ["voltage_value"], by="position", edges="both")
+    return cleaning.interpolate(panel(spark, sf), SIGNALS, by="position", edges="both")
 
 
 @query(

@@ -72,13 +72,13 @@ def fill(src: str, out: str, line: list[str], edges: str, forward: list[str] = (
             f"first_value({c} IGNORE NULLS) {AHEAD} AS nv_{c}", f"first_value({x} IGNORE NULLS) {AHEAD} AS nt_{c}",
         ]
         mid = f"pv_{c} + (nv_{c} - pv_{c}) / nullif(nt_{c} - pt_{c}, 0) * (CAST(hour * {HOUR_US} AS DOUBLE) - pt_{c})"
-        tail = f", pv_{c}" + (f", nv_{c}" if edges == "both" else "")
+        tail = {"both": f", pv_{c}, nv_{c}", "inside": ""}[edges]
         cols.append(f"coalesce({c}, {mid}{tail}) AS {c}")
     for c in [*forward, *backward]:
         near.append(f"last_value({c} IGNORE NULLS) {BACK} AS pv_{c}")
-    for c in backward:
+    for c in [*backward, *forward]:
         near.append(f"first_value({c} IGNORE NULLS) {AHEAD} AS nv_{c}")
-    cols += [f"pv_{c} AS {c}" for c in forward]
+    cols += [f"CASE WHEN nv_{c} IS NOT NULL THEN pv_{c} END AS {c}" for c in forward]  # up to the last reading
     cols += [f"coalesce(pv_{c}, nv_{c}) AS {c}" for c in backward]
     rest = [c for c in SIGNALS if c not in {*line, *forward, *backward}]
     return (
@@ -92,7 +92,7 @@ def nullify(c: str) -> str:
     return f"CASE WHEN {c} BETWEEN {lo} AND {hi} THEN {c} END AS {c}"
 
 
-CONSOLIDATED = fill("panel", "consolidated", THERMAL, "forward", forward=[TAP])
+CONSOLIDATED = fill("panel", "consolidated", THERMAL, "inside", forward=[TAP])
 PLAUSIBLE_CTE = f"plausible AS (SELECT asset_id, hour, {', '.join(nullify(c) for c in SIGNALS)} FROM consolidated)"
 FILLED = fill("plausible", "filled", LINE, "both", backward=[TAP])
 CLEAN = f"""clean AS (SELECT asset_id, hour, {hour_ts("hour")} AS ts, {", ".join(r(c, c) for c in SIGNALS)} FROM filled)"""

@@ -230,7 +230,8 @@ def test_gold_train_score_roundtrip(spark):
     assert g.count() == len(pdf)
     m = train(g, p)
     assert m.evaluation.count() > 0 and 0 <= m.meta["ae_roc_auc"] <= 1
-    assert m.meta["operate_thr"] is not None and m.importances.count() == 12
+    assert m.meta["operate_thr"] is not None and m.importances.count() == len(m.columns)
+    assert m.forest_evaluation.count() == g.where("split <> 'train'").count()
     path = fresh_dir(spark, "model")
     m.save(path)
     back = TrainedModel.load(spark, path)
