@@ -103,7 +103,9 @@ def number_text(x: Column) -> Column:
         return F.regexp_replace(digits, r"\.$", ".0")
 
     # the fewest digits that read back as the same number
-    tries = [F.format_string(f"%.{digits}e", x) for digits in (14, 15, 16)]
+    full = F.format_string("%.16e", x)
+    cut = F.regexp_replace(full, "[0-9]e", "e")  # rounding up half-way cases may miss the number, cutting them off does not
+    tries = [F.format_string("%.14e", x), F.format_string("%.15e", x), cut, full]
     short = F.coalesce(*[F.when(t.cast("double") == x, t) for t in tries])
     short = F.regexp_replace(short, r"\.?0*e", "e")
     return (

@@ -129,23 +129,34 @@ def train(gold: DataFrame, p: Params = DEFAULT_PARAMS, components: int = 8, ae_o
     for name, frame, col in (("ae", err_train, "recon_error"), ("if", if_train, "if_score")):
         meta[f"{name}_thr_p95"] = exact_quantiles(frame, [col], [0.95]).first()["quantile"]
     for name, frame, col in (("ae", valid_scores, "recon_error"), ("if", if_valid, "if_score"), ("ens", valid_scores, "ens_score")):
-        table = evaluate.threshold_table(frame, col)
-        meta[f"{name}_roc_auc"] = evaluate.roc_auc(table).first()[0]
-        meta[f"{name}_pr_auc"] = evaluate.average_precision(table).first()[0]
-        meta[f"{name}_thr_f2"] = evaluate.best_fbeta(table, 2.0).first()["threshold"]
+        meta.update({f"{name}_{k}": v for k, v in score_metrics(frame, col).items()})
     thr = evaluate.operating_threshold(valid_scores, "operate_score", "y", p.beta, p.precision_target).first()
     meta["operate_thr"] = thr["operate_thr"]
 
-    flagged = valid_scores.withColumn("operate_pred_raw", (F.col("operate_score") > F.lit(meta["operate_thr"])).cast("int"))
-    alerts = evaluate.smooth_alerts(flagged, "operate_pred_raw", p.smooth_k, p.smooth_m, "operate_pred_smooth", s)
-    alerts = materialize(alerts, "alerts")
-    rows = alerts.select(*key, F.col("y").alias("y_true"), "operate_score", "operate_pred_raw", "operate_pred_smooth")
+    rows = materialize(evaluation_table(valid_scores, meta["operate_thr"], p, s), "alerts")
     importances = surrogate_importances(
-        encoded.select(*key, *cols).join(alerts.select(*key, "operate_pred_smooth"), key), cols, "operate_pred_smooth"
+        encoded.select(*key, *cols).join(rows.select(*key, "operate_pred_smooth"), key), cols, "operate_pred_smooth"
     )
     return TrainedModel(cols, medians, scaler, recon, forest, meta, rows, importances, if_valid.withColumnRenamed("y", "y_true"))
 
 
+def score_metrics(scores: DataFrame, col: str, truth: str = "y") -> dict[str, float]:
+    """Area under both curves and the best F2 threshold of one score."""
+    table = materialize(evaluate.threshold_table(scores, col, truth), "thresholds")
+    return {
+        "roc_auc": evaluate.roc_auc(table).first()[0],
+        "pr_auc": evaluate.average_precision(table).first()[0],
+        "thr_f2": evaluate.best_fbeta(table, 2.0).first()["threshold"],
+    }
+
+
+def evaluation_table(scores: DataFrame, threshold: float, p: Params = DEFAULT_PARAMS, s: Series = HOURLY) -> DataFrame:
+    """keys, time, y_true, operate_score, operate_pred_raw, operate_pred_smooth of rows with y and operate_score."""
+    flagged = scores.withColumn("operate_pred_raw", (F.col("operate_score") > F.lit(threshold)).cast("int"))
+    alerts = evaluate.smooth_alerts(flagged, "operate_pred_raw", p.smooth_k, p.smooth_m, "operate_pred_smooth", s)
+    return alerts.select(*s.keys, s.time, F.col("y").alias("y_true"), "operate_score", "operate_pred_raw", "operate_pred_smooth")
+
+
 def metrics_frame(spark: SparkSession, meta: dict) -> DataFrame:
     return spark.createDataFrame([(json.dumps(meta),)], "meta string")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridpulse.catalog import SIGNALS, Params
@@ -9,14 +10,15 @@ from gridpulse.functions.columns import min_max_scale, weighted_score
 from gridpulse.models import evaluate as ev
 from gridpulse.models.explain import surrogate_importances
 from gridpulse.models.iforest import fit_forest
-from gridpulse.models.prep import fit_scaler, scale, sequences
-from gridpulse.models.reconstruction import feature_contributions, fit_reconstruction
+from gridpulse.models.prep import scale, sequences
+from gridpulse.models.reconstruction import Reconstruction, feature_contributions, fit_reconstruction
 from gridpulse.plans.scoring import score_latest_window, score_rows
-from gridpulse.plans.training import train
+from gridpulse.plans.training import evaluation_table, score_metrics, train
 from gridpulse.session import fresh_dir
 from gridpulse.sources.driver_tables import table
 from gridpulse.streaming.ingest import append_stream, drain, hourly_mean_stream, stream_readings
-from gridpulse.suite.base import clean, query, readings, silver
+from gridpulse.suite import given
+from gridpulse.suite.base import clean, query, readings
 from gridpulse.suite.datasets import _SPLIT, gold_table
 from gridpulse.suite.labels import _EV
 from gridpulse.suite.sql import READINGS, TO_CLEAN, W, r, with_
@@ -169,36 +171,70 @@ def _vectors(spark, sf):
     return e.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("features"))
 
 
-@query("isolation_forest_score")
+@query("isolation_forest_score", f"""SELECT vec_id, label, {r(given.forest_sql(given.VECTOR_TREES, lambda i: f"CAST(embedding[{i + 1}] AS DOUBLE)"), "if_score")} FROM embeddings""")
 def isolation_forest_score(spark, sf):
-    """Grown on the vectors of class 0, applied to all."""
-    d = _vectors(spark, sf)
-    return fit_forest(d.where("label = 0"), ["vec_id"], trees=200).scores(d).select("vec_id", "label", "if_score")
+    """A given forest applied to all vectors."""
+    return given.forest(spark, given.VECTOR_TREES).scores(_vectors(spark, sf)).select("vec_id", "label", "if_score")
 
 
-@query("pca_reconstruction_error")
+@query(
+    "isolation_forest_fit",
+    """SELECT tree, CAST(count(DISTINCT vec_id) >= 256 AS BIGINT) AS full_sample, CAST(1 AS BIGINT) AS roots
+       FROM embeddings, range(50) t(tree) WHERE label = 0 GROUP BY tree""",
+)
+def isolation_forest_fit(spark, sf):
+    """Shape of a fitted forest: every tree has one root, every inner node two children, and a sample of 256 where there are as many rows."""
+    d = _vectors(spark, sf).where("label = 0")
+    grown = fit_forest(d, ["vec_id"], trees=50)
+    per_tree = grown.nodes.groupBy(F.col("tree").cast("long").alias("tree")).agg(
+        F.count_if(F.col("node") == 0).alias("roots"),
+        F.count_if(F.col("feature") < 0).alias("leaves"), F.count_if(F.col("feature") >= 0).alias("inner"),
+    )
+    whole = per_tree.where(F.col("leaves") == F.col("inner") + 1)  # a tree that is not whole is missing from the result
+    return whole.select("tree", F.lit(int(grown.sample == 256)).cast("long").alias("full_sample"), "roots")
+
+
+_WIDTH = 64
+_MEAN = [0.001 * (i % 7) for i in range(_WIDTH)]
+_KEPT = 8
+
+
+@query("pca_reconstruction_error", f"""SELECT vec_id, label, {r(" + ".join(f"power(CAST(embedding[{i + 1}] AS DOUBLE) - {_MEAN[i]!r}, 2)" for i in range(_KEPT, _WIDTH)), "squares")},
+    {r("(" + " + ".join(f"power(CAST(embedding[{i + 1}] AS DOUBLE) - {_MEAN[i]!r}, 2)" for i in range(_KEPT, _WIDTH)) + f") / {_WIDTH}", "recon_error")} FROM embeddings""")
 def pca_reconstruction_error(spark, sf):
+    """A given mean and eight axes as components: what remains is the squared rest."""
+    d = _vectors(spark, sf).withColumn("seq", F.array("features"))
+    model = Reconstruction([f"x{i}" for i in range(_WIDTH)], 1, np.array(_MEAN), np.eye(_WIDTH)[:, :_KEPT])
+    total = F.aggregate("per_feature", F.lit(0.0), lambda a, v: a + v)
+    return model.errors(d).select("vec_id", "label", total.alias("squares"), "recon_error")
+
+
+@query("pca_full_rank", "SELECT vec_id, CAST(0 AS DOUBLE) AS recon_error FROM embeddings")
+def pca_full_rank(spark, sf):
+    """Fitted with as many components as columns, the reconstruction is exact."""
     d = _vectors(spark, sf).withColumn("seq", F.array("features"))
-    width = d.select(F.size("features")).first()[0]
-    model = fit_reconstruction(d.where("label = 0"), [f"x{i}" for i in range(width)], k=8)
-    return model.errors(d).select("vec_id", "label", "recon_error")
+    model = fit_reconstruction(d, [f"x{i}" for i in range(_WIDTH)], k=_WIDTH)
+    return model.errors(d).select("vec_id", F.abs(F.round("recon_error", 9)).alias("recon_error"))
 
 
-def _panel_model(spark, sf):
-    d = silver(spark, sf)
-    d = scale(d, fit_scaler(d, SIGNALS, F.col("estado_operacional") == "NORMAL"))
-    seqs = sequences(d, SIGNALS)
-    return fit_reconstruction(seqs, SIGNALS, k=6).errors(seqs)
+_TO_SCORES = [*TO_CLEAN, given.SCALED, given.ERRORS]
 
 
-@query("feature_contributions")
+@query(
+    "feature_contributions",
+    with_(_TO_SCORES, " UNION ALL ".join(
+        f"SELECT asset_id, ts, '{c}' AS feature, {r(f'e_{c}', 'contribution')} FROM scores WHERE rn >= {given.STEPS} AND rn <= n - 12" for c in SIGNALS)),
+)
 def contributions(spark, sf):
-    return feature_contributions(_panel_model(spark, sf), SIGNALS, ["asset_id", "ts"])
+    seqs = sequences(scale(clean(spark, sf), given.SCALER), SIGNALS, given.STEPS, 12)
+    return feature_contributions(given.reconstruction().errors(seqs), SIGNALS, ["asset_id", "ts"])
 
 
-@query("surrogate_tree_importances")
+@query("surrogate_tree_importances", " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({int(c == HOT)} AS DOUBLE) AS importance" for c in SIGNALS))
 def surrogate_tree_importances(spark, sf):
-    d = silver(spark, sf).withColumn("alert", (F.col("nivel_severidad") == 2).cast("int"))
+    """Alerts that one feature splits exactly: it has all the importance, the others none."""
+    hot = (F.col(HOT) >= 90).cast("double")
+    d = clean(spark, sf).withColumn("alert", hot.cast("int")).withColumn(HOT, hot)
     return surrogate_importances(d, SIGNALS, "alert")
 
 
@@ -214,16 +250,55 @@ def trained(spark, sf):
     return _models[key]
 
 
-@query("training_metrics")
+@query(
+    "training_metrics",
+    with_([*_fbeta(2.0), _ST, _TT], f"""SELECT 'roc_auc' AS metric, {r('sum(neg * (tp - pos / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg))', 'value')} FROM tt
+        UNION ALL SELECT 'pr_auc', {r('sum(CAST(pos AS DOUBLE) * tp / (tp + fp)) / sum(pos)')} FROM tt
+        UNION ALL SELECT 'thr_f2', {r('thr')} FROM best"""),
+)
 def training_metrics(spark, sf):
-    m = trained(spark, sf).meta
-    rows = [(k, float(v)) for k, v in m.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
-    return spark.createDataFrame(rows, "metric string, value double")
+    """The metrics that a training run records, of a given score."""
+    found = score_metrics(scored(spark, sf), "score")
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
+
+
+@query(
+    "training_report",
+    with_([*TO_CLEAN, *_EV, _SPLIT.format(src="rul")],
+          """SELECT 'validation_rows' AS item, count(*) AS n FROM parts WHERE split = 'validation'
+             UNION ALL SELECT 'validation_positive', count(*) FROM parts WHERE split = 'validation' AND rul <= 15
+             UNION ALL SELECT 'components', CAST(8 AS BIGINT) UNION ALL SELECT 'trees', CAST(100 AS BIGINT)"""),
+)
+def training_report(spark, sf):
+    """Counts of the fitted model that SQL can state."""
+    m = trained(spark, sf)
+    seen = m.forest_evaluation.agg(F.count(F.lit(1)), F.sum("y_true")).first()
+    rows = [("validation_rows", seen[0]), ("validation_positive", int(seen[1] or 0)), ("components", m.recon.components.shape[1]),
+            ("trees", m.forest.nodes.select("tree").distinct().count())]
+    return spark.createDataFrame(rows, "item string, n long")
+
+
+@query(
+    "forest_evaluation_rows",
+    with_([*TO_CLEAN, *_EV, _SPLIT.format(src="rul")],
+          "SELECT asset_id, ts, CASE WHEN rul <= 15 THEN 1 ELSE 0 END AS y_true FROM parts WHERE split = 'validation'"),
+)
+def forest_evaluation_rows(spark, sf):
+    """The forest is judged on every validation hour."""
+    return trained(spark, sf).forest_evaluation.select("asset_id", "ts", "y_true")
 
 
-@query("evaluation_rows")
+@query(
+    "evaluation_rows",
+    with_([*TO_CLEAN, f"given AS (SELECT asset_id, ts, hour, CAST({HOT} >= 100 AS INTEGER) AS y_true, {HOT} / 150.0 AS operate_score FROM clean)",
+           "raw AS (SELECT *, CAST(operate_score > 0.6 AS INTEGER) AS operate_pred_raw FROM given)"],
+          f"""SELECT asset_id, ts, y_true, {r('operate_score', 'operate_score')}, operate_pred_raw,
+              CASE WHEN sum(operate_pred_raw) OVER ({W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) >= 4 THEN 1 ELSE 0 END AS operate_pred_smooth FROM raw"""),
+)
 def evaluation_rows(spark, sf):
-    return trained(spark, sf).evaluation
+    """Decisions and smoothed alerts of a given score at a given threshold."""
+    d = clean(spark, sf).select("asset_id", "ts", (F.col(HOT) >= 100).cast("int").alias("y"), (F.col(HOT) / 150.0).alias("operate_score"))
+    return evaluation_table(d, 0.6)
 
 
 @query(
@@ -240,14 +315,32 @@ def evaluation_truth(spark, sf):
     return trained(spark, sf).evaluation.select("asset_id", "ts", "y_true")
 
 
-@query("latest_window_scores")
+_AE = f"(recon_error - {given.META['ae_score_min']}) / {given.META['ae_score_max'] - given.META['ae_score_min']}"
+_IF = f"(if_score - {given.META['if_score_min']}) / {given.META['if_score_max'] - given.META['if_score_min']!r}"
+
+
+@query(
+    "latest_window_scores",
+    with_(_TO_SCORES, f"""SELECT asset_id, ts, {r(_AE, 'score')}, CAST({_AE} > {given.META['operate_thr']} AS INTEGER) AS pred,
+        CASE WHEN {_AE} > {given.META['operate_thr']} THEN 'ANOMALY' ELSE 'NORMAL' END AS label, 'window' AS basis, 'given' AS model_version
+        FROM scores WHERE rn = n AND n >= {given.STEPS}
+        UNION ALL SELECT asset_id, ts, NULL, 0, 'NORMAL', 'too_short', 'given' FROM scores WHERE rn = n AND n < {given.STEPS}"""),
+)
 def latest_window_scores(spark, sf):
-    return score_latest_window(gold_table(spark, sf), trained(spark, sf))
+    return score_latest_window(clean(spark, sf), given.model(spark))
 
 
-@query("batch_scores")
+_BOTH = f"(CASE WHEN rn >= {given.STEPS} THEN 0.5 * {_AE} + 0.5 * {_IF} ELSE {_IF} END)"
+
+
+@query(
+    "batch_scores",
+    with_(_TO_SCORES, f"""SELECT asset_id, ts, {r('if_score', 'if_score')}, {r(f'CASE WHEN rn >= {given.STEPS} THEN recon_error END', 'recon_error')},
+        {r(_BOTH, 'score')}, CASE WHEN rn >= {given.STEPS} THEN 'both' ELSE 'forest' END AS basis,
+        CASE WHEN {_BOTH} >= 0.6 THEN 'ANOMALY' ELSE 'NORMAL' END AS label FROM scores"""),
+)
 def batch_scores(spark, sf):
-    return score_rows(gold_table(spark, sf), trained(spark, sf))
+    return score_rows(clean(spark, sf), given.model(spark))
 
 
 # ---- streams ----------------------------------------------------------------------------------------------------
