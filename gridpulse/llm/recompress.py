@@ -208,7 +208,7 @@ def repeated_windows(docs: DataFrame, width: int, rounds: int, scratch: Scratch)
         blocks.groupBy("name").agg(F.count("*").alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
         .where("n > 1").select("name", (F.col("least") != F.col("most")).alias("mixed")), "shared")
     kept = scratch.write(blocks.join(shared, "name"), "kept")
-    scratch.drop("blocks")
+    scratch.drop("blocks", "shared")
     same = kept.where(~F.col("mixed")).select("id", "th", "first", "windows")
     # of equal blocks, one speaks for all; where it is not alone, its windows are repeated anyhow
     speakers = scratch.write(
@@ -218,9 +218,11 @@ def repeated_windows(docs: DataFrame, width: int, rounds: int, scratch: Scratch)
     members = kept.where("mixed").join(speakers.where(~F.col("alone")).select("name", "block"), ["name", "block"], "left_semi").select(
         "id", "th", "first", "windows")
     single = scratch.write(_single_windows(docs, speakers, width), "single")
-    twice = single.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    twice = scratch.write(single.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
     border = single.where("alone").join(twice, "hash", "left_semi").join(speakers.select("speaker", "id", "th", "first"), "speaker").select(
         "id", "th", (F.col("first") + F.col("step")).cast("int").alias("first"), F.lit(1).cast("short").alias("windows"))
+    border = scratch.write(border, "border")
+    scratch.drop("single", "twice")
     return same.unionByName(members).unionByName(border)
 
 
