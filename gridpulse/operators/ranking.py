@@ -53,20 +53,43 @@ def _counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> DataFrame:
-    """(column, q, quantile) with linear interpolation between neighbours; missing values are left out."""
-    ranked = running_totals(_counts(df, cols), "value", ["n"], ["column"])
-    size = ranked.groupBy("column").agg(F.max("cum_n").alias("__size"))
-    q = F.explode(F.array(*[F.lit(float(v)) for v in qs])).alias("q")
-    targets = size.select("column", "__size", q).withColumn("__h", F.col("q") * (F.col("__size") - 1))
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(column, q, quantile) with linear interpolation between neighbours; missing values are left out.
+
+    A sketch brackets each quantile: its rank error is at most n / accuracy, so the true neighbours lie inside. Then one
+    pass counts what is below each bracket, and only the values inside it are shuffled and ranked.
+    """
+    spark = df.sparkSession
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    sizes = d.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    cols = [c for c in cols if sizes[c]]
+    want = [(c, float(q)) for c in cols for q in qs]
+    if not want:
+        return spark.createDataFrame([], "column string, q double, quantile double")
+
+    def edge(c: str, q: float, side: int) -> Column:
+        at = min(1.0, max(0.0, q + side * (2.0 / accuracy + 2.0 / sizes[c])))
+        return F.percentile_approx(F.col(c), at, accuracy)
+
+    edges = d.agg(*[edge(c, q, side).alias(f"{side}_{i}") for i, (c, q) in enumerate(want) for side in (-1, 1)]).first()
+    low, high = ([edges[f"{side}_{i}"] for i in range(len(want))] for side in (-1, 1))
+    below = d.agg(*[F.count_if(F.col(c) < low[i]).alias(str(i)) for i, (c, _) in enumerate(want)]).first()
+    inside = F.array(*[
+        F.when(F.col(c).between(low[i], high[i]), F.struct(F.lit(i).alias("i"), F.col(c).alias("value"))) for i, (c, _) in enumerate(want)])
+    counts = d.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, "value", ["n"], ["i"])
+    targets = spark.createDataFrame(
+        [(i, c, q, q * (sizes[c] - 1), below[str(i)]) for i, (c, q) in enumerate(want)],
+        "i int, column string, q double, __h double, __below long")  # columns x quantiles rows
 
     def holds(rank: Column) -> Column:
-        return (F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n"))
+        last = F.col("__below") + F.col("cum_n")
+        return (last - F.col("n") <= rank) & (rank < last)
 
     lo, hi = F.floor("__h"), F.ceil("__h")
-    found = ranked.join(F.broadcast(targets), "column").where(holds(lo) | holds(hi))  # columns x quantiles rows
-    low, high = F.max(F.when(holds(lo), F.col("value"))), F.max(F.when(holds(hi), F.col("value")))
-    return found.groupBy("column", "q").agg(low.alias("__lo"), high.alias("__hi"), F.max("__h").alias("__h")).select(
+    found = ranked.join(F.broadcast(targets), "i").where(holds(lo) | holds(hi))
+    left, right = F.max(F.when(holds(lo), F.col("value"))), F.max(F.when(holds(hi), F.col("value")))
+    return found.groupBy("column", "q").agg(left.alias("__lo"), right.alias("__hi"), F.max("__h").alias("__h")).select(
         "column", "q", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__h") - F.floor("__h"))).alias("quantile")
     )
 

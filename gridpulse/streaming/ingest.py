@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -47,18 +48,21 @@ def hourly_mean_stream(readings: DataFrame, late: str = "2 hours") -> DataFrame:
 def smooth_alerts_stream(flags: DataFrame, k: int = DEFAULT_PARAMS.smooth_k, m: int = DEFAULT_PARAMS.smooth_m) -> DataFrame:
     """(asset_id, ts, flag) to (asset_id, ts, flag, alert). The state of an asset is its last m flags.
 
-    Rows of one asset must arrive in time order between batches; inside a batch they are sorted here.
+    Rows of one asset must arrive in time order between batches; inside a batch they are sorted here. A micro-batch is
+    what an asset holds in memory: bound it with `maxFilesPerTrigger` or `maxBytesPerTrigger` on the reader.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        alerts = []
-        for flag in rows["flag"]:
-            recent = (recent + [int(flag)])[-m:]
-            alerts.append(int(sum(recent) >= k))
-        state.update((recent,))
-        yield pd.DataFrame({"asset_id": key[0], "ts": rows["ts"], "flag": rows["flag"].astype("int32"), "alert": alerts})
+        recent = np.array(state.get[0] if state.exists else [], dtype=np.int64)
+        parts = list(batches)
+        ts, flag = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("ts", "flag"))
+        order = np.argsort(ts, kind="stable")
+        flags = np.concatenate([recent, flag[order].astype(np.int64)])
+        total = np.concatenate([[0], np.cumsum(flags)])
+        end = np.arange(len(recent), len(flags)) + 1
+        alerts = total[end] - total[np.maximum(end - m, 0)] >= k
+        state.update((flags[-m:].tolist(),))
+        yield pd.DataFrame({"asset_id": key[0], "ts": ts[order], "flag": flag[order].astype("int32"), "alert": alerts.astype("int32")})
 
     return flags.groupBy("asset_id").applyInPandasWithState(
         step, "asset_id long, ts timestamp, flag int, alert int", "recent array<int>", "append", GroupStateTimeout.NoTimeout

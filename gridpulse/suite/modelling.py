@@ -16,7 +16,7 @@ from gridpulse.plans.scoring import score_latest_window, score_rows
 from gridpulse.plans.training import evaluation_table, score_metrics, train
 from gridpulse.session import fresh_dir
 from gridpulse.sources.driver_tables import table
-from gridpulse.streaming.ingest import append_stream, drain, hourly_mean_stream, stream_readings
+from gridpulse.streaming.ingest import append_stream, drain, hourly_mean_stream, smooth_alerts_stream, stream_readings
 from gridpulse.suite import given
 from gridpulse.suite.base import clean, query, readings
 from gridpulse.suite.datasets import _SPLIT, gold_table
@@ -367,6 +367,22 @@ def stream_hourly_mean(spark, sf):
     return spark.read.schema(_STREAM_SCHEMA).parquet(out)
 
 
+@query(
+    "stream_smooth_alerts",
+    with_([*TO_CLEAN, f"flags AS (SELECT *, CAST({HOT} >= 90 AS INTEGER) AS flag FROM clean)"],
+          f"""SELECT asset_id, ts, flag, CASE WHEN sum(flag) OVER ({W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) >= 4 THEN 1 ELSE 0 END AS alert FROM flags"""),
+)
+def stream_smooth_alerts(spark, sf):
+    """Flags arriving in two batches; the state carries the last ones over. The result equals the batch form."""
+    flags = clean(spark, sf).select("asset_id", "ts", (F.col(HOT) >= 90).cast("int").alias("flag"))
+    source, out, state = (fresh_dir(spark, n) for n in ("flags", "stream-alerts", "stream-state"))
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    for part in (early, ~early):
+        flags.where(part).write.mode("append").parquet(source)
+        drain(smooth_alerts_stream(stream_readings(spark, source, "asset_id long, ts timestamp, flag int")), out, state)
+    return spark.read.schema("asset_id long, ts timestamp, flag int, alert int").parquet(out)
+
+
 @query("stream_append", with_([READINGS], f"SELECT tag, strftime(ts, '%Y-%m-%d') AS date, count(*) AS rows, {r('sum(value)', 'total')} FROM readings GROUP BY ALL"))
 def stream_append(spark, sf):
     """Streamed into the Bronze layout; a second run with the same checkpoint finds nothing new."""

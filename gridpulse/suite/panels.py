@@ -336,3 +336,25 @@ def rule_band_hours(spark, sf):
     long = clean(spark, sf).unpivot(["asset_id", "ts"], SIGNALS, "columna", "valor")
     inside = (F.col("valor") >= F.col("min")) & (F.col("valor") < F.col("max"))
     return long.join(bands, "columna").where(inside).groupBy("columna", "band").agg(F.count(F.lit(1)).alias("horas"))
+
+
+@query(
+    "silver_from_bronze",
+    with_(TO_SILVER, f"SELECT asset_id, ts, {_ALL}, estado_operacional, nivel_severidad, variables_anomalas FROM silver"),
+)
+def silver_from_bronze(spark, sf):
+    """The same panel from Bronze rows: historian aliases, numbers in two channels, rows without a valid time, unknown tags."""
+    from gridpulse.catalog import SIGNAL_ALIASES
+    from gridpulse.plans.silver import silver_from_bronze as plan
+    from gridpulse.suite.base import PANEL_DECIMALS
+
+    alias = F.create_map(*[F.lit(x) for a, s in SIGNAL_ALIASES.items() for x in (s, a)])
+    as_text = F.col("tag").isin("temp_ambient_value", "tap_position_value")
+    rows = readings(spark, sf).select(
+        "asset_id", alias[F.col("tag")].alias("tag"), F.col("ts").alias("timestamp"), F.when(~as_text, F.col("value")).alias("value"),
+        F.when(as_text, F.col("value").cast("string")).alias("value_text"), F.lit(None).cast("boolean").alias("value_bool"),
+    )
+    untimed = rows.withColumns({"timestamp": F.lit(None).cast("timestamp"), "value": F.lit(999.0)})
+    unknown = rows.withColumn("tag", F.concat(F.lit("other_"), "tag"))
+    found = plan(rows.unionByName(untimed).unionByName(unknown), decimals=PANEL_DECIMALS)
+    return found.select("asset_id", "ts", *SIGNALS, "estado_operacional", "nivel_severidad", "variables_anomalas")
