@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridpulse.sources.store import materialize
 
-SALTS = 32
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
-def attach_by_key(df: DataFrame, facts: DataFrame, keys: list[str], spread: Column, salts: int = SALTS,
-                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def written_bytes(df: DataFrame) -> int:
+    """Size of the files behind a table that was just written, as the optimizer knows it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def attach_by_key(df: DataFrame, facts: DataFrame, keys: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Left-join `facts`, a narrow table with one row per key.
 
-    The facts are written first, so their size is known before the large side is touched. Up to `broadcast_rows` they
-    are broadcast and the rows of `df` are not shuffled at all. Beyond, they are replicated over `salts` sub-keys and
-    each row takes its sub-key from `spread`, so a key holding a third of all rows still lands in many tasks.
+    The facts are written first, so their size in bytes is known before the large side is touched. Up to
+    `broadcast_bytes` of files they are broadcast and the rows of `df` are not shuffled at all. Beyond, both sides are
+    shuffled, and adaptive execution cuts the partition of a key that owns a large share of the rows into as many tasks
+    as its bytes need.
     """
     facts = materialize(facts, "facts")
-    if facts.count() <= broadcast_rows:
-        return df.join(F.broadcast(facts), keys, "left")
-    wide = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-        .join(wide, [*keys, "__salt"], "left")
-        .drop("__salt")
-    )
+    return df.join(F.broadcast(facts) if written_bytes(facts) <= broadcast_bytes else facts, keys, "left")
 
 
 def attach_bounded(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -135,7 +135,7 @@ def cumulative_risk(df: DataFrame, event: Column, p: Params = DEFAULT_PARAMS, s:
 
 def scale_to_max(d: DataFrame, col: str, s: Series = HOURLY) -> DataFrame:
     top = d.groupBy(*s.keys).agg(F.max(col).alias("__top"))
-    d = attach_by_key(d, top, list(s.keys), F.col(s.time))
+    d = attach_by_key(d, top, list(s.keys))
     return d.withColumn(col, F.when(F.col("__top") > 0, F.col(col) / F.col("__top")).otherwise(F.col(col))).drop("__top")
 
 

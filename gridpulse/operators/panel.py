@@ -89,7 +89,7 @@ def hourly_spine(ranges: DataFrame) -> DataFrame:
 
 def clip_to_range(buckets: DataFrame, ranges: DataFrame) -> DataFrame:
     """Keep the part of each bucket inside [start, end]; of the closing hour only its first instant counts."""
-    d = attach_by_key(buckets, ranges, ["asset_id"], F.col("hour"))
+    d = attach_by_key(buckets, ranges, ["asset_id"])
     return (
         d.where(F.col("hour").between(F.col("lo_hour"), F.col("hi_hour")))
         .withColumn("value", F.when(F.col("hour") == F.col("hi_hour"), F.col("on_hour")).otherwise(F.col("value")))

@@ -52,7 +52,7 @@ def peaks(df: DataFrame, col: str, distance: int = 12, min_rows: int = 48, round
     The candidates are written before they are suppressed: that takes several passes over them.
     """
     facts = df.groupBy(*s.keys).agg(F.avg(col).alias("__mean"), F.count(col).alias("__len"))
-    found = attach_by_key(candidates(df, col, s), facts, list(s.keys), F.col("pos"))
+    found = attach_by_key(candidates(df, col, s), facts, list(s.keys))
     found = found.where((F.col("height") >= F.col("__mean")) & (F.col("__len") > min_rows)).drop("__mean", "__len")
     live = materialize(found, "candidates").withColumn("state", F.lit("open"))
     for _ in range(rounds):
@@ -109,7 +109,7 @@ def peak_counts(df: DataFrame, col: str = "temp_oil_value", out: str = "thermal_
     """Peaks among the current row and the `window` rows before it; NULL for series too short to have the feature."""
     marks = peaks(df, col, distance, min_rows, s=s).select(*s.keys, s.time, F.lit(1).alias("__peak"))
     enough = df.groupBy(*s.keys).agg((F.count(col) > min_rows).alias("__enough"))
-    d = attach_by_key(df.join(marks, [*s.keys, s.time], "left"), enough, list(s.keys), F.col(s.time))
+    d = attach_by_key(df.join(marks, [*s.keys, s.time], "left"), enough, list(s.keys))
     count = F.coalesce(F.sum("__peak").over(s.ahead().rowsBetween(-window, 0)), F.lit(0)).cast("double")
     return over_chunks(
         d, [lambda w: {out: F.when(F.col("__enough"), count)}], s, before=window, drop=["__peak", "__enough"]

@@ -13,17 +13,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridpulse.sources.store import materialize
 
-BUCKETS = 64
+BUCKETS = 64  # at least
 
 
 def running_totals(df: DataFrame, order: str, sums: list[str], keys: list[str] = (), descending: bool = False,
-                   buckets: int = BUCKETS) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Add cum_<col>: total of <col> over this and all earlier rows in `order`, per `keys`.
 
-    Expects one row per (keys, order). `keys` must be few (column names, splits), not data values.
+    Expects one row per (keys, order). `keys` must be few (column names, splits), not data values. Buckets are as many as
+    shuffle partitions unless given.
     """
     keys = list(keys)
     d = materialize(df, "ranked")
+    buckets = buckets or max(BUCKETS, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     steps = [i / buckets for i in range(1, buckets)]
     borders = d.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), steps, 1000).alias("__borders"))
     fetched = borders.collect()  # len(keys) x BUCKETS numbers

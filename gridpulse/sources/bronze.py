@@ -108,7 +108,7 @@ def resume(new: DataFrame, marks: DataFrame, start: Column, keys: list[str] = ("
     exact=True resumes strictly after the mark; exact=False keeps the historian's rule of one second after it.
     """
     t = F.col(time_column(new))
-    d = attach_by_key(new, marks, list(keys), t)
+    d = attach_by_key(new, marks, list(keys))
     later = t > F.col("mark") if exact else t >= F.col("mark") + F.expr("interval 1 second")
     return d.where(F.coalesce(later, t >= start)).drop("mark")
 
@@ -126,7 +126,7 @@ def unify_value(df: DataFrame, keys: list[str] = ("asset_id", "tag")) -> DataFra
     choice = df.groupBy(*keys).agg(
         F.count("value").alias("__numbers"), F.count(text).alias("__texts")
     )
-    d = attach_by_key(df, choice, list(keys), F.col(time_column(df)))
+    d = attach_by_key(df, choice, list(keys))
     unified = (
         F.when(F.col("__numbers") > 0, F.col("value"))
         .when(F.col("__texts") > 0, text)

@@ -205,8 +205,8 @@ def test_attached_facts_beyond_the_broadcast_bound(spark):
 
     df = spark.range(1000).select(F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 7).alias("k"), "id")
     facts = df.groupBy("k").agg(F.count("*").alias("n")).where("k <> 3")
-    small = attach_by_key(df, facts, ["k"], F.col("id"))
-    large = attach_by_key(df, facts, ["k"], F.col("id"), broadcast_rows=0)
+    small = attach_by_key(df, facts, ["k"])
+    large = attach_by_key(df, facts, ["k"], broadcast_bytes=0)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
     assert large.count() == 1000
