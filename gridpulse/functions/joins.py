@@ -11,7 +11,7 @@ BROADCAST_BYTES = 16 << 20
 
 def written_bytes(df: DataFrame) -> int:
     """Size of the files behind a table that was just written, as the optimizer knows it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def attach_by_key(df: DataFrame, facts: DataFrame, keys: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridpulse.catalog import ALERT, CRITICAL, DEFAULT_PARAMS, NORMAL, Params
 from gridpulse.functions.joins import attach_by_key
+from gridpulse.sources.store import materialize
 from gridpulse.operators.series import CHUNK, HOURLY, HOME, Series, by_chunk, fill_across, running, with_halo
 
 MICROS_DAY, MICROS_HOUR = 8.64e10, 3.6e9
@@ -134,6 +135,7 @@ def cumulative_risk(df: DataFrame, event: Column, p: Params = DEFAULT_PARAMS, s:
 
 
 def scale_to_max(d: DataFrame, col: str, s: Series = HOURLY) -> DataFrame:
+    d = materialize(d, "to-scale")  # both the maximum and the rows are read from it; the labels are computed once
     top = d.groupBy(*s.keys).agg(F.max(col).alias("__top"))
     d = attach_by_key(d, top, list(s.keys))
     return d.withColumn(col, F.when(F.col("__top") > 0, F.col(col) / F.col("__top")).otherwise(F.col(col))).drop("__top")

@@ -175,10 +175,10 @@ _N = 24
 
 @query(
     "latest_rows",
-    with_(TO_CLEAN, f"""SELECT asset_id, ts, {r(OIL, OIL)} FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ts DESC) AS rn FROM clean) WHERE rn <= {_N}"""),
+    with_(TO_CLEAN, f"""SELECT asset_id, ts, {', '.join(r(c, c) for c in SIGNALS)} FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ts DESC) AS rn FROM clean) WHERE rn <= {_N}"""),
 )
 def latest_rows(spark, sf):
-    return series.latest_rows(clean(spark, sf), _N).select("asset_id", "ts", OIL)
+    return series.latest_rows(clean(spark, sf), _N)
 
 
 @query("align_columns", with_(TO_CLEAN, f"SELECT asset_id, ts, {r(CUR, CUR)}, CAST(NULL AS DOUBLE) AS absent_feature, {r(OIL, OIL)} FROM clean"))
@@ -319,12 +319,12 @@ def gold_dataset(spark, sf):
 @query(
     "gold_partitions",
     with_([*TO_CLEAN, *_EV, _SPLIT.format(src="rul")], f"""SELECT split, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
-        count(*) AS registros, {r('avg(falla)', 'tasa_fallas')} FROM parts WHERE split = 'train' GROUP BY ALL"""),
+        count(*) AS registros, {r('avg(falla)', 'tasa_fallas')} FROM parts GROUP BY ALL"""),
 )
 def gold_partitions(spark, sf):
     path = fresh_dir(spark, "gold")
     tables.write_gold(gold_table(spark, sf), path)
-    back = tables.read_gold(spark, path, split="train")
+    back = tables.read_gold(spark, path, split="train").unionByName(tables.read_gold(spark, path, split="validation"))
     return back.groupBy("split", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")).agg(
         F.count(F.lit(1)).alias("registros"), F.avg("falla_30d").alias("tasa_fallas")
     )
@@ -332,16 +332,16 @@ def gold_partitions(spark, sf):
 
 @query(
     "snapshot_export",
-    with_([*TO_CLEAN, _SPLIT.format(src="clean")], f"SELECT asset_id, count(*) AS registros, {r(f'sum({OIL})', 'total')} FROM parts GROUP BY asset_id"),
+    with_([*TO_CLEAN, _SPLIT.format(src="clean")], f"SELECT asset_id, count(*) AS registros, {', '.join(r(f'sum({c})', c) for c in SIGNALS)} FROM parts GROUP BY asset_id"),
 )
 def snapshot_export(spark, sf):
     """Two time-stamped exports; the newest one is found and read (CSV first)."""
     folder = fresh_dir(spark, "snapshots")
     for stamp, source in (("20240101_0000", panel(spark, sf)), ("20240201_0000", clean(spark, sf))):
-        tables.export_snapshot(ds.temporal_split(source.select("asset_id", "ts", OIL)), folder, stamp)
+        tables.export_snapshot(ds.temporal_split(source), folder, stamp)
     back = tables.newest_snapshot(spark, folder)
     return back.groupBy(F.col("asset_id").cast("bigint").alias("asset_id")).agg(
-        F.count(F.lit(1)).alias("registros"), F.sum(OIL).alias("total")
+        F.count(F.lit(1)).alias("registros"), *[F.sum(c).alias(c) for c in SIGNALS]
     )
 
 

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from gridpulse.catalog import SIGNALS
 from gridpulse.operators import features as ft
 from gridpulse.operators.peaks import peak_counts
 from gridpulse.operators.rules import unstable_regulation
@@ -208,18 +209,18 @@ def efficiency_degradation(spark, sf):
 
 @query(
     "lag_features",
-    select({f"{c}_lag_{n}h": lag(c, n) for c in (OIL, CUR) for n in (1, 6, 12, 24, 48, 72, 168, 336, 720)}),
+    select({f"{c}_lag_{n}h": lag(c, n) for c in SIGNALS for n in (1, 6, 12, 24, 48, 72, 168, 336, 720)}),
 )
 def lag_features(spark, sf):
-    return ft.lag_features(clean(spark, sf).select("asset_id", "ts", OIL, CUR), [OIL, CUR]).drop(OIL, CUR)
+    return ft.lag_features(clean(spark, sf), SIGNALS).drop(*SIGNALS)
 
 
 _KINDS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
-@query("rolling_stats", select({f"{OIL}_{k}_{n}h": roll(f, OIL, n) for n in (24, 72, 168, 720) for k, f in _KINDS.items()}))
+@query("rolling_stats", select({f"{c}_{k}_{n}h": roll(f, c, n) for c in SIGNALS for n in (24, 72, 168, 720) for k, f in _KINDS.items()}))
 def rolling_stats(spark, sf):
-    return ft.rolling_stats(clean(spark, sf).select("asset_id", "ts", OIL), [OIL]).drop(OIL)
+    return ft.rolling_stats(clean(spark, sf), SIGNALS).drop(*SIGNALS)
 
 
 @query(
