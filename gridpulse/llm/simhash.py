@@ -28,7 +28,7 @@ from gridpulse.llm.components import components
 
 FAN = 8
 GROUP = 4096
-CHUNK = 512
+PAIRS = 1 << 20  # that are compared at a time
 
 
 def bit_majority(hashes: np.ndarray) -> int:
@@ -100,8 +100,9 @@ class GrayIndex:
     def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs i < j within the radius, for blocks of i."""
         n, top = len(self.prints), len(self.levels) - 1
-        for at in range(0, n, CHUNK):
-            query = np.arange(at, min(n, at + CHUNK))
+        chunk = max(8, PAIRS // max(1, n))
+        for at in range(0, n, chunk):
+            query = np.arange(at, min(n, at + chunk))
             nodes = len(self.levels[top][0])
             i, node = np.repeat(query, nodes), np.tile(np.arange(nodes), len(query))
             seen = np.zeros((len(i), 1), dtype=np.uint64)
