@@ -12,12 +12,15 @@ Groups are dealt out so that none is unbounded and no link is lost:
 * `deal_sampled`, for wide fingerprints and radii beyond that: tables of sampled bits, as many as the target recall needs.
 
 From a group come only the edges of a spanning forest, never all pairs.
+
+`copy_groups` takes the groups of near fingerprints as candidates only; texts are linked where the exact Jaccard
+similarity of their shingle sets reaches the threshold.
 """
 
 from __future__ import annotations
 
 import math
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,23 +43,33 @@ def bit_majority(hashes: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(hashes)).view(">u8")[0])
 
 
-def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
-    """`words` fingerprint words of a text; all zero for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of a text in their order; none for a text without words."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return [0] * words
+        return np.empty(0, dtype=np.uint64)
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     width = min(shingle, len(parts))
     ends = ends[width - 1 :].tolist()
     one = xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(line[a:b], 42) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(ends))
+    return np.fromiter((one(line[a:b], 42) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(ends))
+
+
+def majorities(hashes: np.ndarray, words: int) -> list[int]:
+    if not len(hashes):
+        return [0] * words
     return [bit_majority(hashes if w == 0 else mix(hashes + np.uint64(w))) for w in range(words)]
 
 
+def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
+    """`words` fingerprint words of a text; all zero for a text without words."""
+    return majorities(shingle_hashes(text, shingle), words)
+
+
 def _columns(words: int) -> list[str]:
     return [f"f{w}" for w in range(words)]
 
@@ -75,6 +88,24 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
+def set_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, text_hash, set_hash and the fingerprint words of the set of shingles of every text."""
+    import xxhash
+
+    names = _columns(words)
+    fields = ["doc_id", "text_hash", "set_hash", *names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column("text").to_pylist()]
+            marks = np.array([[xxhash.xxh64_intdigest(s.tobytes(), 7), *majorities(s, words)] for s in sets], dtype=np.uint64)
+            made = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in marks.T]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text_hash"), *made], names=fields)
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, ", ".join(f"{f} long" for f in fields))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of each word in the Gray code sequence."""
     for step in (1, 2, 4, 8, 16, 32):
@@ -87,7 +118,7 @@ class GrayIndex:
 
     def __init__(self, prints: np.ndarray):
         order = np.lexsort(tuple(gray_rank(prints[:, w]) for w in reversed(range(prints.shape[1]))))
-        self.prints = prints[order]
+        self.order, self.prints = order, prints[order]
         pattern, mask = self.prints, np.full_like(self.prints, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.levels = [(pattern, mask)]
         while len(pattern) > FAN:
@@ -223,6 +254,73 @@ def group_edges(dealt: DataFrame, words: int, radius: int) -> DataFrame:
     return dealt.groupBy("bin").applyInArrow(run, ", ".join(f"{f} long" for f in fields))
 
 
+#: Index pairs of linked rows of a table; with a mask, of a row under it and one outside.
+Compare = Callable[[pa.Table, "np.ndarray | None"], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def near_prints(words: int, radius: int) -> Compare:
+    """Rows whose fingerprints differ in `radius` bits at most."""
+
+    def links(table, left=None):
+        prints = np.stack([table.column(n).to_numpy().view(np.uint64) for n in _columns(words)], axis=1)
+        if left is None:
+            index = GrayIndex(prints)
+            for i, j in index.links(radius):
+                yield index.order[i], index.order[j]
+            return
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        chunk = max(1, PAIRS // max(1, len(b)))
+        for at in range(0, len(a), chunk):
+            off = sum(np.bitwise_count(prints[a[at : at + chunk], None, w] ^ prints[b, w]).astype(np.int16) for w in range(words))
+            i, j = np.nonzero(off <= radius)
+            yield a[at + i], b[j]
+
+    return links
+
+
+def near_sets(shingle: int, similarity: float) -> Compare:
+    """Rows whose texts have shingle sets of at least that Jaccard similarity. Texts without words are equal."""
+
+    def links(table, left=None):
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in table.column("text").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        empty = np.flatnonzero(size == 0)
+        if len(empty) > 1:
+            yield empty[1:], np.full(len(empty) - 1, empty[0])
+        name, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        listed = row[np.argsort(of, kind="stable")]
+        first, begin = np.cumsum(count) - count, np.cumsum(size) - size
+        for i in range(len(sets)) if left is None else np.flatnonzero(left):
+            has = of[begin[i] : begin[i] + size[i]]
+            has = has[count[has] > 1]
+            n = count[has]
+            at = np.repeat(first[has] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(listed[at], minlength=len(sets))
+            near = (common * (1 + similarity) >= similarity * (size[i] + size) - 1e-9) & (common > 0)
+            near &= np.arange(len(sets)) > i if left is None else ~left
+            j = np.flatnonzero(near)
+            yield np.full(len(j), i), j
+
+    return links
+
+
+def _spanning(table: pa.Table, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    node = table.column("node").to_numpy()
+    root = forest(len(node), links)
+    far = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"u": pa.array(node[far], pa.int64()), "v": pa.array(node[root[far]], pa.int64())})
+
+
+def links_by_key(rows: DataFrame, links: Compare, scratch: Scratch) -> DataFrame:
+    """Edges (u, v) between nodes that connect all linked rows of equal `key`; rows are (key, node, weight, ...)."""
+
+    def inside(table: pa.Table) -> pa.Table:
+        return _spanning(table, links(table, None))
+
+    return scratch.write(rows.groupBy("key").applyInArrow(inside, "u long, v long"), "inside")
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 2, recall: float = 0.97) -> DataFrame:
     """doc_id, f0 ... (fingerprint words), component_id (smallest doc_id reachable) of every row.
 
@@ -249,10 +347,36 @@ def near_groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int =
     return rows.join(linked.unionByName(alone), names).select("doc_id", *names, "component_id")
 
 
-#: Near copies: five-word shingles, 256-bit fingerprints. A cosine similarity c of the shingle counts makes a share
-#: acos(c) / pi of the bits differ. Two sets of one size with a Jaccard similarity of 0.8 have c = 0.89 and differ in 38
-#: of 256 bits on average; a standard deviation is 5.7 bits, so 49 bits find 97 of 100 such pairs. Unrelated texts differ in 128.
+#: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8. Candidates have 256-bit fingerprints. A cosine
+#: similarity c of the sets makes a share acos(c) / pi of the bits differ. Two sets of one size with a Jaccard similarity
+#: of 0.8 have c = 0.89 and differ in 38 of 256 bits on average; a standard deviation is 5.7 bits, so 49 bits find 97 of
+#: 100 such pairs. Unrelated texts differ in 128.
 NEAR = {"shingle": 5, "words": 4, "radius": 49}
+SIMILARITY = 0.8
+
+
+def copy_groups(docs: DataFrame, shingle: int, words: int, radius: int, similarity: float, recall: float = 0.97) -> DataFrame:
+    """doc_id, text_hash and component of every row: components of texts whose shingle sets are that similar.
+
+    Candidates are the components of fingerprints within the radius; all pairs of texts in one are verified.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    names = _columns(words)
+    rows = scratch.write(set_prints(docs, shingle, words), "prints")
+    sets = scratch.write(
+        rows.groupBy("set_hash", *names).agg(F.min("text_hash").alias("text_hash")).withColumn("node", F.xxhash64(*names)), "sets")
+    prints = scratch.write(sets.select("node", *names).distinct(), "distinct")
+    dealt = deal_sampled(prints, words, radius, scratch, recall)
+    bins = dealt.select(F.xxhash64("bin").alias("key"), F.xxhash64(*names).alias("node"), F.lit(1).alias("weight"), *names)
+    near = components(links_by_key(bins, near_prints(words, radius), scratch), scratch)
+    held = sets.join(near, "node", "left").select(F.coalesce("root", "node").alias("key"), F.col("set_hash").alias("node"), "text_hash")
+    held = scratch.write(held, "held")
+    several = scratch.write(held.join(held.groupBy("key").count().where("count > 1"), "key", "left_semi"), "several")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(several, "text_hash").dropDuplicates(["text_hash"]).select("key", "node", F.length("text").alias("weight"), "text")
+    same = links_by_key(scratch.write(texts, "texts"), near_sets(shingle, similarity), scratch)
+    roots = scratch.write(components(same, scratch).select(F.col("node").alias("set_hash"), "root"), "roots")
+    return rows.join(roots, "set_hash", "left").select("doc_id", "text_hash", F.coalesce("root", "set_hash").alias("component"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = NEAR["shingle"], words: int = NEAR["words"], radius: int = NEAR["radius"]) -> DataFrame:
@@ -261,6 +385,7 @@ def one_of_each(docs: DataFrame, shingle: int = NEAR["shingle"], words: int = NE
     Rows with a NULL doc_id take no part and stay. Of rows that repeat a kept doc_id, one stays.
     """
     named = docs.where("doc_id is not null")
-    kept = near_groups(named, shingle, words, radius).select(F.col("component_id").alias("doc_id")).distinct()
+    groups = copy_groups(named, shingle, words, radius, SIMILARITY)
+    kept = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     out = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))

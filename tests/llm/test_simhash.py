@@ -132,3 +132,34 @@ def test_crowded_tables(spark):
     place = {x: i for i, x in enumerate(names)}
     root = union(len(names), [(place[tuple(e[:4])], place[tuple(e[4:])]) for e in edges])
     assert len(set(root)) == 1
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_texts_below_the_similarity_stay(spark):
+    """A long shared passage: neighbours are similar to 0.7 or so and within 49 bits, but no near copies."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    r = random.Random(31)
+    shared = prose(r, 200, 5000)
+    texts = [shared + " " + prose(r, 40, 5000) for _ in range(40)]
+    texts += [texts[0] + " end", " ".join([prose(r, 60, 5000)] * 1), texts[1]]
+    assert max(jaccard(a, b) for i, a in enumerate(texts[:40]) for b in texts[:i]) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.one_of_each(docs).collect()) == [*range(40), 41]
+
+
+def test_repeated_lines_count_once(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    r = random.Random(5)
+    body, line = prose(r, 200, 5000), prose(r, 6, 5000)
+    docs = spark.createDataFrame([(1, f"{body} {line}"), (2, f"{body} " + f"{line} " * 200)], "doc_id long, text string")
+    assert [x.doc_id for x in simhash.one_of_each(docs).collect()] == [1]
