@@ -11,7 +11,8 @@ Groups are dealt out so that none is unbounded and no link is lost:
   them at least, so equal block values meet in a group. Block values that hold too many fingerprints are cut again.
 * `deal_sampled`, for wide fingerprints and radii beyond that: tables of sampled bits, as many as the target recall needs.
 
-From a group come only the edges of a spanning forest, never all pairs.
+From a group come only the edges of a spanning forest, never all pairs. `links_by_key` does the same for groups of any
+size: it cuts them into blocks and compares blocks with each other, without pairs that are connected already.
 
 `copy_groups` takes the groups of near fingerprints as candidates only; texts are linked where the exact Jaccard
 similarity of their shingle sets reaches the threshold.
@@ -32,6 +33,7 @@ from gridpulse.llm.components import components
 FAN = 8
 GROUP = 4096
 PAIRS = 1 << 20  # that are compared at a time
+BLOCK_TEXTS, BLOCK_CHARS = 512, 4_000_000  # that are compared in one group
 
 
 def bit_majority(hashes: np.ndarray) -> int:
@@ -312,13 +314,57 @@ def _spanning(table: pa.Table, links: Iterator[tuple[np.ndarray, np.ndarray]]) -
     return pa.table({"u": pa.array(node[far], pa.int64()), "v": pa.array(node[root[far]], pa.int64())})
 
 
-def links_by_key(rows: DataFrame, links: Compare, scratch: Scratch) -> DataFrame:
-    """Edges (u, v) between nodes that connect all linked rows of equal `key`; rows are (key, node, weight, ...)."""
+def links_by_key(rows: DataFrame, links: Compare, scratch: Scratch, most: int, heavy: int) -> DataFrame:
+    """Edges (u, v) between nodes that connect all linked rows of equal `key`; rows are (key, node, weight, ...).
+
+    A group of the plan has about `most` rows or the weight `heavy`. Crowded keys are cut into blocks; what is connected
+    inside the blocks, and then between one row of each connected part, need not be compared any more. Rows outside the
+    largest part of their key are compared with all rows of other parts, block by block, so no link is left out.
+    """
+    n_blocks = lambda n, w: F.greatest(F.ceil(n / most), F.ceil(w / heavy), F.lit(1)).cast("int")
+    carried = [c for c in rows.columns if c != "key"]
 
     def inside(table: pa.Table) -> pa.Table:
         return _spanning(table, links(table, None))
 
-    return scratch.write(rows.groupBy("key").applyInArrow(inside, "u long, v long"), "inside")
+    def across(table: pa.Table) -> pa.Table:
+        part = table.column("part").to_numpy()
+        pairs = links(table, table.column("left").to_numpy(zero_copy_only=False))
+        return _spanning(table, ((i[part[i] != part[j]], j[part[i] != part[j]]) for i, j in pairs))
+
+    def in_blocks(some: DataFrame, sizes: DataFrame, salt: int) -> DataFrame:
+        cut = some.join(sizes, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(F.lit(salt), "key", "node"), F.col("blocks")), F.lit(0)))
+        return cut.drop("blocks").groupBy("key", "block").applyInArrow(inside, "u long, v long")
+
+    def sized(some: DataFrame) -> DataFrame:
+        return some.groupBy("key").agg(n_blocks(F.count("*"), F.sum("weight")).alias("blocks")).where("blocks > 1")
+
+    sizes = scratch.write(sized(rows), "crowds")
+    edges = scratch.write(in_blocks(rows, sizes, 1), "inside")
+    if not sizes.count():
+        return edges
+    crowd = scratch.write(rows.join(sizes, "key", "left_semi"), "crowd")
+
+    def parts() -> DataFrame:
+        return crowd.join(components(edges, scratch), "node", "left").select("key", *carried, F.coalesce("root", "node").alias("part"))
+
+    one = parts().groupBy("key", "part").agg(F.min(F.struct(*carried)).alias("x")).select("key", "x.*")
+    one = scratch.write(one, "leaders")
+    edges = edges.unionByName(scratch.write(in_blocks(one, sized(one), 2), "between"))
+    cut = scratch.write(parts(), "parts")
+    by_part = cut.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    total = by_part.groupBy("key").agg(
+        F.count("*").alias("parts"), F.max(F.struct("n", "w", "part")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    total = scratch.write(total.where("parts > 1").select(
+        "key", F.col("main.part").alias("main"), n_blocks(F.col("n"), F.col("w")).alias("blocks"),
+        n_blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("sides")), "mains")
+    both = cut.join(total, "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    place = lambda c: F.pmod(F.xxhash64(F.lit(3), "node"), F.col(c)).cast("int")
+    side = both.where("part <> main").select("key", *carried, "part", F.lit(True).alias("left"), place("sides").alias("i"), upto("blocks").alias("j"))
+    full = both.select("key", *carried, "part", F.lit(False).alias("left"), upto("sides").alias("i"), place("blocks").alias("j"))
+    last = side.unionByName(full).groupBy("key", "i", "j").applyInArrow(across, "u long, v long")
+    return edges.unionByName(scratch.write(last, "across"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 2, recall: float = 0.97) -> DataFrame:
@@ -368,13 +414,13 @@ def copy_groups(docs: DataFrame, shingle: int, words: int, radius: int, similari
     prints = scratch.write(sets.select("node", *names).distinct(), "distinct")
     dealt = deal_sampled(prints, words, radius, scratch, recall)
     bins = dealt.select(F.xxhash64("bin").alias("key"), F.xxhash64(*names).alias("node"), F.lit(1).alias("weight"), *names)
-    near = components(links_by_key(bins, near_prints(words, radius), scratch), scratch)
+    near = components(links_by_key(bins, near_prints(words, radius), scratch, GROUP, GROUP), scratch)
     held = sets.join(near, "node", "left").select(F.coalesce("root", "node").alias("key"), F.col("set_hash").alias("node"), "text_hash")
     held = scratch.write(held, "held")
     several = scratch.write(held.join(held.groupBy("key").count().where("count > 1"), "key", "left_semi"), "several")
     texts = docs.select(F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.join(several, "text_hash").dropDuplicates(["text_hash"]).select("key", "node", F.length("text").alias("weight"), "text")
-    same = links_by_key(scratch.write(texts, "texts"), near_sets(shingle, similarity), scratch)
+    same = links_by_key(scratch.write(texts, "texts"), near_sets(shingle, similarity), scratch, BLOCK_TEXTS, BLOCK_CHARS)
     roots = scratch.write(components(same, scratch).select(F.col("node").alias("set_hash"), "root"), "roots")
     return rows.join(roots, "set_hash", "left").select("doc_id", "text_hash", F.coalesce("root", "set_hash").alias("component"))
 

@@ -163,3 +163,22 @@ def test_repeated_lines_count_once(spark):
     body, line = prose(r, 200, 5000), prose(r, 6, 5000)
     docs = spark.createDataFrame([(1, f"{body} {line}"), (2, f"{body} " + f"{line} " * 200)], "doc_id long, text string")
     assert [x.doc_id for x in simhash.one_of_each(docs).collect()] == [1]
+
+
+@pytest.mark.parametrize("most", [8, 4096])
+def test_blocks_of_a_crowd_lose_no_link(spark, most):
+    """One key holds a large group, chains that leave it, small groups and single rows."""
+    r = np.random.default_rng(6)
+    flip = lambda x, k: [w ^ sum(1 << int(b) % 64 for b in bits if b // 64 == i) for bits in [r.choice(256, k, replace=False)] for i, w in enumerate(x)]
+    new = lambda: [int(x) for x in r.integers(0, 1 << 63, 4, dtype=np.uint64)]
+    base = new()
+    prints = [flip(base, 10) for _ in range(120)] + [new() for _ in range(15)]
+    for _ in range(8):
+        prints.append(flip(prints[-1], 45))
+    other = new()
+    prints += [flip(other, 45) for _ in range(20)] + [flip(base, 47)]
+    flat = [sum(w << 64 * i for i, w in enumerate(x)) for x in prints]
+    rows = [(1, n, 1, *(int(np.uint64(w).astype(np.int64)) for w in x)) for n, x in enumerate(prints)]
+    df = spark.createDataFrame(rows, "key long, node long, weight int, f0 long, f1 long, f2 long, f3 long")
+    edges = simhash.links_by_key(df, simhash.near_prints(4, 49), Scratch(spark, "t"), most, 4096).collect()
+    assert union(len(flat), [(e.u, e.v) for e in edges]) == union(len(flat), near(flat, 49))
