@@ -208,36 +208,25 @@ def deal_exact(prints: DataFrame, radius: int, scratch: Scratch, group: int = GR
 def deal_sampled(prints: DataFrame, words: int, radius: int, scratch: Scratch, recall: float, group: int = GROUP // 8) -> DataFrame:
     """(bin, f0, ...): two fingerprints at the radius share a bin with probability `recall` at least.
 
-    A table is a set of sampled bits; bins that hold more than 16 times the usual number get further bits of the same table.
+    A bin is a table of sampled bits and their values. All tables have the same number of bits, however many rows a bin
+    holds: more bits for crowded bins would lower the recall in them. `links_by_key` takes bins of any size.
     """
     names = _columns(words)
     bits = max(1, bits_for(prints.count(), group))
     agree = 1 - radius / (64 * words)
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
     draw = np.random.default_rng(11)
-    picks = [draw.permutation(64 * words) for _ in range(tables)]
+    picks = [draw.permutation(64 * words)[:bits] for _ in range(tables)]
 
-    def key(pick, lo, hi):
-        out = [F.shiftleft(F.shiftrightunsigned(names[b // 64], int(b % 64)).bitwiseAND(F.lit(1)), i) for i, b in enumerate(pick[lo:hi])]
+    def key(pick):
+        out = [F.shiftleft(F.shiftrightunsigned(names[b // 64], int(b % 64)).bitwiseAND(F.lit(1)), i) for i, b in enumerate(pick)]
         total = out[0]
         for x in out[1:]:
             total = total.bitwiseOR(x)
         return total
 
-    level, rows, dealt = 0, prints.select(*names, F.posexplode(F.array(*[key(p, 0, bits) for p in picks])).alias("table", "key")), None
-    while True:
-        rows = scratch.write(rows, f"table-{level}")
-        hot = scratch.write(rows.groupBy("table", "key").count().where(F.col("count") > 16 * group).select("table", "key"), f"crowd-{level}")
-        crowded = hot.count() > 0 and bits * (level + 2) <= 64 * words
-        calm = (rows.join(hot, ["table", "key"], "left_anti") if crowded else rows).select(
-            F.concat_ws("-", F.lit(level), "table", "key").alias("bin"), *names)
-        dealt = calm if dealt is None else dealt.unionByName(calm)
-        if not crowded:
-            return dealt
-        level += 1
-        more = F.array(*[F.xxhash64(F.lit(level), key(p, bits * level, bits * level + 4)) for p in picks])
-        rows = rows.join(hot, ["table", "key"], "left_semi").select(
-            *names, "table", F.xxhash64("key", F.element_at(more, F.col("table") + 1)).alias("key"))
+    rows = prints.select(*names, F.posexplode(F.array(*[key(p) for p in picks])).alias("table", "key"))
+    return scratch.write(rows.select(F.concat_ws("-", "table", "key").alias("bin"), *names), "tables")
 
 
 def group_edges(dealt: DataFrame, words: int, radius: int) -> DataFrame:

@@ -182,3 +182,26 @@ def test_blocks_of_a_crowd_lose_no_link(spark, most):
     df = spark.createDataFrame(rows, "key long, node long, weight int, f0 long, f1 long, f2 long, f3 long")
     edges = simhash.links_by_key(df, simhash.near_prints(4, 49), Scratch(spark, "t"), most, 4096).collect()
     assert union(len(flat), [(e.u, e.v) for e in edges]) == union(len(flat), near(flat, 49))
+
+
+def test_recall_in_crowds(spark):
+    """Pairs at 49 bits amid a crowd of copies meet in a bin as often as elsewhere."""
+    r = np.random.default_rng(7)
+    rows, pairs = [], []
+    crowd = r.integers(0, 1 << 63, 4, dtype=np.int64)
+    for g in range(300):
+        a = crowd.copy()
+        for b in r.choice(256, 20, replace=False):
+            a[b // 64] ^= np.int64(1) << np.int64(b % 64) if b % 64 < 63 else np.int64(-(1 << 63))
+        c = a.copy()
+        for b in r.choice(256, 49, replace=False):
+            c[b // 64] ^= np.int64(1) << np.int64(b % 64) if b % 64 < 63 else np.int64(-(1 << 63))
+        rows += [tuple(map(int, a)), tuple(map(int, c))]
+        pairs.append(rows[-2:])
+    df = spark.createDataFrame(rows, "f0 long, f1 long, f2 long, f3 long")
+    bins = defaultdict(set)
+    for x in simhash.deal_sampled(df, 4, 49, Scratch(spark, "t"), 0.97, group=2).collect():
+        bins[tuple(x[1:])].add(x.bin)
+    recall = np.mean([bool(bins[a] & bins[c]) for a, c in pairs])
+    print("recall in the crowd", recall)
+    assert recall >= 0.94
