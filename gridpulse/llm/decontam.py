@@ -11,6 +11,11 @@ is contaminated if its word edit distance to the item is at most `slack` * n (0.
 3. Bit sampling: a table hashes a few sampled positions of an embedding. How many tables (over several walks) reach the
    target recall at the distance limit is measured on the items themselves, with edits drawn from a seed.
 4. Windows that meet an item in a table are verified by exact edit distance.
+
+With `passages`, as the queries use it, the distance is that to the best passage of any length instead, so a document may
+be shorter than the item and words may be left out or added. An item is cut into d + 1 blocks; d edits leave one of them
+whole, so every passage within the limit shares a block with its item, and none is lost whatever the item's length.
+The words around each shared block are verified by semi-global edit distance.
 """
 
 from __future__ import annotations
@@ -68,6 +73,29 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def passage_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows of two arrays (count, n) and (count, m): least edit distance of a to a run of words of b, and its first start."""
+    unit = b.shape[1] + 1
+    step = np.arange(unit) * unit
+    row = np.repeat(np.arange(unit)[None, :], len(a), axis=0)  # distance * unit + start
+    for i in range(a.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = (i + 1) * unit
+        new[:, 1:] = np.minimum(row[:, :-1] + (b != a[:, i : i + 1]) * unit, row[:, 1:] + unit)
+        row = np.minimum.accumulate(new - step, axis=1) + step
+    best = row.min(1)
+    return best // unit, best % unit
+
+
+def _runs(ids: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of `length` ids along the last axis."""
+    count = ids.shape[-1] - length + 1
+    h = np.full((*ids.shape[:-1], count), length, dtype=np.uint64)
+    for k in range(length):
+        h = mix(h + ids[..., k : k + count].astype(np.uint64))
+    return h
+
+
 @dataclass
 class Sampler:
     """Tables of sampled positions for embeddings of windows of n words."""
@@ -103,6 +131,8 @@ class Benchmark:
     table_keys: dict[int, np.ndarray] = field(default_factory=dict)
     pairs: np.ndarray | None = None
     pairs_of: dict[int, np.ndarray] = field(default_factory=dict)
+    passages: bool = False
+    seeds: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: hashes, (n, item, offset)
 
     def add(self, rows: list[tuple[int, str]]) -> "Benchmark":
         pairs: dict[int, set] = {}
@@ -113,6 +143,9 @@ class Benchmark:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in parts]
             pairs.setdefault(len(ids), set()).update(a << 32 | b for a, b in zip(ids, ids[1:]))
             self.items.setdefault(len(ids), []).append((item_id, np.array(ids, dtype=np.int64)))
+        if self.passages:
+            self._cut()
+            return self
         self.pairs = np.array(sorted(set().union(*pairs.values())), dtype=np.int64)
         self.pairs_of = {n: np.array(sorted(x), dtype=np.int64) for n, x in pairs.items()}
         for n, items in self.items.items():
@@ -126,6 +159,58 @@ class Benchmark:
             self.table_keys[n] = np.array(sorted(table), dtype=np.uint64)
         return self
 
+    def _cut(self) -> None:
+        """The blocks of all items."""
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for n, items in self.items.items():
+            count = limit(n, self.slack) + 1
+            if count > n:
+                raise ValueError(f"slack {self.slack} leaves no word of an item of {n} words")
+            every = np.stack([x for _, x in items])
+            cuts = [n * i // count for i in range(count + 1)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                what = np.stack([np.full(len(items), n), np.arange(len(items)), np.full(len(items), lo)], axis=1)
+                found.setdefault(hi - lo, []).append((_runs(every[:, lo:hi], hi - lo)[:, 0], what))
+        for length, parts in found.items():
+            hashes, what = np.concatenate([h for h, _ in parts]), np.concatenate([x for _, x in parts])
+            order = np.argsort(hashes, kind="stable")
+            self.seeds[length] = hashes[order], what[order]
+
+    def _passages(self, ids: np.ndarray, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        met = []
+        for length, (hashes, what) in self.seeds.items():
+            if len(ids) < length:
+                continue
+            known = np.concatenate([[0], np.cumsum(ids > 0)])
+            at = np.flatnonzero(known[length:] - known[:-length] == length)
+            runs = _runs(ids, length)[at]
+            lo = np.searchsorted(hashes, runs)
+            many = np.searchsorted(hashes, runs, side="right") - lo
+            hit = np.repeat(np.arange(len(at)), many)
+            seed = what[np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + lo[hit]]
+            met.append(np.column_stack([seed[:, :2], text[at[hit]], at[hit] - seed[:, 2]]))
+        out = []
+        if not met:
+            return out
+        met = np.unique(np.concatenate(met), axis=0)
+        for n in np.unique(met[:, 0]).tolist():
+            d = limit(n, self.slack)
+            every = np.stack([x for _, x in self.items[n]])
+            mine = met[met[:, 0] == n]
+            for part in np.array_split(mine, math.ceil(len(mine) / 2048)):
+                item, of, first = part[:, 1], part[:, 2], part[:, 3] - d
+                place = first[:, None] + np.arange(n + 2 * d)
+                inside = (place >= begin[of][:, None]) & (place < (begin + sizes - 1)[of][:, None])
+                around = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], 0)
+                # words that the vocabulary knows: n - d of the passage are the item's
+                some = np.flatnonzero((around > 0).sum(1) >= n - d)
+                distance, start = passage_distances(every[item[some]], around[some])
+                near = np.flatnonzero(distance <= d)
+                for k, far, shift in zip(some[near].tolist(), distance[near].tolist(), start[near].tolist()):
+                    t = int(of[k])
+                    out.append((t, self.items[n][item[k]][0], max(0, int(first[k]) + shift - int(begin[t])), n, far))
+        return out
+
     def _sampler(self, n: int, items: np.ndarray) -> Sampler:
         """As many tables as edits of items at the distance limit need to meet their item with the target recall."""
         draw = np.random.default_rng(n)
@@ -157,6 +242,8 @@ class Benchmark:
         named = chain.from_iterable(chain(map(known, p, repeat(0)), (0,)) for p in parts)
         ids = np.fromiter(named, dtype=np.int64, count=int(sizes.sum()))
         text = np.repeat(np.arange(len(parts)), sizes)
+        if self.passages:
+            return self._passages(ids, text, begin, sizes)
         hit = np.concatenate([[0], np.cumsum(ids > 0)])
         two = ids[:-1] << 32 | ids[1:]
         pair = np.concatenate([[0], np.cumsum(_within(two, self.pairs))])
@@ -195,7 +282,7 @@ def _within(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
-def _blocks(benchmark: DataFrame, slack: float, recall: float, bits: int, walks: int) -> list[Benchmark]:
+def _blocks(benchmark: DataFrame, slack: float, recall: float, bits: int, walks: int, passages: bool) -> list[Benchmark]:
     """The benchmark in blocks of a bounded number of words, so that what a task holds does not grow with it."""
     rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
     size = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
@@ -203,21 +290,21 @@ def _blocks(benchmark: DataFrame, slack: float, recall: float, bits: int, walks:
     out = []
     for b in range(count):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).distinct().orderBy("item_id", "text").collect()
-        out.append(Benchmark(slack, recall, bits, walks).add([(r["item_id"], r["text"]) for r in part]))
+        out.append(Benchmark(slack, recall, bits, walks, passages=passages).add([(r["item_id"], r["text"]) for r in part]))
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, recall: float = 0.97, bits: int = 3, walks: int = 4) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, recall: float = 0.97, bits: int = 3, walks: int = 4, passages: bool = False) -> DataFrame:
     """The best match of each document and item: doc_id, item_id, first_word, n_words, distance, similarity.
 
-    NULL texts and texts without words, on either side, match nothing; an item without id is left out; a text shorter
-    than an item has no window for it. Repeated rows give one row for each doc_id and item; ties go to the earliest window. A NULL doc_id is
+    NULL texts and texts without words, on either side, match nothing; an item without id is left out; without `passages`
+    a text shorter than an item has no window for it. n_words are the item's. Repeated rows give one row for each doc_id and item; ties go to the earliest window. A NULL doc_id is
     a value like others. Extra columns are not carried. Empty tables give no rows.
     """
     spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32())])
     found = None
-    for block in _blocks(benchmark, slack, recall, bits, walks):
+    for block in _blocks(benchmark, slack, recall, bits, walks, passages):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -237,10 +324,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, reca
     return best.select("doc_id", "item_id", "m.first_word", "m.n_words", "m.distance", (1 - F.col("m.distance") / F.col("m.n_words")).alias("similarity"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, recall: float = 0.97, bits: int = 3, walks: int = 4) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, recall: float = 0.97, bits: int = 3, walks: int = 4, passages: bool = False) -> DataFrame:
     """docs without the rows whose text holds an item; all columns stay. Each row is judged by its own text."""
     out = docs
-    for block in _blocks(benchmark, slack, recall, bits, walks):
+    for block in _blocks(benchmark, slack, recall, bits, walks, passages):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         @F.pandas_udf("boolean")

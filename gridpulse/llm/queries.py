@@ -37,7 +37,7 @@ def op1(spark, sf_dir):
 
 @query("op2_decontamination")
 def op2(spark, sf_dir):
-    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), passages=True)
 
 
 @query("op3_topk", """

@@ -85,3 +85,41 @@ def test_empty_tables(spark, no_docs):
     assert decontam.contaminated(no_docs, empty).count() == 0
     assert decontam.contaminated(some, empty).count() == 0
     assert decontam.clean(some, empty).count() == 1
+
+
+def passage(a, b):
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_passages_equal_brute_force(spark):
+    """Words left out, added and changed, at both ends of texts, in texts shorter than the item, and in items of 400 words."""
+    r = random.Random(12)
+    items = [(i, prose(r, n)) for i, n in enumerate([1, 3, 4, 5, 9, 10, 16, 19, 20, 25, 37, 59, 200, 400])]
+    texts = []
+    for d in range(150):
+        v = items[r.randrange(len(items))][1].split()
+        kinds = r.choice(([0], [1], [2], [0, 1, 2]))
+        for _ in range(r.choice((0, len(v) // 10, len(v) // 5, len(v) // 5, len(v) // 4))):
+            k = r.randrange(len(v))
+            (lambda: v.__setitem__(k, "zz"), lambda: v.insert(k, "yy"), lambda: v.__delitem__(k))[r.choice(kinds)]()
+        around = prose(r, r.choice((0, 0, 5, 40))).split(), prose(r, r.choice((0, 0, 5, 40))).split()
+        texts.append((d, " ".join([*around[0], *v, *around[1]])))
+    split = [(d, decontam.words(t)) for d, t in texts]
+    want = {}
+    for i, x in items:
+        v = decontam.words(x)
+        for d, w in split:
+            if (k := passage(v, w)) <= decontam.limit(len(v), 0.2):
+                want[d, i] = k
+    docs = spark.createDataFrame(texts + [(900, None), (901, "")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contaminated(docs, bench, passages=True).collect()
+    assert {(x.doc_id, x.item_id): x.distance for x in found} == want and len(found) == len(want)
+    gone = {d for d, _ in texts} - {x.doc_id for x in decontam.clean(docs, bench, passages=True).collect()}
+    assert gone == {d for d, _ in want}
