@@ -37,6 +37,7 @@ _WORD = re.compile(r"\w+")
 SAMPLED = 7  # quarters of n: steps of a walk that are taken
 END = np.uint64(0xFF51AFD7ED558CCD)
 BLOCK_WORDS = 2_000_000
+MOST_TABLES = 4096
 
 
 def words(text: str | None) -> list[str]:
@@ -228,8 +229,10 @@ class Benchmark:
         agree = [(embed(mix(source.view(np.uint64)), w, steps) == embed(mix(edited.view(np.uint64)), w, steps)).mean(1)
                  for w in range(self.walks)]
         same, each = np.stack(agree).mean(0), 2
-        while each < 128 and np.mean(1 - (1 - same**self.bits) ** (each * self.walks)) < self.recall:
+        while np.mean(1 - (1 - same**self.bits) ** (each * self.walks)) < self.recall:
             each += 2
+            if each > MOST_TABLES:
+                raise ValueError(f"items of {n} words need more than {MOST_TABLES} tables a walk for a recall of {self.recall}")
         return Sampler(steps, [draw.integers(0, steps, (each, self.bits)) for _ in range(self.walks)])
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:

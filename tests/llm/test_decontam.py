@@ -123,3 +123,13 @@ def test_passages_equal_brute_force(spark):
     assert {(x.doc_id, x.item_id): x.distance for x in found} == want and len(found) == len(want)
     gone = {d for d, _ in texts} - {x.doc_id for x in decontam.clean(docs, bench, passages=True).collect()}
     assert gone == {d for d, _ in want}
+
+
+def test_sampled_tables_reach_the_recall_or_say_so(monkeypatch):
+    import pytest
+
+    r = random.Random(2)
+    items = [(1, prose(r, 400))]
+    monkeypatch.setattr(decontam, "MOST_TABLES", 128)
+    with pytest.raises(ValueError, match="400 words"):
+        decontam.Benchmark(0.2, 0.97, 3, 4).add(items)
