@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of token characters that mixes letters and digits, or any value that is assigned to a name. The
-forest sees the candidate's length and character transitions, how much of it dictionary words cover, whether it is part
+A candidate is a run of 16 token characters or more that mixes letters and digits, or any value of 4 characters or more
+that is assigned to a name: what stands between the quotes, or all up to white space where there are none (but for closing
+signs at its end and a further assignment after a separator). Quoted values with blanks are looked at as a whole and
+inside. The forest sees the candidate's length and character transitions, how much of it dictionary words cover, whether it is part
 of a path, and the words beside it. It is trained from labelled findings (before, candidate, after, label); the default
 ones are generated from a seed by `labelled_findings`.
 """
@@ -38,7 +40,11 @@ HINTS = ("token", "key", "secret", "passw", "pwd", "auth", "bearer", "credential
 HARMLESS = ("sha", "md5", "commit", "checksum", "digest", "hash", "uuid", "etag", "revision", "build", "version", "example", "sample", "placeholder", "order", "invoice", "phone", "mail", "file", "path", "image")
 # End of fixed values.
 
-_CANDIDATE = re.compile(r"(?:(?<=[=:]\s[\"'])|(?<=[=:][\"'])|(?<=[=:]\s)|(?<==)|(?<![A-Za-z0-9_+/=.~@-]))[A-Za-z0-9_+/=.~@-]{8,}")
+_RUN = re.compile(r"[A-Za-z0-9_+/=.~@-]{16,}")
+_SIGN = re.compile(r"[=:]\s{0,2}")
+_QUOTED = {q: re.compile(rf"(?:\\.|[^{q}\\\n])*(?={q})") for q in "\"'"}
+_BARE = re.compile(r"(?:(?![&;,|?][A-Za-z_][A-Za-z0-9_.-]{0,40}[=:])\S)+")
+LEAST = 4
 _ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*[\"']?\s{0,2}[=:]\s{0,2}[\"']?$")
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=len, reverse=True)))
 CONTEXT = 40
@@ -49,13 +55,42 @@ FEATURES = [
 ]
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values behind a name and a sign."""
+    at = 0
+    while sign := _SIGN.search(text, at):
+        at = start = sign.end()
+        quote = text[start : start + 1]
+        named = _ASSIGNED.search(text, max(0, sign.start() - CONTEXT), start + (quote in _QUOTED))
+        if not named:
+            at = sign.start() + 1
+            continue
+        if quote in _QUOTED:
+            at = start = start + 1
+            if m := _QUOTED[quote].match(text, start):
+                if m.end() - start >= LEAST:
+                    yield start, m.end()
+                if not re.search(r"\s", m[0]):
+                    at = m.end()
+                continue
+        if m := _BARE.match(text, start):
+            value = m[0].rstrip(",;.)]}>\"'")
+            if value[-1:] == ":":  # a name itself
+                continue
+            if len(value) >= LEAST:
+                yield start, start + len(value)
+            at = start + len(value)
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of what is worth a look."""
-    for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        mixed = len(s) >= 16 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-        if mixed or _ASSIGNED.search(text, max(0, m.start() - CONTEXT), m.start()):
-            yield m.start(), m.end()
+    """(start, end) of what is worth a look, by start. Only quoted values with blanks may hold others."""
+    at = 0
+    mixed = lambda s: any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    for a, b in _assigned(text):
+        yield from ((m.start(), m.end()) for m in _RUN.finditer(text, at, max(at, a)) if mixed(m[0]))
+        yield a, b
+        at = max(at, a if re.search(r"\s", text[a:b]) else b)
+    yield from ((m.start(), m.end()) for m in _RUN.finditer(text, at) if mixed(m[0]))
 
 
 def _kind(c: str) -> int:
@@ -185,8 +220,8 @@ def redact(docs: DataFrame, forest: list[Tree], threshold: float = 0.5, mark: st
                 return None
             out, at = [], 0
             for a, b, p in find(text, forest):
-                if p >= threshold:
-                    out += [text[at:a], mark]
+                if p >= threshold and b > at:
+                    out += [text[at:a], mark] if a >= at else []
                     at = b
             return "".join(out) + text[at:] if out else text
 

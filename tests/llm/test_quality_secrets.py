@@ -76,3 +76,26 @@ def test_scan_and_redact(spark, edge_docs, no_docs):
     assert kept[None].text == "clean words" and kept[2].text is None and kept[2].n_chars == 5
     assert key not in kept[5].text
     assert secrets.scan(no_docs, forest).count() == 0 and secrets.redact(edge_docs, forest).count() == edge_docs.count()
+
+
+def test_generated_secrets_are_candidates():
+    for before, s, after, y in secrets.labelled_findings(4000, seed=5):
+        if y:
+            found = [(before + s + after)[a:b] for a, b in secrets.candidates(before + s + after)]
+            assert s in found, (before, s, after, found)
+
+
+def test_values_with_other_signs_are_replaced_whole(spark):
+    values = ["abcd12!Xy9kQ", "S3cure#Pass$99", "Tr0ub4dor!x9", "p4$!w", "a1%B2^c3&D4*e5"]
+    for v in values:
+        for text in (f'the password = "{v}" is old', f"password: '{v}'", f"see password={v}", f"password = {v}, and so on", f"?user=me&password={v}&page=2"):
+            assert v in [text[a:b] for a, b in secrets.candidates(text)], text
+    docs = spark.createDataFrame([(i, f'we set password = "{v}" here') for i, v in enumerate(values[:3])], "doc_id long, text string")
+    out = secrets.redact(docs, secrets.default_forest(spark)).collect()
+    assert {x.text for x in out} == {'we set password = "[SECRET]" here'}
+
+
+def test_quoted_sentences_are_looked_into():
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    text = f'note: "use {key} or password = abc1!x now" end {key}'
+    assert [text[a:b] for a, b in secrets.candidates(text)] == [f"use {key} or password = abc1!x now", key, "abc1!x", key]
