@@ -417,10 +417,12 @@ def copy_groups(docs: DataFrame, shingle: int, words: int, radius: int, similari
 def one_of_each(docs: DataFrame, shingle: int = NEAR["shingle"], words: int = NEAR["words"], radius: int = NEAR["radius"]) -> DataFrame:
     """docs with one row of each group of near copies, that with the smallest doc_id; all columns stay.
 
-    Rows with a NULL doc_id take no part and stay. Of rows that repeat a kept doc_id, one stays.
+    Rows with a NULL doc_id take no part and stay. Rows are judged by their own text, also where a doc_id repeats: the kept
+    row of a group is that with the least (doc_id, hash of the text), and of equal pairs of these one stays.
     """
     named = docs.where("doc_id is not null")
     groups = copy_groups(named, shingle, words, radius, SIMILARITY)
-    kept = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    out = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("__text_hash"))
+    keys = ["doc_id", "__text_hash"]
+    out = named.withColumn("__text_hash", F.xxhash64("text")).join(kept, keys, "left_semi").dropDuplicates(keys)
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))

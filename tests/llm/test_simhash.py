@@ -205,3 +205,14 @@ def test_recall_in_crowds(spark):
     recall = np.mean([bool(bins[a] & bins[c]) for a, c in pairs])
     print("recall in the crowd", recall)
     assert recall >= 0.94
+
+
+def test_repeated_ids_are_judged_by_their_text(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    r = random.Random(14)
+    a, b, c = (prose(r, 80, 5000) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (2, b), (2, c), (3, a), (1, b), (4, c), (2, c)], "doc_id long, text string")
+    assert sorted((x.doc_id, x.text) for x in simhash.one_of_each(docs).collect()) == sorted([(1, a), (1, b), (2, c)])
