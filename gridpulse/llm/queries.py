@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridpulse.llm import chat, decontam, langid, packing, quality, recompress, secrets, sharding, simhash, topk
+from gridpulse.llm import chat, decontam, importance, langid, packing, quality, recompress, secrets, sharding, simhash, topk
 from gridpulse.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,47 @@ def op9(spark, sf_dir):
 @query("op10_secrets")
 def op10(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents"), secrets.default_forest(spark))
+
+
+@query("op13_importance", r"""
+WITH low AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), target AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+), source AS (SELECT r, unnest(words) AS word FROM low),
+word AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM source UNION ALL SELECT word FROM target)),
+steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS step
+), bucket AS (
+  SELECT word, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(h) // 2), lambda i:
+        16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+      lambda a, b: xor(step[1 + (xor(a, b) & 255)], a >> 8)), 4294967295) % 10000 AS bucket
+  FROM word, steps
+), s AS (SELECT bucket, count(*) AS n FROM source JOIN bucket USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN bucket USING (word) GROUP BY bucket),
+gain AS (
+  SELECT s.bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+    / (CAST(s.n + 1 AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weight AS (
+  SELECT r, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+  FROM source JOIN bucket USING (word) JOIN gain USING (bucket) GROUP BY r
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS DOUBLE) + 0.5)
+      / 4294967296))) AS BIGINT) AS score
+  FROM low LEFT JOIN weight USING (r)
+), ranked AS (SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id ASC NULLS LAST) AS k FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN k <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN k END AS rank
+FROM ranked
+""")
+def op13(spark, sf_dir):
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), buckets=10_000, longest=1, least_words=20,
+                                percent=10, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
