@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridpulse.llm import chat, decontam, importance, langid, packing, quality, recompress, secrets, sharding, simhash, topk
+from gridpulse.llm import chat, decontam, importance, langid, packing, quality, ranked, recompress, secrets, sharding, simhash, topk
 from gridpulse.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,35 @@ def op10(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents"), secrets.default_forest(spark))
 
 
+@query("op12_ranked", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), total AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS words FROM d WHERE len(words) > 0),
+tf AS (SELECT r, word, count(*) AS tf FROM (SELECT r, unnest(words) AS word FROM d) GROUP BY r, word),
+item AS (
+  SELECT item_id, word, count(*) AS times
+  FROM (
+    SELECT item_id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)
+  ) GROUP BY item_id, word
+), weight AS (
+  SELECT word, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, total WHERE word IN (SELECT word FROM item) GROUP BY word, docs
+), score AS (
+  SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(d.words) * total.docs) // total.words)))) AS BIGINT) AS score
+  FROM item JOIN weight USING (word) JOIN tf USING (word) JOIN d USING (r), total GROUP BY item_id, r
+)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS k FROM score JOIN d USING (r) WHERE score > 0)
+WHERE k <= 20
+""")
+def op12(spark, sf_dir):
+    return ranked.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
 @query("op13_importance", r"""
 WITH low AS (
   SELECT row_number() OVER () AS r, doc_id,
