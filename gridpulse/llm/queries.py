@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridpulse.llm import chat, decontam, importance, langid, packing, quality, ranked, recompress, secrets, sharding, simhash, topk
+from gridpulse.llm import chat, config_packing, decontam, importance, langid, packing, quality, ranked, recompress, secrets, sharding, simhash, topk
 from gridpulse.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,13 @@ def op10(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents"), secrets.default_forest(spark))
 
 
+@query("op11_config_packing")
+def op11(spark, sf_dir):
+    pieces = config_packing.pack_whole(read(spark, sf_dir, "documents"), capacity=4096)
+    return pieces.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
+                         "sequence_id", "offset")
+
+
 @query("op12_ranked", r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
