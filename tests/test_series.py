@@ -125,6 +125,58 @@ def test_peaks(spark, kind):
         same(got[got["asset_id"] == a]["thermal_cycles_7d"], pd.Series(want))
 
 
+def test_peaks_count_rows_of_the_non_null_series(spark):
+    """Gaps of missing values do not move peaks apart."""
+    pdf = panel_pdf(400, seed=9, gaps=0.3)
+    got = collect(peaks.peaks(to_spark(spark, pdf), "temp_oil_value", s=SHORT))
+    for a, g in pdf.groupby("asset_id"):
+        g = g[g["temp_oil_value"].notna()]
+        kept = greedy_peaks(g["temp_oil_value"].to_numpy())
+        assert got[got["asset_id"] == a]["pos"].tolist() == kept
+        assert got[got["asset_id"] == a]["ts"].tolist() == g["ts"].iloc[kept].tolist()
+
+
+@pytest.mark.parametrize("direction", [1, -1])
+def test_peaks_of_twenty_rising_years(spark, direction):
+    """One chain over all chunks: every second row a candidate that waits for the next one."""
+    n = 20 * 8766
+    x = (np.arange(n) * 0.5 + (np.arange(n) % 2) * 3.0)[::direction]
+    df = spark.range(n).select(
+        F.lit(1).alias("asset_id"), (F.timestamp_seconds(F.lit(1_000_000_800) + 3600 * F.col("id"))).alias("ts"),
+        (F.lit(0.5) * (F.col("id") if direction == 1 else n - 1 - F.col("id"))
+         + 3.0 * ((F.col("id") if direction == 1 else n - 1 - F.col("id")) % 2)).alias("temp_oil_value"))
+    got = collect(peaks.peaks(df, "temp_oil_value"))
+    high = np.flatnonzero(x >= x.mean())
+    cand = [i for i in range(1, n - 1) if x[i - 1] < x[i] > x[i + 1] and high[0] <= i <= high[-1] and x[i] >= x.mean()]
+    kept, last = [], None
+    for p in sorted(cand, key=lambda p: -x[p]):  # the chain runs one way, so the last survivor is the nearest
+        if last is None or abs(p - last) >= 12:
+            kept.append(p)
+            last = p
+    assert got["pos"].tolist() == sorted(kept)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_agreement_of_chunks_equals_greedy_suppression(seed):
+    """Tables and their agreement alone, with chunks barely longer than the distance, ties and empty chunks."""
+    r = np.random.default_rng(seed)
+    distance, chunk = int(r.integers(2, 8)), int(r.integers(16, 25))
+    n = 400
+    pos = np.flatnonzero(r.random(n) < r.choice([0.05, 0.3, 0.9]))
+    height = r.choice([r.integers(0, 4, n), np.arange(n), -np.arange(n), r.integers(0, 1000, n)])[pos].astype(float)
+    parts = {}
+    for c in sorted(set((pos // chunk).tolist())):
+        near = (pos >= c * chunk - distance + 1) & (pos < (c + 1) * chunk + distance - 1)
+        parts[c] = peaks._Chunk(pd.DataFrame({"pos": pos[near], "height": height[near], "own": pos[near] // chunk == c}), distance)
+    got = [p for c, left, right in peaks._agree([(c, x.table()) for c, x in parts.items()], chunk, distance)
+           for p in parts[c].survivors(left, right)]
+    kept = []
+    for h, p in sorted(zip(height.tolist(), pos.tolist()), reverse=True):
+        if all(abs(p - k) >= distance for k in kept):
+            kept.append(p)
+    assert sorted(got) == sorted(kept)
+
+
 def test_peaks_need_more_than_48_rows(spark):
     got = collect(peaks.peak_counts(to_spark(spark, panel_pdf(48)), s=SHORT))
     assert got["thermal_cycles_7d"].isna().all()
