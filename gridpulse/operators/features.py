@@ -344,17 +344,78 @@ def lag_features(df: DataFrame, cols: list[str], lags=DEFAULT_PARAMS.lags, s: Se
     )
 
 
+def _levels(windows: tuple[int, ...], base: int = DAY, most: int = 12) -> dict[int, list[tuple[int, int]]]:
+    """Window -> its tiles (shorter window, rows back); windows of at most `base` rows have none and are plain frames.
+
+    A window is tiled by the longest ones before it without overlap. Where that takes more than `most` of them, a
+    window in between is added.
+    """
+    plain, made = {n for n in windows if n <= base} | {base}, {}
+    todo = sorted(n for n in set(windows) if n > base)
+    while todo:
+        n, known = todo.pop(0), sorted(plain | set(made), reverse=True)
+        if n // known[0] > most:
+            todo = sorted({n, known[0] * most, *todo})
+            continue
+        tiles, back = [], 0
+        for size in known:
+            while back + size <= n:
+                tiles.append((size, back))
+                back += size
+        if back < n:
+            plain.add(n - back)
+            tiles.append((n - back, back))
+        made[n] = tiles
+    return {**{n: [] for n in sorted(plain)}, **made}
+
+
+def _merged(parts: list[Column]) -> Column:
+    """Count, mean, squared deviation and extrema of disjoint frames taken together."""
+    n = reduce(add, [F.coalesce(x["n"], F.lit(0)) for x in parts])
+    mean = F.try_divide(reduce(add, [F.coalesce(x["n"] * x["m"], F.lit(0.0)) for x in parts]), n)
+    spread = reduce(add, [F.coalesce(x["q"] + x["n"] * (x["m"] - mean) * (x["m"] - mean), F.lit(0.0)) for x in parts])
+    return F.struct(n.alias("n"), mean.alias("m"), spread.alias("q"), F.least(*[x["lo"] for x in parts]).alias("lo"),
+                    F.greatest(*[x["hi"] for x in parts]).alias("hi"))
+
+
 def rolling_stats(df: DataFrame, cols: list[str], windows=DEFAULT_PARAMS.rolling_windows, min_periods: int = 1,
                   s: Series = HOURLY) -> DataFrame:
-    """Mean, sample deviation, minimum and maximum over each window."""
-    kinds = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    """Mean, sample deviation, minimum and maximum over each window.
 
-    def stage(w):
-        return {
-            f"{c}_{k}_{n}h": rolling(agg(F.col(c)), F.col(c), w, n, min_periods)
-            for c in cols
-            for n in windows
-            for k, agg in kinds.items()
-        }
+    Only frames of up to a day are evaluated row by row. A longer window is tiled by shorter ones that end earlier: its
+    moments are merged and its extrema compared, so its cost is that of a few lags, whatever its length.
+    """
+    levels = _levels(tuple(windows))
+    name = lambda c, n, back=0: f"__w{n}_{back}_{c}"
+
+    def frames(w):
+        out = {}
+        for n in (n for n, tiles in levels.items() if not tiles):
+            frame = rows(w, n)
+            for c in cols:
+                many = F.count(c).over(frame)
+                out[name(c, n)] = F.struct(
+                    many.alias("n"), F.avg(c).over(frame).alias("m"), (F.var_pop(c).over(frame) * many).alias("q"),
+                    F.min(c).over(frame).alias("lo"), F.max(c).over(frame).alias("hi"))
+        return out
+
+    stages, have = [frames], {n for n, tiles in levels.items() if not tiles}
+    lagged: set = set()
+    while ready := {n: t for n, t in levels.items() if n not in have and {size for size, _ in t} <= have}:
+        shifts = {x for t in ready.values() for x in t if x[1]} - lagged
+        lagged |= shifts
+        stages.append(lambda w, shifts=shifts: {name(c, n, b): F.lag(name(c, n), b).over(w) for c in cols for n, b in sorted(shifts)})
+        stages.append(lambda w, ready=ready: {name(c, n): _merged([F.col(name(c, *x)) for x in t]) for c in cols for n, t in ready.items()})
+        have |= set(ready)
+
+    def results(w):
+        out = {}
+        for c in cols:
+            for n in windows:
+                x = F.col(name(c, n))
+                kinds = {"mean": x["m"], "std": F.when(x["n"] > 1, F.sqrt(x["q"] / (x["n"] - 1))), "min": x["lo"], "max": x["hi"]}
+                out |= {f"{c}_{k}_{n}h": F.when(x["n"] >= min_periods, v) for k, v in kinds.items()}
+        return out
 
-    return over_chunks(df, [stage], s, before=max(windows))
+    helpers = [name(c, n) for c in cols for n in levels] + [name(c, n, b) for c in cols for n, b in lagged]
+    return over_chunks(df, [*stages, results], s, before=max(windows), drop=helpers)

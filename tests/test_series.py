@@ -280,3 +280,25 @@ def test_rolling_features_with_gaps_and_flat_stretches(spark):
     same(got["voltage_value_stability"], want["voltage_value_stability"], 1e-6)
     moving = ~((i > 300) & (i < 740))
     same(got["bubbling_anomaly"][moving], want["bubbling_anomaly"][moving], 1e-6)
+
+
+@pytest.mark.parametrize("windows", [(24, 72, 168, 720), (1, 2, 25, 100), (1000,), (7,)])
+@pytest.mark.parametrize("min_periods", [1, 12])
+def test_rolling_stats_of_any_window(spark, windows, min_periods):
+    """Tiles of shorter windows equal plain frames, with missing values and chunks shorter than the frames."""
+    pdf = panel_pdf(1100, assets=1, seed=11, gaps=0.4)
+    got = collect(features.rolling_stats(to_spark(spark, pdf), ["voltage_value"], windows, min_periods, SHORT))
+    for n in windows:
+        r = pdf["voltage_value"].rolling(n, min_periods=min(min_periods, n))
+        enough = pdf["voltage_value"].rolling(n, min_periods=0).count() >= min_periods
+        for k in ("mean", "std", "min", "max"):
+            same(got[f"voltage_value_{k}_{n}h"], getattr(r, k)().where(enough), 1e-9)
+
+
+def test_levels_tile_without_overlap():
+    for windows in [(24, 72, 168, 720), (5, 99, 100), (8760,), (24 * 365 * 20,)]:
+        levels = features._levels(windows)
+        assert set(windows) <= set(levels)
+        for n, tiles in levels.items():
+            assert n <= 24 if not tiles else sum(size for size, _ in tiles) == n and len(tiles) <= 40
+            assert [b for _, b in tiles] == [sum(size for size, _ in tiles[:i]) for i in range(len(tiles))]
