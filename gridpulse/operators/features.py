@@ -369,13 +369,14 @@ def _levels(windows: tuple[int, ...], base: int = DAY, most: int = 12) -> dict[i
     return {**{n: [] for n in sorted(plain)}, **made}
 
 
-def _merged(parts: list[Column]) -> Column:
-    """Count, mean, squared deviation and extrema of disjoint frames taken together."""
-    n = reduce(add, [F.coalesce(x["n"], F.lit(0)) for x in parts])
-    mean = F.try_divide(reduce(add, [F.coalesce(x["n"] * x["m"], F.lit(0.0)) for x in parts]), n)
-    spread = reduce(add, [F.coalesce(x["q"] + x["n"] * (x["m"] - mean) * (x["m"] - mean), F.lit(0.0)) for x in parts])
-    return F.struct(n.alias("n"), mean.alias("m"), spread.alias("q"), F.least(*[x["lo"] for x in parts]).alias("lo"),
-                    F.greatest(*[x["hi"] for x in parts]).alias("hi"))
+def _merged(parts: list[str], out: str) -> list[dict[str, str]]:
+    """Count, mean, squared deviation and extrema of disjoint frames taken together, in two steps."""
+    total = " + ".join(f"coalesce({p}.n * {p}.m, 0D)" for p in parts)
+    spread = " + ".join(f"coalesce({p}.q + {p}.n * ({p}.m - {out}_m) * ({p}.m - {out}_m), 0D)" for p in parts)
+    many = " + ".join(f"coalesce({p}.n, 0)" for p in parts)
+    low, high = (", ".join(f"{p}.{k}" for p in parts) for k in ("lo", "hi"))
+    whole = f"named_struct('n', {out}_n, 'm', {out}_m, 'q', {spread}, 'lo', least({low}), 'hi', greatest({high}))"
+    return [{f"{out}_n": many, f"{out}_m": f"try_divide({total}, {many})"}, {out: whole}]
 
 
 def rolling_stats(df: DataFrame, cols: list[str], windows=DEFAULT_PARAMS.rolling_windows, min_periods: int = 1,
@@ -383,39 +384,35 @@ def rolling_stats(df: DataFrame, cols: list[str], windows=DEFAULT_PARAMS.rolling
     """Mean, sample deviation, minimum and maximum over each window.
 
     Only frames of up to a day are evaluated row by row. A longer window is tiled by shorter ones that end earlier: its
-    moments are merged and its extrema compared, so its cost is that of a few lags, whatever its length.
+    moments are merged and its extrema compared, so its cost is that of a few lags, whatever its length. Expressions
+    are SQL text, as there are hundreds of them.
     """
     levels = _levels(tuple(windows))
-    name = lambda c, n, back=0: f"__w{n}_{back}_{c}"
-
-    def frames(w):
-        out = {}
-        for n in (n for n, tiles in levels.items() if not tiles):
-            frame = rows(w, n)
-            for c in cols:
-                many = F.count(c).over(frame)
-                out[name(c, n)] = F.struct(
-                    many.alias("n"), F.avg(c).over(frame).alias("m"), (F.var_pop(c).over(frame) * many).alias("q"),
-                    F.min(c).over(frame).alias("lo"), F.max(c).over(frame).alias("hi"))
-        return out
-
-    stages, have = [frames], {n for n, tiles in levels.items() if not tiles}
-    lagged: set = set()
+    order = f"PARTITION BY {', '.join(f'`{k}`' for k in s.by_chunk)} ORDER BY `{s.time}`"
+    name = lambda c, n, back=0: f"`__w{n}_{back}_{c}`"
+    step = lambda made: lambda w: {k.replace("`", ""): F.expr(e) for k, e in made.items()}
+    base = [n for n, tiles in levels.items() if not tiles]
+
+    def plain(c: str, n: int) -> str:
+        frame = f"OVER ({order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        return (f"named_struct('n', count(`{c}`) {frame}, 'm', avg(`{c}`) {frame}, 'q', var_pop(`{c}`) {frame} * count(`{c}`) {frame}, "
+                f"'lo', min(`{c}`) {frame}, 'hi', max(`{c}`) {frame})")
+
+    stages = [step({name(c, n): plain(c, n) for c in cols for n in base})]
+    have, lagged = set(base), set()
     while ready := {n: t for n, t in levels.items() if n not in have and {size for size, _ in t} <= have}:
         shifts = {x for t in ready.values() for x in t if x[1]} - lagged
-        lagged |= shifts
-        stages.append(lambda w, shifts=shifts: {name(c, n, b): F.lag(name(c, n), b).over(w) for c in cols for n, b in sorted(shifts)})
-        stages.append(lambda w, ready=ready: {name(c, n): _merged([F.col(name(c, *x)) for x in t]) for c in cols for n, t in ready.items()})
-        have |= set(ready)
+        stages.append(step({name(c, n, b): f"lag({name(c, n)}, {b}) OVER ({order})" for c in cols for n, b in sorted(shifts)}))
+        merged = [_merged([name(c, *x) for x in t], f"__w{n}_0_{c}") for c in cols for n, t in ready.items()]
+        stages += [step({out: e for m in merged for out, e in m[k].items()}) for k in (0, 1)]
+        have, lagged = have | set(ready), lagged | shifts
 
-    def results(w):
-        out = {}
-        for c in cols:
-            for n in windows:
-                x = F.col(name(c, n))
-                kinds = {"mean": x["m"], "std": F.when(x["n"] > 1, F.sqrt(x["q"] / (x["n"] - 1))), "min": x["lo"], "max": x["hi"]}
-                out |= {f"{c}_{k}_{n}h": F.when(x["n"] >= min_periods, v) for k, v in kinds.items()}
-        return out
-
-    helpers = [name(c, n) for c in cols for n in levels] + [name(c, n, b) for c in cols for n, b in lagged]
-    return over_chunks(df, [*stages, results], s, before=max(windows), drop=helpers)
+    results = {}
+    for c in cols:
+        for n in windows:
+            x = name(c, n)
+            kinds = {"mean": f"{x}.m", "std": f"if({x}.n > 1, sqrt({x}.q / ({x}.n - 1)), NULL)", "min": f"{x}.lo", "max": f"{x}.hi"}
+            results |= {f"{c}_{k}_{n}h": f"if({x}.n >= {min_periods}, {v}, NULL)" for k, v in kinds.items()}
+    helpers = [name(c, n).strip("`") for c in cols for n in levels] + [name(c, n, b).strip("`") for c in cols for n, b in lagged]
+    helpers += [f"__w{n}_0_{c}_{k}" for c in cols for n, tiles in levels.items() if tiles for k in "nm"]
+    return over_chunks(df, [*stages, step(results)], s, before=max(windows), drop=helpers)
