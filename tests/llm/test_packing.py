@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,18 +9,18 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridpulse.llm import packing
+from gridpulse.llm.queries import QUERIES
 from gridpulse.llm.tokens import encoder
 
 
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_equal_those_of_the_json_file(reference, edge_rows):
-    for text in [r[1] for r in edge_rows if r[1] is not None] + ["a <|endoftext|> b", "it's  two\n\nlines\t", "x  \n y" * 50]:
+    for text in [r[1] for r in edge_rows if r[1] is not None] + ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x  <|endoftext| >", "<|ENDOFTEXT|>", "it's  two\n\nlines\t", "x  \n y" * 50]:
         assert encoder().ids(text).tolist() == reference(text)
         assert encoder().ids(text, chars=37).tolist() == reference(text)
 
@@ -78,6 +79,35 @@ def test_pieces_cover_documents_and_sequences_have_no_gaps(edge_docs, edge_rows,
     assert len(by_sequence) == -(-total // capacity)  # only the last one is short
 
 
+def test_query_equals_brute_force(spark, edge_docs, edge_rows, reference, tmp_path):
+    """Every id of every document lies in exactly one piece; a text may hold the string of an added token."""
+    odd = [(900, "a <|endoftext|> b"), (901, "<|endoftext|>"), (902, "x<|endoftext|>" * 700), (903, "é <|endoftext|>\n\n <|endoftext")]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    edge_docs.select("doc_id", "text").unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op1_packing"](spark, str(tmp_path)).collect()
+    texts = [(r[0], r[1]) for r in edge_rows] + odd
+    copies, by_doc, filled = Counter(d for d, _ in texts), defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert set(by_doc) == set(copies)
+    for doc_id, text in set(texts):
+        want = np.array(reference(text or "") + [0], "<u4")
+        assert sum(r.length for r in by_doc[doc_id]) == len(want) * copies[doc_id]
+        starts = Counter()
+        for r in by_doc[doc_id]:
+            assert r.doc_tokens == len(want) and r.ids_crc32 == zlib.crc32(want[r.start : r.start + r.length].tobytes())
+            starts.update(range(r.start, r.start + r.length))
+        assert set(starts.values()) == {copies[doc_id]} and len(starts) == len(want)
+    for parts in filled.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    assert len(filled) == -(-sum(r.length for r in rows) // 1024)
+
+
 def test_padded_sequences(edge_docs):
     pieces = packing.pack(edge_docs, 64)
     for r in packing.padded(pieces, 64).collect():
