@@ -12,10 +12,11 @@ is contaminated if its word edit distance to the item is at most `slack` * n (0.
    target recall at the distance limit is measured on the items themselves, with edits drawn from a seed.
 4. Windows that meet an item in a table are verified by exact edit distance.
 
-With `passages`, as the queries use it, the distance is that to the best passage of any length instead, so a document may
-be shorter than the item and words may be left out or added. An item is cut into d + 1 blocks; d edits leave one of them
-whole, so every passage within the limit shares a block with its item, and none is lost whatever the item's length.
-The words around each shared block are verified by semi-global edit distance.
+With `passages`, as the queries use it, windows only propose. Words may be left out or added, so a passage need not be as
+long as its item: the distance is that to the best passage of any length around a proposing window (semi-global). The
+window that starts with such a passage still holds n - d words and n - 1 - 2d pairs of the item; a window that runs past
+the end of its text is filled up with END, so passages at the end and texts shorter than the item have windows as well. The
+tables are as many as substitutions, insertions, deletions and their mixture need.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridpulse.llm.common import mix, slices
+from gridpulse.llm.common import Scratch, mix, slices
 
 _WORD = re.compile(r"\w+")
 SAMPLED = 7  # quarters of n: steps of a walk that are taken
@@ -88,15 +89,6 @@ def passage_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best // unit, best % unit
 
 
-def _runs(ids: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all runs of `length` ids along the last axis."""
-    count = ids.shape[-1] - length + 1
-    h = np.full((*ids.shape[:-1], count), length, dtype=np.uint64)
-    for k in range(length):
-        h = mix(h + ids[..., k : k + count].astype(np.uint64))
-    return h
-
-
 @dataclass
 class Sampler:
     """Tables of sampled positions for embeddings of windows of n words."""
@@ -133,7 +125,6 @@ class Benchmark:
     pairs: np.ndarray | None = None
     pairs_of: dict[int, np.ndarray] = field(default_factory=dict)
     passages: bool = False
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: hashes, (n, item, offset)
 
     def add(self, rows: list[tuple[int, str]]) -> "Benchmark":
         pairs: dict[int, set] = {}
@@ -144,9 +135,6 @@ class Benchmark:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in parts]
             pairs.setdefault(len(ids), set()).update(a << 32 | b for a, b in zip(ids, ids[1:]))
             self.items.setdefault(len(ids), []).append((item_id, np.array(ids, dtype=np.int64)))
-        if self.passages:
-            self._cut()
-            return self
         self.pairs = np.array(sorted(set().union(*pairs.values())), dtype=np.int64)
         self.pairs_of = {n: np.array(sorted(x), dtype=np.int64) for n, x in pairs.items()}
         for n, items in self.items.items():
@@ -160,80 +148,94 @@ class Benchmark:
             self.table_keys[n] = np.array(sorted(table), dtype=np.uint64)
         return self
 
-    def _cut(self) -> None:
-        """The blocks of all items."""
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for n, items in self.items.items():
-            count = limit(n, self.slack) + 1
-            if count > n:
-                raise ValueError(f"slack {self.slack} leaves no word of an item of {n} words")
-            every = np.stack([x for _, x in items])
-            cuts = [n * i // count for i in range(count + 1)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                what = np.stack([np.full(len(items), n), np.arange(len(items)), np.full(len(items), lo)], axis=1)
-                found.setdefault(hi - lo, []).append((_runs(every[:, lo:hi], hi - lo)[:, 0], what))
-        for length, parts in found.items():
-            hashes, what = np.concatenate([h for h, _ in parts]), np.concatenate([x for _, x in parts])
-            order = np.argsort(hashes, kind="stable")
-            self.seeds[length] = hashes[order], what[order]
-
     def _passages(self, ids: np.ndarray, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        met = []
-        for length, (hashes, what) in self.seeds.items():
-            if len(ids) < length:
-                continue
-            known = np.concatenate([[0], np.cumsum(ids > 0)])
-            at = np.flatnonzero(known[length:] - known[:-length] == length)
-            runs = _runs(ids, length)[at]
-            lo = np.searchsorted(hashes, runs)
-            many = np.searchsorted(hashes, runs, side="right") - lo
-            hit = np.repeat(np.arange(len(at)), many)
-            seed = what[np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + lo[hit]]
-            met.append(np.column_stack([seed[:, :2], text[at[hit]], at[hit] - seed[:, 2]]))
-        out = []
+        """Matches around the windows that meet an item in a table."""
+        out: dict[tuple[int, int, int], tuple[int, int]] = {}
+        stop = (begin + sizes - 1)[text]  # end of the text, for each place
+        two = np.append(ids[:-1] << 32 | ids[1:], 0) if len(ids) else ids
+        pair = np.concatenate([[0], np.cumsum(_within(two, self.pairs))]).astype(np.int32)
+        lengths: dict[int, list[int]] = {}
+        for n in self.items:
+            lengths.setdefault(limit(n, self.slack), []).append(n)
+        for d, group in lengths.items():
+            # the first `least` words of a window of any of these lengths hold that many known pairs
+            least = min(group)
+            end = np.minimum(np.arange(len(ids)) + least - 1, len(ids))
+            some = pair[end] - pair[:-1] >= least - 1 - 2 * d
+            dense = np.flatnonzero(some & (ids > 0) if d == 0 else some)
+            for n in group:
+                for start in np.array_split(dense, math.ceil(len(dense) / 4096)) if len(dense) else []:
+                    self._propose(n, d, start[start + n - d <= stop[start]], ids, two, text, begin, stop, out)
+        return [(t, self.items[n][i][0], first, n, far) for (t, n, i), (far, first) in out.items()]
+
+    def _propose(self, n, d, start, ids, two, text, begin, stop, out) -> None:
+        place = start[:, None] + np.arange(n)
+        inside = place < stop[start][:, None]
+        place = np.minimum(place, len(ids) - 1)
+        windows = np.where(inside, ids[place], -1)
+        known = (_within(np.where(inside[:, 1:], two[place[:, :-1]], 0), self.pairs_of[n])).sum(1) if n > 1 else np.zeros(len(start))
+        good = ((windows > 0).sum(1) >= n - d) & (known >= n - 1 - 2 * d)
+        start, windows = start[good], windows[good]
+        if not len(start):
+            return
+        keys = self.samplers[n].keys(np.where(windows >= 0, mix(windows.view(np.uint64)), END))
+        row, column = np.nonzero(_within(keys, self.table_keys[n]))
+        table, item_of = self.tables[n], self.items[n]
+        met = {(w, i) for w, k in zip(row.tolist(), keys[row, column].tolist()) for i in table[k]}
         if not met:
-            return out
-        met = np.unique(np.concatenate(met), axis=0)
-        for n in np.unique(met[:, 0]).tolist():
-            d = limit(n, self.slack)
-            every = np.stack([x for _, x in self.items[n]])
-            mine = met[met[:, 0] == n]
-            for part in np.array_split(mine, math.ceil(len(mine) / 2048)):
-                item, of, first = part[:, 1], part[:, 2], part[:, 3] - d
-                place = first[:, None] + np.arange(n + 2 * d)
-                inside = (place >= begin[of][:, None]) & (place < (begin + sizes - 1)[of][:, None])
-                around = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], 0)
-                # words that the vocabulary knows: n - d of the passage are the item's
-                some = np.flatnonzero((around > 0).sum(1) >= n - d)
-                distance, start = passage_distances(every[item[some]], around[some])
-                near = np.flatnonzero(distance <= d)
-                for k, far, shift in zip(some[near].tolist(), distance[near].tolist(), start[near].tolist()):
-                    t = int(of[k])
-                    out.append((t, self.items[n][item[k]][0], max(0, int(first[k]) + shift - int(begin[t])), n, far))
-        return out
+            return
+        w, i = np.array(sorted(met)).T
+        for part in np.array_split(np.arange(len(w)), math.ceil(len(w) / 1024)):
+            at = start[w[part]]
+            place = at[:, None] - d + np.arange(n + 2 * d)
+            of = text[at]
+            inside = (place >= begin[of][:, None]) & (place < stop[at][:, None])
+            around = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], 0)
+            distance, shift = passage_distances(np.stack([item_of[x][1] for x in i[part].tolist()]), around)
+            for k in np.flatnonzero(distance <= d).tolist():
+                t = int(of[k])
+                first = max(0, int(at[k]) - d + int(shift[k]) - int(begin[t]))
+                key, found = (t, n, int(i[part[k]])), (int(distance[k]), first)
+                out[key] = min(out.get(key, found), found)
 
     def _sampler(self, n: int, items: np.ndarray) -> Sampler:
         """As many tables as edits of items at the distance limit need to meet their item with the target recall."""
         draw = np.random.default_rng(n)
         d, tries = limit(n, self.slack), 64
         source = items[draw.integers(0, len(items), tries)]
-        edited = source.copy()
-        if d:
-            for row in edited:
-                for _ in range(d // 2):  # an insertion and a deletion keep the length
-                    row[:] = np.insert(np.delete(row, draw.integers(n)), draw.integers(n), -1 - draw.integers(1 << 30))
-                if d % 2:
-                    row[draw.integers(n)] = -1 - draw.integers(1 << 30)
-        # a walk is past the last word after 2n steps on average; samples are taken before that
-        steps = max(1, SAMPLED * n // 4)
-        agree = [(embed(mix(source.view(np.uint64)), w, steps) == embed(mix(edited.view(np.uint64)), w, steps)).mean(1)
-                 for w in range(self.walks)]
-        same, each = np.stack(agree).mean(0), 2
-        while np.mean(1 - (1 - same**self.bits) ** (each * self.walks)) < self.recall:
+        edited = np.array([self._edited(row, d, i % 4, draw) for i, row in enumerate(source)])
+        # a walk is past the last word after 2n steps on average; samples are taken before that. Words left out or added
+        # shift what comes late, so passages sample the early steps and fewer bits.
+        steps, bits = (n, min(self.bits, 2)) if self.passages else (max(1, SAMPLED * n // 4), self.bits)
+        agree = np.stack([(embed(mix(source.view(np.uint64)), w, steps) == embed(mix(edited.view(np.uint64)), w, steps)).mean(1)
+                          for w in range(self.walks)])
+        same, each = np.log1p(-np.minimum(agree**bits if self.passages else np.broadcast_to(agree.mean(0) ** bits, agree.shape), 1 - 1e-12)).sum(0), 2
+        while np.mean(1 - np.exp(same * each)) < self.recall:
             each += 2
             if each > MOST_TABLES:
                 raise ValueError(f"items of {n} words need more than {MOST_TABLES} tables a walk for a recall of {self.recall}")
-        return Sampler(steps, [draw.integers(0, steps, (each, self.bits)) for _ in range(self.walks)])
+        return Sampler(steps, [draw.integers(0, steps, (each, bits)) for _ in range(self.walks)])
+
+    def _edited(self, row: np.ndarray, d: int, kind: int, draw) -> np.ndarray:
+        """A window with d edits of a kind. Without passages, insertions and deletions come in twos and keep the length."""
+        new = lambda: -1 - int(draw.integers(1 << 30))
+        v, n = row.tolist(), len(row)
+        if not self.passages:
+            for _ in range(d // 2):
+                del v[int(draw.integers(n))]
+                v.insert(int(draw.integers(n)), new())
+            if d % 2:
+                v[int(draw.integers(n))] = new()
+            return np.array(v)
+        for _ in range(d):
+            what, k = kind if kind < 3 else int(draw.integers(3)), int(draw.integers(len(v)))
+            if what == 0:
+                v[k] = new()
+            elif what == 1:
+                v.insert(k, new())
+            else:
+                del v[k]
+        return np.array((v + [new() for _ in range(d)])[:n])
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, item_id, first word, words, distance) of every contaminated window of some texts."""
@@ -285,29 +287,34 @@ def _within(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
-def _blocks(benchmark: DataFrame, slack: float, recall: float, bits: int, walks: int, passages: bool) -> list[Benchmark]:
-    """The benchmark in blocks of a bounded number of words, so that what a task holds does not grow with it."""
+def _blocks(benchmark: DataFrame, slack: float, recall: float, bits: int, walks: int, passages: bool) -> tuple[int, Iterator[Benchmark]]:
+    """Number of blocks of a bounded number of words and the blocks, made one at a time: neither driver nor task holds more."""
     rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
     size = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     count = max(1, math.ceil(size / BLOCK_WORDS))
-    out = []
-    for b in range(count):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).distinct().orderBy("item_id", "text").collect()
-        out.append(Benchmark(slack, recall, bits, walks, passages=passages).add([(r["item_id"], r["text"]) for r in part]))
-    return out
+
+    def made():
+        for b in range(count):
+            part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).distinct().orderBy("item_id", "text").collect()
+            yield Benchmark(slack, recall, bits, walks, passages=passages).add([(r["item_id"], r["text"]) for r in part])
+
+    return count, made()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, recall: float = 0.97, bits: int = 3, walks: int = 4, passages: bool = False) -> DataFrame:
     """The best match of each document and item: doc_id, item_id, first_word, n_words, distance, similarity.
 
     NULL texts and texts without words, on either side, match nothing; an item without id is left out; without `passages`
-    a text shorter than an item has no window for it. n_words are the item's. Repeated rows give one row for each doc_id and item; ties go to the earliest window. A NULL doc_id is
-    a value like others. Extra columns are not carried. Empty tables give no rows.
+    a text shorter than an item has no window for it. n_words are the item's. Repeated rows give one row for each doc_id
+    and item; ties go to the earliest place. A NULL doc_id is a value like others. Extra columns are not carried. Empty
+    tables give no rows. Of several blocks, each one's matches are written before the next block is made.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "decontam")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32())])
     found = None
-    for block in _blocks(benchmark, slack, recall, bits, walks, passages):
+    count, blocks = _blocks(benchmark, slack, recall, bits, walks, passages)
+    for number, block in enumerate(blocks):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -322,24 +329,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, reca
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         one = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, first_word int, n_words int, distance int")
+        if count > 1:
+            one = scratch.write(one, f"found{number}")
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "first_word", "n_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.first_word", "m.n_words", "m.distance", (1 - F.col("m.distance") / F.col("m.n_words")).alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, recall: float = 0.97, bits: int = 3, walks: int = 4, passages: bool = False) -> DataFrame:
-    """docs without the rows whose text holds an item; all columns stay. Each row is judged by its own text."""
-    out = docs
-    for block in _blocks(benchmark, slack, recall, bits, walks, passages):
+    """docs without the rows whose text holds an item; all columns stay. Each row is judged by its own text.
+
+    A row with a NULL or empty text holds nothing and stays, as do all rows if the benchmark is empty. Repeated rows all go or
+    all stay. Of several blocks, the rows that one leaves are written before the next block is made.
+    """
+    out, scratch = docs, Scratch(docs.sparkSession, "decontam")
+    count, blocks = _blocks(benchmark, slack, recall, bits, walks, passages)
+    for number, block in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         @F.pandas_udf("boolean")
         def holds(texts, shared=shared):
-            out = np.zeros(len(texts), dtype=bool)
-            for at in range(0, len(texts), 256):
-                for found in shared.value.matches(texts.iloc[at : at + 256].tolist()):
-                    out[at + found[0]] = True
-            return pd.Series(out)
+            held, size = np.zeros(len(texts), dtype=bool), np.cumsum(texts.str.len().fillna(0).to_numpy())
+            at = 0
+            while at < len(texts):  # a bounded number of rows and characters at a time
+                end = min(at + 256, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 4_000_000, side="right"))))
+                for found in shared.value.matches(texts.iloc[at:end].tolist()):
+                    held[at + found[0]] = True
+                at = end
+            return pd.Series(held)
 
         out = out.where(~holds("text"))
+        if count > 1:
+            out = scratch.write(out, f"left{number}")
+            shared.destroy()
     return out

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from gridpulse.llm import decontam
 from tests.llm.conftest import SCHEMA, prose
@@ -97,12 +98,20 @@ def passage(a, b):
     return min(row)
 
 
-def test_passages_equal_brute_force(spark):
-    """Words left out, added and changed, at both ends of texts, in texts shorter than the item, and in items of 400 words."""
-    r = random.Random(12)
+def blocks_find(v, w, d):
+    """Exact filter to hold the sampled search against: d edits leave one of d + 1 blocks of the item whole."""
+    cuts = [len(v) * i // (d + 1) for i in range(d + 2)]
+    return any(w[p : p + hi - lo] == v[lo:hi] for lo, hi in zip(cuts, cuts[1:]) for p in range(len(w) - (hi - lo) + 1))
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_passages_against_brute_force(spark, seed):
+    """Words left out, added and changed up to the limit, at both ends of texts, in texts shorter than the item, and in items of
+    200 and 400 words: no false positive, at least 0.97 of all pairs found."""
+    r = random.Random(seed)
     items = [(i, prose(r, n)) for i, n in enumerate([1, 3, 4, 5, 9, 10, 16, 19, 20, 25, 37, 59, 200, 400])]
     texts = []
-    for d in range(150):
+    for d in range(300):
         v = items[r.randrange(len(items))][1].split()
         kinds = r.choice(([0], [1], [2], [0, 1, 2]))
         for _ in range(r.choice((0, len(v) // 10, len(v) // 5, len(v) // 5, len(v) // 4))):
@@ -115,19 +124,52 @@ def test_passages_equal_brute_force(spark):
     for i, x in items:
         v = decontam.words(x)
         for d, w in split:
-            if (k := passage(v, w)) <= decontam.limit(len(v), 0.2):
+            if blocks_find(v, w, decontam.limit(len(v), 0.2)) and (k := passage(v, w)) <= decontam.limit(len(v), 0.2):
                 want[d, i] = k
-    docs = spark.createDataFrame(texts + [(900, None), (901, "")], "doc_id long, text string")
+    docs = spark.createDataFrame(texts + [(900, None), (901, "")], "doc_id long, text string").repartition(8)
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontam.contaminated(docs, bench, passages=True).collect()
-    assert {(x.doc_id, x.item_id): x.distance for x in found} == want and len(found) == len(want)
+    got = {(x.doc_id, x.item_id): x.distance for x in found}
+    assert len(got) == len(found) and set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert len(got) >= 0.97 * len(want) and sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
+    long = {k for k in want if len(items[k[1]][1].split()) >= 200}
+    assert len(long & set(got)) >= 0.9 * len(long) > 10
     gone = {d for d, _ in texts} - {x.doc_id for x in decontam.clean(docs, bench, passages=True).collect()}
-    assert gone == {d for d, _ in want}
+    assert gone == {d for d, _ in got}
 
 
-def test_sampled_tables_reach_the_recall_or_say_so(monkeypatch):
-    import pytest
+def test_queries_go_through_the_sampled_tables(spark, tmp_path, monkeypatch):
+    """Without the sampler's tables, neither the query nor the pipeline's stage finds anything."""
+    import corpus_pipeline
+    from gridpulse.llm.queries import QUERIES
+
+    r = random.Random(1)
+    items = [(i, prose(r, 30)) for i in range(5)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in items], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op2_decontamination"](spark, str(tmp_path)).count() == 5
+    assert corpus_pipeline.benchmark(spark, docs, str(tmp_path)).count() == 0
+    sampler = decontam.Benchmark._sampler
+    monkeypatch.setattr(decontam.Benchmark, "_sampler", lambda self, n, x: decontam.Sampler(1, [p[:0] for p in sampler(self, n, x).picks]))
+    assert QUERIES["op2_decontamination"](spark, str(tmp_path)).count() == 0
+    assert corpus_pipeline.benchmark(spark, docs, str(tmp_path)).count() == 5
 
+
+def test_several_blocks_and_empty_tables_of_passages(spark, no_docs, monkeypatch):
+    r = random.Random(3)
+    items = [(i, prose(r, 12)) for i in range(10)]
+    docs = spark.createDataFrame([(d, t) for d, t in items] + [(50, prose(r, 40))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 40)
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(docs, bench, passages=True).collect()} >= {(i, i) for i in range(10)}
+    assert [x.doc_id for x in decontam.clean(docs, bench, passages=True).collect()] == [50]
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.contaminated(no_docs, none, passages=True).count() == 0 == decontam.contaminated(docs, none, passages=True).count()
+    assert decontam.clean(docs, none, passages=True).count() == 11 and decontam.clean(no_docs, bench, passages=True).columns == no_docs.columns
+
+
+def test_sampled_tables_reach_the_recall_or_say_so(monkeypatch):
     r = random.Random(2)
     items = [(1, prose(r, 400))]
     monkeypatch.setattr(decontam, "MOST_TABLES", 128)
