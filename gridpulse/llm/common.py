@@ -85,6 +85,14 @@ def key_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id's text, modulo `modulus`; NULL where the id is NULL."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

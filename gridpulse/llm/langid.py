@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridpulse.llm.common import fold, slices
+from gridpulse.llm.common import fold, free_name, slices
 
 ORDERS = (1, 2, 3)
 
@@ -227,7 +227,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     these two names are replaced. Every row is predicted by its own text, repeated rows alike. With nothing to learn from, all is `und`."""
     predict = language_udf(docs.sparkSession, model)
     rest = docs.drop("lang_pred", "score")
-    return rest.withColumn("__lang", predict("text")).select(*rest.columns, "__lang.lang_pred", "__lang.score")
+    found = free_name(rest, "lang_found")
+    return rest.withColumn(found, predict("text")).select(*rest.columns, f"{found}.lang_pred", f"{found}.score")
 
 
 def learnable(docs: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridpulse.llm.common import Scratch, bits_for, mix, slices
+from gridpulse.llm.common import Scratch, bits_for, free_name, mix, slices
 from gridpulse.llm.components import components
 
 FAN = 8
@@ -407,8 +407,11 @@ def copy_groups(docs: DataFrame, shingle: int, words: int, radius: int, similari
     held = sets.join(near, "node", "left").select(F.coalesce("root", "node").alias("key"), F.col("set_hash").alias("node"), "text_hash")
     held = scratch.write(held, "held")
     several = scratch.write(held.join(held.groupBy("key").count().where("count > 1"), "key", "left_semi"), "several")
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(several, "text_hash").dropDuplicates(["text_hash"]).select("key", "node", F.length("text").alias("weight"), "text")
+    # one row speaks for all copies of a text, so that they do not meet in one task
+    speakers = rows.join(several, "text_hash").groupBy("text_hash", "key", "node").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(scratch.write(speakers, "speakers"), ["doc_id", "text_hash"]).dropDuplicates(["text_hash"])
+    texts = texts.select("key", "node", F.length("text").alias("weight"), "text")
     same = links_by_key(scratch.write(texts, "texts"), near_sets(shingle, similarity), scratch, BLOCK_TEXTS, BLOCK_CHARS)
     roots = scratch.write(components(same, scratch).select(F.col("node").alias("set_hash"), "root"), "roots")
     return rows.join(roots, "set_hash", "left").select("doc_id", "text_hash", F.coalesce("root", "set_hash").alias("component"))
@@ -422,7 +425,8 @@ def one_of_each(docs: DataFrame, shingle: int = NEAR["shingle"], words: int = NE
     """
     named = docs.where("doc_id is not null")
     groups = copy_groups(named, shingle, words, radius, SIMILARITY)
-    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", F.col("k.text_hash").alias("__text_hash"))
-    keys = ["doc_id", "__text_hash"]
-    out = named.withColumn("__text_hash", F.xxhash64("text")).join(kept, keys, "left_semi").dropDuplicates(keys)
+    text_hash = free_name(docs, "text_hash")
+    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", F.col("k.text_hash").alias(text_hash))
+    keys = ["doc_id", text_hash]
+    out = named.withColumn(text_hash, F.xxhash64("text")).join(kept, keys, "left_semi").dropDuplicates(keys)
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -216,3 +216,34 @@ def test_repeated_ids_are_judged_by_their_text(spark):
     a, b, c = (prose(r, 80, 5000) for _ in range(3))
     docs = spark.createDataFrame([(1, a), (2, b), (2, c), (3, a), (1, b), (4, c), (2, c)], "doc_id long, text string")
     assert sorted((x.doc_id, x.text) for x in simhash.one_of_each(docs).collect()) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_recall_of_documents_just_above_the_similarity(spark):
+    """Pairs of texts with an exact Jaccard similarity of 0.80 to 0.85, by words changed, left out and added."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    r = random.Random(77)
+    rows, pairs = [], []
+    while len(pairs) < 120:
+        a = prose(r, r.randint(60, 400), 5000).split()
+        b = list(a)
+        while (j := jaccard(" ".join(a), " ".join(b))) > 0.85:
+            k = r.randrange(len(b))
+            r.choice((lambda: b.__setitem__(k, "zz"), lambda: b.insert(k, "yy"), lambda: b.__delitem__(k)))()
+        if j >= 0.8:
+            n = len(rows)
+            pairs.append((n, n + 1))
+            rows += [(n, " ".join(a)), (n + 1, " ".join(b))]
+    kept = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert all(a in kept for a, _ in pairs)
+    assert sum(b not in kept for _, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_columns_that_clash_and_many_copies_of_a_text(spark):
+    docs = spark.createDataFrame([(i, "one text that is copied often", 5) for i in range(300)] + [(i, f"another text number {i} " * 9, 6) for i in range(300, 320)],
+                                 "doc_id long, text string, text_hash long").repartition(9)
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((x.doc_id, x.text_hash) for x in out.collect()) == [(0, 5), *((i, 6) for i in range(300, 320))]
