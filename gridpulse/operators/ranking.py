@@ -1,52 +1,74 @@
 """Running totals, exact quantiles and ranks over a whole table without sorting it in one task.
 
-The table is first reduced to one row per distinct value. Approximate quantiles only choose bucket borders, which are
-fetched to the driver as a fixed number of values so that every branch uses the same ones; totals of the buckets then
-give each bucket its offset. Results are exact whatever the borders are.
+The table is first reduced to one row per distinct value. It is dealt to tasks by ranges of the order, each task adds up its
+own range, and the ranges' totals, one row per task, give each range its offset (a prefix scan over ranges). Results are
+exact wherever the ranges end, and there may be as many ranges as there are shuffle partitions.
 """
 
 from __future__ import annotations
 
 import math
+from typing import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from gridpulse.sources.store import materialize
 
-BUCKETS = 64  # at least
+
+def _scan(sums: list[str], keys: list[str]):
+    """Running sums of sorted batches within each key, and the number of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, carry = TaskContext.get().partitionId(), None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            named = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * batch.num_rows
+            cuts = [0, *(i for i in range(1, len(named)) if named[i] != named[i - 1]), len(named)] if keys else [0, len(named)]
+            values = {c: batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in sums}
+            totals = {c: np.empty_like(v) for c, v in values.items()}
+            for lo, hi in zip(cuts, cuts[1:]):
+                if named[lo] != last:
+                    last, carry = named[lo], dict.fromkeys(sums, 0)
+                for c, v in values.items():
+                    totals[c][lo:hi] = np.cumsum(v[lo:hi]) + carry[c]
+                    carry[c] = totals[c][hi - 1]
+            made = [pa.array(totals[c]) for c in sums] + [pa.array(np.full(batch.num_rows, part, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[f"cum_{c}" for c in sums], "__range"])
+
+    return run
 
 
 def running_totals(df: DataFrame, order: str, sums: list[str], keys: list[str] = (), descending: bool = False,
-                   buckets: int | None = None) -> DataFrame:
+                   ranges: int | None = None) -> DataFrame:
     """Add cum_<col>: total of <col> over this and all earlier rows in `order`, per `keys`.
 
-    Expects one row per (keys, order). `keys` must be few (column names, splits), not data values. Buckets are as many as
-    shuffle partitions unless given.
+    Expects one row per (keys, order), and numbers to sum (a missing one counts as 0). `keys` must be few (column names,
+    splits), not data values. Ranges are as many as shuffle partitions unless given.
     """
-    keys = list(keys)
-    d = materialize(df, "ranked")
-    buckets = buckets or max(BUCKETS, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    steps = [i / buckets for i in range(1, buckets)]
-    borders = d.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), steps, 1000).alias("__borders"))
-    fetched = borders.collect()  # len(keys) x BUCKETS numbers
-    if keys:
-        d = d.join(F.broadcast(d.sparkSession.createDataFrame(fetched, borders.schema)), keys)
-    else:
-        d = d.withColumn("__borders", F.array(*[F.lit(b) for b in fetched[0]["__borders"] or [0.0]]))
-    x = F.col(order).cast("double")
-    bucket = F.size(F.filter("__borders", lambda b: b <= x))
-    d = d.withColumn("__bucket", -bucket if descending else bucket).drop("__borders")
-    totals = d.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(  # at most BUCKETS rows per key
-        *keys, "__bucket", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums]
+    keys, spark = list(keys), df.sparkSession
+    df = df.withColumns({c: F.col(c).cast("double" if dict(df.dtypes)[c] in ("float", "double") else "long") for c in sums})
+    kinds = {c: DoubleType() if t == "double" else LongType() for c, t in df.dtypes if c in sums}
+    schema = StructType([*df.schema.fields, *[StructField(f"cum_{c}", kinds[c]) for c in sums], StructField("__range", IntegerType())])
+    by = [*keys, F.col(order).desc() if descending else F.col(order).asc()]
+    d = materialize(df, "distinct")  # choosing the ranges reads it once more
+    dealt = d.repartitionByRange(ranges, *by) if ranges else d.repartitionByRange(*by)
+    scanned = materialize(dealt.sortWithinPartitions(*by).mapInArrow(_scan(list(sums), keys), schema), "ranked")
+    totals = scanned.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(  # at most one row per key and task
+        *keys, "__range", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums]
     )
-    direction = F.col(order).desc() if descending else F.col(order).asc()
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = F.broadcast(spark.createDataFrame(offsets.collect(), offsets.schema))
     return (
-        d.join(F.broadcast(offsets), [*keys, "__bucket"])
-        .withColumns({f"cum_{c}": F.sum(c).over(inside) + F.col(f"__o_{c}") for c in sums})
-        .drop("__bucket", *[f"__o_{c}" for c in sums])
+        scanned.join(offsets, [*keys, "__range"])
+        .withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__o_{c}") for c in sums})
+        .drop("__range", *[f"__o_{c}" for c in sums])
     )
 
 

@@ -247,3 +247,25 @@ def test_normal_class_falls_back_to_the_most_frequent(spark):
     make = lambda xs: spark.createDataFrame([(x,) for x in xs], "l string")
     assert normal_class(make(["B", "A", "B"]), "l") == "B"
     assert normal_class(make(["B", "B", "NORMAL"]), "l") == "NORMAL"
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 1500])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_over_ranges(spark, ranges, descending):
+    """Keys that span ranges, ranges that span keys, more than a thousand ranges, missing numbers, sums of both kinds."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": np.repeat(["a", "b", "c"], [1500, 3, 700]), "v": rng.permutation(2203) / 7.0})
+    pdf["n"], pdf["x"] = rng.integers(0, 9, len(pdf)), np.where(rng.random(len(pdf)) < 0.1, None, 0.5)
+    df = spark.createDataFrame([tuple(r) for r in pdf.astype(object).itertuples(index=False)], "k string, v double, n long, x double").repartition(5)
+    got = running_totals(df, "v", ["n", "x"], ["k"], descending, ranges).toPandas().sort_values(["k", "v"], ignore_index=True)
+    pdf = pdf.sort_values(["k", "v"], ascending=[True, not descending])
+    pdf["x"] = pdf["x"].astype(float).fillna(0.0)
+    pdf["cum_n"], pdf["cum_x"] = pdf.groupby("k")["n"].cumsum(), pdf.groupby("k")["x"].cumsum()
+    want = pdf.sort_values(["k", "v"], ignore_index=True)
+    assert (got["cum_n"] == want["cum_n"]).all() and np.allclose(got["cum_x"], want["cum_x"])
+    assert got.columns.tolist() == ["k", "v", "n", "x", "cum_n", "cum_x"]
+
+
+def test_running_totals_of_nothing(spark):
+    empty = spark.createDataFrame([], "v double, n long")
+    assert running_totals(empty, "v", ["n"]).count() == 0
