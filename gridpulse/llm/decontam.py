@@ -39,6 +39,8 @@ SAMPLED = 7  # quarters of n: steps of a walk that are taken
 END = np.uint64(0xFF51AFD7ED558CCD)
 BLOCK_WORDS = 2_000_000
 MOST_TABLES = 4096
+ENOUGH_TABLES = 256  # of one walk; beyond, more walks are taken
+MOST_WALKS = 64
 
 
 def words(text: str | None) -> list[str]:
@@ -207,14 +209,21 @@ class Benchmark:
         # a walk is past the last word after 2n steps on average; samples are taken before that. Words left out or added
         # shift what comes late, so passages sample the early steps and fewer bits.
         steps, bits = (n, min(self.bits, 2)) if self.passages else (max(1, SAMPLED * n // 4), self.bits)
-        agree = np.stack([(embed(mix(source.view(np.uint64)), w, steps) == embed(mix(edited.view(np.uint64)), w, steps)).mean(1)
-                          for w in range(self.walks)])
-        same, each = np.log1p(-np.minimum(agree**bits if self.passages else np.broadcast_to(agree.mean(0) ** bits, agree.shape), 1 - 1e-12)).sum(0), 2
-        while np.mean(1 - np.exp(same * each)) < self.recall:
-            each += 2
+        source, edited = mix(source.view(np.uint64)), mix(edited.view(np.uint64))
+        agree, walks = [], self.walks
+        while True:
+            agree += [(embed(source, w, steps) == embed(edited, w, steps)).mean(1) for w in range(len(agree), walks)]
+            same = np.stack(agree) if self.passages else np.broadcast_to(np.mean(agree, 0), (walks, tries))
+            missed, each = np.log1p(-np.minimum(same**bits, 1 - 1e-12)).sum(0), 2
+            while np.mean(1 - np.exp(missed * each)) < self.recall and each <= MOST_TABLES:
+                each += 2
+            # an edit in the first words can lead some walks astray for good; more tables do not help then, other walks do
+            if each > ENOUGH_TABLES and self.passages and walks < MOST_WALKS:
+                walks *= 2
+                continue
             if each > MOST_TABLES:
                 raise ValueError(f"items of {n} words need more than {MOST_TABLES} tables a walk for a recall of {self.recall}")
-        return Sampler(steps, [draw.integers(0, steps, (each, bits)) for _ in range(self.walks)])
+            return Sampler(steps, [draw.integers(0, steps, (each, bits)) for _ in range(walks)])
 
     def _edited(self, row: np.ndarray, d: int, kind: int, draw) -> np.ndarray:
         """A window with d edits of a kind. Without passages, insertions and deletions come in twos and keep the length."""
