@@ -12,8 +12,9 @@ from gridpulse.functions.columns import min_max_scale, weighted_score
 from gridpulse.models import evaluate
 from gridpulse.models.explain import surrogate_importances
 from gridpulse.models.iforest import Forest, feature_vector, fit_forest
-from gridpulse.models.prep import encode_labels, fit_scaler, impute_medians, normal_class, scale, sequences, train_medians
-from gridpulse.models.reconstruction import Reconstruction, fit_reconstruction
+from gridpulse.models.prep import encode_labels, fit_scaler, impute_medians, normal_class, scale, train_medians
+from gridpulse.models.reconstruction import Reconstruction
+from gridpulse.models.windows import fit_windows, window_errors
 from gridpulse.operators.dataset import TRAIN, select_columns
 from gridpulse.operators.ranking import exact_quantiles
 from gridpulse.operators.series import HOURLY, Series
@@ -89,12 +90,11 @@ def train(gold: DataFrame, p: Params = DEFAULT_PARAMS, components: int = 8, ae_o
         scaled.where((F.col("split") == TRAIN) & is_normal).select(*key, *cols), "normal-scaled"
     )
 
-    # a window repeats its rows `lookback` times, so windows are formed on the fly and never stored
-    seq_train = sequences(normal_scaled, cols, p.lookback, p.horizon_shift, allow_gaps=windows == "positions", s=s)
-    seq_valid = sequences(valid, cols, p.lookback, p.horizon_shift, s=s)
-    recon = fit_reconstruction(seq_train, cols, components)
-    err_train = materialize(recon.errors(seq_train).select(*key, "recon_error"), "errors-train")
-    err_valid = recon.errors(seq_valid).select(*key, "recon_error", "per_feature")
+    # a window repeats its rows `lookback` times, so none is built: the normal rows are read once to fit, once for the errors
+    gaps = windows == "positions"
+    recon = fit_windows(normal_scaled, cols, components, p.lookback, p.horizon_shift, gaps, s)
+    err_train = materialize(window_errors(normal_scaled, recon, p.horizon_shift, gaps, s).select(*key, "recon_error"), "errors-train")
+    err_valid = window_errors(valid, recon, p.horizon_shift, s=s).select(*key, "recon_error", "per_feature")
 
     forest = fit_forest(feature_vector(normal_scaled, cols).select(*key, "features"), key, trees=p.trees, seed=p.seed)
     if_train = materialize(

@@ -269,3 +269,48 @@ def test_running_totals_over_ranges(spark, ranges, descending):
 def test_running_totals_of_nothing(spark):
     empty = spark.createDataFrame([], "v double, n long")
     assert running_totals(empty, "v", ["n"]).count() == 0
+
+
+@pytest.mark.parametrize("lookback,width,seed", [(1, 2, 0), (3, 1, 1), (6, 3, 2), (24, 2, 3)])
+def test_lagged_products_equal_those_of_windows(lookback, width, seed):
+    from gridpulse.models.windows import add_products
+
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(150, width))
+    full = np.zeros(150, dtype=bool)
+    full[lookback - 1 :] = rng.random(151 - lookback) < 0.7
+    total, sums = np.zeros((lookback, lookback, width, width)), np.zeros((lookback, width))
+    add_products(total, sums, x, full, lookback)
+    w = np.stack([x[e - lookback + 1 : e + 1] for e in np.flatnonzero(full)])
+    np.testing.assert_allclose(sums, w.sum(0), atol=1e-9)
+    for a in range(lookback):
+        for b in range(a, lookback):
+            np.testing.assert_allclose(total[a, b], w[:, a].T @ w[:, b], atol=1e-9)
+
+
+@pytest.mark.parametrize("allow_gaps", [False, True])
+def test_window_components_without_windows(spark, allow_gaps):
+    """Components to 1e-9 and errors of the row-wise form; missing hours, several assets, chunks little longer than a window."""
+    from gridpulse.models.windows import fit_windows, window_errors
+
+    pdf = panel_pdf(400, assets=3, seed=5)
+    pdf = pdf[np.random.default_rng(1).random(len(pdf)) > 0.02]
+    cols = ["temp_oil_value", "temp_ambient_value", "voltage_value"]
+    df = to_spark(spark, pdf)
+    df = scale(df, fit_scaler(df, cols))
+    seqs = sequences(df, cols, 12, 5, allow_gaps, s=SHORT)
+    want, got = fit_reconstruction(seqs, cols, k=6), fit_windows(df, cols, 6, 12, 5, allow_gaps, SHORT)
+    np.testing.assert_allclose(got.mean, want.mean, atol=1e-12)
+    np.testing.assert_allclose(np.abs(np.sum(got.components * want.components, axis=0)), 1.0, atol=1e-9)
+    a = window_errors(df, got, 5, allow_gaps, SHORT).toPandas().sort_values(["asset_id", "ts"], ignore_index=True)
+    b = want.errors(seqs).toPandas().sort_values(["asset_id", "ts"], ignore_index=True)
+    assert len(a) == len(b) > 100 and (a[["asset_id", "ts"]] == b[["asset_id", "ts"]]).all().all()
+    np.testing.assert_allclose(a["recon_error"], b["recon_error"], rtol=1e-9)
+    np.testing.assert_allclose(np.stack(a["per_feature"]), np.stack(b["per_feature"]), rtol=1e-8, atol=1e-10)
+
+
+def test_window_components_need_windows(spark):
+    from gridpulse.models.windows import fit_windows
+
+    with pytest.raises(ValueError, match="full windows"):
+        fit_windows(to_spark(spark, panel_pdf(10, assets=1)), ["voltage_value"], 2, 24, 0)
