@@ -53,6 +53,46 @@ def append(df: DataFrame, path: str, fmt: str = "parquet", max_rows_per_file: in
     )
 
 
+def append_once(df: DataFrame, path: str, batch: str, marks: str | None = None) -> None:
+    """Append the rows of one batch, once: the same batch written again takes the place of what it wrote before.
+
+    The batch is the innermost partition, so only its own directories are replaced. Rows are rebalanced as in `append`.
+    With `marks`, a folder, the batch's newest reading per asset and tag is kept there as well.
+    """
+    rows = conform(df).withColumn("batch", F.lit(batch))
+    _replace(rows.hint("rebalance", "tag", "date"), path, ["tag", "date", "batch"])
+    if marks:
+        keys = [k for k in ("asset_id", "tag") if k in rows.columns]
+        _replace(exact_marks(rows, keys).withColumn("batch", F.lit(batch)), marks, ["batch"])
+
+
+def _replace(df: DataFrame, path: str, by: list[str]) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def stored_marks(spark: SparkSession, marks: str, keys: list[str] = ("asset_id", "tag"), exact: bool = True) -> DataFrame:
+    """Newest reading per tag from the marks kept at append time; no reading is looked at.
+
+    exact=False floors to the second, as `high_water_marks` does.
+    """
+    newest = spark.read.parquet(marks).groupBy(*keys).agg(F.max("mark").alias("mark"))
+    return newest if exact else newest.withColumn("mark", F.date_trunc("second", "mark"))
+
+
+def compact_marks(spark: SparkSession, marks: str, into: str, keys: list[str] = ("asset_id", "tag")) -> None:
+    """One row per tag in a new folder, for marks of very many batches."""
+    _replace(stored_marks(spark, marks, keys).withColumn("batch", F.lit("compacted")), into, ["batch"])
+
+
+def wrong_marks(table: DataFrame, marks: DataFrame, keys: list[str] = ("asset_id", "tag")) -> DataFrame:
+    """(keys, mark, newest) where stored marks and the stored readings disagree, found by scanning the readings."""
+    newest = exact_marks(table, keys).withColumnRenamed("mark", "newest")
+    both = marks.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = both.join(newest, same, "full").where(~F.col("mark").eqNullSafe(F.col("newest")))
+    return joined.select(*[F.coalesce(k, f"__{k}").alias(k) for k in keys], "mark", "newest")
+
+
 def read(spark: SparkSession, path: str, tags: list[str] | None = None, fmt: str = "parquet") -> DataFrame:
     """Scan with merged schema; a tag list becomes a partition filter."""
     df = spark.read.format(fmt).option("mergeSchema", True).load(path)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from gridpulse.catalog import DEFAULT_PARAMS
-from gridpulse.sources.bronze import conform
+from gridpulse.sources.bronze import append_once
 
 
 def stream_readings(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -21,30 +23,47 @@ def stream_readings(spark: SparkSession, path: str, schema: str, fmt: str = "par
     return reader.load(path)
 
 
-def append_stream(readings: DataFrame, table: str, checkpoint: str, fmt: str = "parquet"):
-    """Typed rows appended to the Bronze layout; restarting with the same checkpoint continues where it stopped."""
-    return (
-        conform(readings)
-        .writeStream.format(fmt)
-        .partitionBy("tag", "date")
-        .option("checkpointLocation", checkpoint)
-        .option("path", table)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+def append_stream(readings: DataFrame, table: str, checkpoint: str, marks: str | None = None):
+    """Typed rows appended to the Bronze layout; restarting with the same checkpoint continues where it stopped.
+
+    Each micro-batch is written by `bronze.append_once` under the name of the query and its number, so a batch that is run
+    again after a failure replaces what it wrote before and adds neither rows nor files. With `marks`, the newest
+    reading of each tag is kept beside the table.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_once(batch, table, f"{query}-{number:09d}", marks)
+
+    return readings.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def hourly_mean_stream(readings: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Mean per asset, tag and hour; an hour is final once the watermark has passed its end."""
+    """Mean per asset, tag and hour; an hour is final once the watermark has passed its end.
+
+    A row without asset and tag is an end marker (`land_end_marker`): it only moves the watermark.
+    """
     return (
         readings.withWatermark("ts", late)
         .groupBy("asset_id", "tag", F.window("ts", "1 hour"))
-        .agg(F.avg("value").alias("value"))
+        # counted, as a filter on the keys would be moved before the watermark and keep the marker from it
+        .agg(F.avg("value").alias("value"), F.count_if(F.col("asset_id").isNotNull() | F.col("tag").isNotNull()).alias("n"))
+        .where("n > 0")
         .select("asset_id", "tag", F.col("window.start").alias("ts"), "value")
     )
 
 
+def land_end_marker(spark: SparkSession, path: str, last: datetime, schema: str, late: timedelta = timedelta(hours=2), fmt: str = "parquet") -> None:
+    """Land the end of the input: one row so late that the watermark closes the hour of `last` and all before it.
+
+    Hours are closed once: rows that arrive after the marker for an hour before it are late and left out.
+    """
+    at = last + late + timedelta(hours=2)
+    spark.createDataFrame([(at,)], "ts timestamp").select(
+        *[(F.col("ts") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]
+    ).coalesce(1).write.format(fmt).mode("append").save(path)
+
+
 def smooth_alerts_stream(flags: DataFrame, k: int = DEFAULT_PARAMS.smooth_k, m: int = DEFAULT_PARAMS.smooth_m) -> DataFrame:
     """(asset_id, ts, flag) to (asset_id, ts, flag, alert). The state of an asset is its last m flags.
 

@@ -170,6 +170,25 @@ def downcast_bounds(spark, sf):
     return ds.downcast_bounds(d)
 
 
+_GROUPED = {**dict.fromkeys(SIGNALS, "Variables Originales"), "gradient_hot_oil": "Features Térmicos", "load_factor_power": "Features Eléctricos",
+            "falla_30d": "Etiquetas de Predicción", "hora": "Otros Features"}
+_ADDED = f"""widened AS (SELECT *, {HOT} - {OIL} AS gradient_hot_oil, power_apparent_value / 100000.0 AS load_factor_power, CAST({HOT} >= 100 AS INTEGER) AS falla_30d,
+    hour % 24 AS hora FROM clean)"""
+
+
+@query("feature_groups", with_([*TO_CLEAN, _ADDED], " UNION ALL ".join(
+    f"SELECT '{c}' AS column, '{g}' AS grupo, count({c}) AS filled FROM widened" for c, g in _GROUPED.items())))
+def feature_groups(spark, sf):
+    """Columns by group (originals, thermal, electrical, labels, all others) and how many values each holds."""
+    hot = F.col(HOT)
+    wide = clean(spark, sf).withColumns({
+        "gradient_hot_oil": hot - F.col(OIL), "load_factor_power": F.col("power_apparent_value") / 100000.0,
+        "falla_30d": (hot >= 100).cast("int"), "hora": F.hour("ts")})
+    groups = ds.feature_groups(wide).drop("position")
+    filled = wide.agg(*[F.count(c).alias(c) for c in _GROUPED]).unpivot([], list(_GROUPED), "column", "filled")
+    return groups.join(F.broadcast(filled), "column")  # one row per column
+
+
 _N = 24
 
 

@@ -93,6 +93,31 @@ def high_water_mark(spark, sf):
     return bronze.high_water_marks(readings(spark, sf))
 
 
+@query(
+    "time_column_marks",
+    with_([READINGS], """SELECT 'ts' AS source, asset_id, tag, max(ts) AS mark FROM readings GROUP BY asset_id, tag
+        UNION ALL SELECT 'timestamp', asset_id, tag, max(ts) FROM readings GROUP BY asset_id, tag"""),
+)
+def time_column_marks(spark, sf):
+    """Tables that name their time column `ts` or `timestamp` are read alike."""
+    new = readings(spark, sf)
+    named = {"ts": new, "timestamp": new.withColumnRenamed("ts", "timestamp")}
+    found = [bronze.exact_marks(df).select(F.lit(name).alias("source"), "asset_id", "tag", "mark") for name, df in named.items()]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "numbered_names",
+    with_([READINGS], """SELECT asset_id AS position, tag || CASE WHEN n > 0 THEN '_' || n ELSE '' END AS name
+        FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY asset_id) - 1 AS n FROM (SELECT DISTINCT asset_id, tag FROM readings))"""),
+)
+def numbered_names(spark, sf):
+    """Series of several assets side by side: repeated names get a number, in order."""
+    from gridpulse.operators.clean import numbered_names as number
+
+    return number(readings(spark, sf).select(F.col("asset_id").alias("position"), F.col("tag").alias("name")).distinct())
+
+
 _RESUME = """marks AS (SELECT asset_id, tag, max(ts) AS mark FROM readings
     WHERE ts < TIMESTAMP '2024-01-16' AND tag <> 'voltage_value' GROUP BY ALL)"""
 

@@ -12,11 +12,13 @@ from gridpulse.models.explain import surrogate_importances
 from gridpulse.models.iforest import fit_forest
 from gridpulse.models.prep import scale, sequences
 from gridpulse.models.reconstruction import Reconstruction, feature_contributions, fit_reconstruction
-from gridpulse.plans.scoring import score_latest_window, score_rows
-from gridpulse.plans.training import evaluation_table, score_metrics, train
+from gridpulse.plans.scoring import score_latest_window, score_rows, score_table_file
+from gridpulse.plans.training import TrainedModel, evaluation_table, metrics_frame, model_info, score_metrics, train
 from gridpulse.session import fresh_dir
+from gridpulse.sources.bronze import stored_marks, wrong_marks
 from gridpulse.sources.driver_tables import table
-from gridpulse.streaming.ingest import append_stream, drain, hourly_mean_stream, smooth_alerts_stream, stream_readings
+from gridpulse.sources.tables import write_report
+from gridpulse.streaming.ingest import append_stream, drain, hourly_mean_stream, land_end_marker, smooth_alerts_stream, stream_readings
 from gridpulse.suite import given
 from gridpulse.suite.base import clean, query, readings
 from gridpulse.suite.datasets import _SPLIT, gold_table
@@ -367,6 +369,19 @@ def stream_hourly_mean(spark, sf):
     return spark.read.schema(_STREAM_SCHEMA).parquet(out)
 
 
+@query("stream_hourly_mean_closed", with_([READINGS], f"""SELECT asset_id, tag, date_trunc('hour', ts) AS ts, {r('avg(value)', 'value')} FROM readings
+        GROUP BY asset_id, tag, date_trunc('hour', ts)"""))
+def stream_hourly_mean_closed(spark, sf):
+    """All hours: an end marker lands after the readings and closes what was open. Equals the batch result."""
+    landed, out, state = (fresh_dir(spark, n) for n in ("arrivals", "stream-hourly", "stream-state"))
+    readings(spark, sf).write.parquet(landed)
+    last = readings(spark, sf).agg(F.max("ts")).first()[0]
+    drain(hourly_mean_stream(stream_readings(spark, landed, _STREAM_SCHEMA)), out, state)
+    land_end_marker(spark, landed, last, _STREAM_SCHEMA)
+    drain(hourly_mean_stream(stream_readings(spark, landed, _STREAM_SCHEMA)), out, state)
+    return spark.read.schema(_STREAM_SCHEMA).parquet(out)
+
+
 @query(
     "stream_smooth_alerts",
     with_([*TO_CLEAN, f"flags AS (SELECT *, CAST({HOT} >= 90 AS INTEGER) AS flag FROM clean)"],
@@ -394,3 +409,58 @@ def stream_append(spark, sf):
     return back.groupBy("tag", F.col("date").cast("string").alias("date")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")
     )
+
+
+@query("stored_marks", with_([READINGS], "SELECT asset_id, tag, max(ts) AS mark, CAST(0 AS BIGINT) AS wrong FROM readings GROUP BY asset_id, tag"))
+def stored_marks_query(spark, sf):
+    """Marks kept while readings arrive in two streams, and how many of them a scan of the readings contradicts."""
+    out, marks = fresh_dir(spark, "stream-bronze"), fresh_dir(spark, "marks")
+    for part in (F.col("asset_id") % 2 == 0, F.coalesce(F.col("asset_id") % 2 != 0, F.lit(True))):
+        path = fresh_dir(spark, "arrivals")
+        readings(spark, sf).where(part).withColumnRenamed("ts", "timestamp").write.parquet(path)
+        arrivals = stream_readings(spark, path, _STREAM_SCHEMA.replace("ts timestamp", "timestamp timestamp"))
+        append_stream(arrivals, out, fresh_dir(spark, "stream-state"), marks).awaitTermination()
+    kept = stored_marks(spark, marks)
+    wrong = wrong_marks(spark.read.parquet(out), kept).agg(F.count(F.lit(1)).alias("wrong"))
+    return kept.crossJoin(F.broadcast(wrong))  # one row
+
+
+# ---- files, bundles, inventory ----------------------------------------------------------------------------------
+
+_NEWEST = "newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY hour DESC) AS back FROM clean) WHERE back <= 200)"
+
+
+@query(
+    "file_scores",
+    with_([*TO_CLEAN, _NEWEST, given.SCALED.replace("FROM clean", "FROM newest"), given.ERRORS],
+          f"""SELECT asset_id, ts, {r('if_score', 'if_score')}, {r(f'CASE WHEN rn >= {given.STEPS} THEN recon_error END', 'recon_error')},
+        {r(_BOTH, 'score')}, CASE WHEN rn >= {given.STEPS} THEN 'both' ELSE 'forest' END AS basis,
+        CASE WHEN {_BOTH} >= 0.6 THEN 'ANOMALY' ELSE 'NORMAL' END AS label FROM scores"""),
+)
+def file_scores(spark, sf):
+    """A Parquet file scored by its newest 200 rows per asset."""
+    path = fresh_dir(spark, "to-score")
+    clean(spark, sf).write.parquet(path)
+    return score_table_file(spark, path, given.model(spark), newest=200)
+
+
+@query(
+    "model_inventory",
+    with_(
+        [*TO_CLEAN, *_EV, _SPLIT.format(src="rul"),
+         """valid AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY asset_id) AS n
+            FROM parts WHERE split = 'validation')"""],
+        f"""SELECT 'pca_windows_v1' AS model_version, true AS forest_loaded, true AS reconstruction_loaded, '{Params().beta}' AS f_beta,
+           count(*) AS evaluation_rows, sum(CAST(rul <= 15 AS BIGINT))::BIGINT AS positive FROM valid WHERE rn >= 24 AND rn <= n - 12""",
+    ),
+)
+def model_inventory(spark, sf):
+    """Version and parts of a saved model that was read back, its stored settings, and its stored evaluation counted."""
+    path, report = fresh_dir(spark, "model"), fresh_dir(spark, "report")
+    made = trained(spark, sf)
+    made.save(path)
+    write_report(metrics_frame(spark, made.meta), report)
+    info = model_info(spark, TrainedModel.load(spark, path)).drop("feature_order")
+    settings = spark.read.json(report).select(F.get_json_object("meta", "$.operate_f_beta").alias("f_beta"))
+    seen = spark.read.parquet(f"{path}/evaluation").agg(F.count(F.lit(1)).alias("evaluation_rows"), F.sum(F.col("y_true").cast("long")).alias("positive"))
+    return info.crossJoin(settings).crossJoin(seen)  # one row each
