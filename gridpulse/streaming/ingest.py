@@ -8,6 +8,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -88,6 +89,60 @@ def smooth_alerts_stream(flags: DataFrame, k: int = DEFAULT_PARAMS.smooth_k, m:
     )
 
 
+class _OrderedAlerts(StatefulProcessor):
+    """Holds an asset's rows until the watermark has passed them, then decides them in time order."""
+
+    def __init__(self, k: int, m: int):
+        self.k, self.m = k, m
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, flag int")
+        self.recent = handle.getValueState("recent", "flags array<int>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            pdf = pdf[pdf["flag"].notna()]
+            if key[0] is None or not len(pdf):
+                continue
+            self.waiting.appendList(list(zip(pdf["ts"].dt.to_pydatetime(), pdf["flag"].astype(int).tolist())))
+            self.handle.registerTimer(int(pdf["ts"].min().timestamp() * 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        held = sorted((pd.Timestamp(ts).tz_localize(None), flag) for ts, flag in self.waiting.get())
+        ready, rest = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
+        if not ready:
+            return iter(())
+        self.waiting.clear()
+        if rest:
+            self.waiting.put([(ts.to_pydatetime(), flag) for ts, flag in rest])
+            self.handle.registerTimer(int(rest[0][0].timestamp() * 1000))
+        before = list(self.recent.get()[0]) if self.recent.exists() else []
+        flags = np.array(before + [flag for _, flag in ready], dtype=np.int64)
+        total = np.concatenate([[0], np.cumsum(flags)])
+        end = np.arange(len(before), len(flags)) + 1
+        alerts = total[end] - total[np.maximum(end - self.m, 0)] >= self.k
+        self.recent.update((flags[-self.m :].tolist(),))
+        out = pd.DataFrame({"asset_id": key[0], "ts": [ts for ts, _ in ready], "flag": flags[len(before):].astype("int32"), "alert": alerts.astype("int32")})
+        return iter([out])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_alerts_stream(flags: DataFrame, k: int = DEFAULT_PARAMS.smooth_k, m: int = DEFAULT_PARAMS.smooth_m, late: str = "2 hours") -> DataFrame:
+    """`smooth_alerts_stream` for rows that come late: a row is decided once the watermark has passed it.
+
+    Rows up to `late` behind are put in order; later ones are left out by the watermark. The state of an asset is its last m
+    flags and the rows not yet passed; what arrives is stored batch by batch. An end marker decides what still waits. Needs
+    the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`).
+    """
+    return flags.withWatermark("ts", late).groupBy("asset_id").transformWithStateInPandas(
+        _OrderedAlerts(k, m), "asset_id long, ts timestamp, flag int, alert int", "Append", "EventTime")
+
+
 def drain(df: DataFrame, path: str, checkpoint: str):
     """Run over what is there and stop; results are files, not driver memory."""
     q = (

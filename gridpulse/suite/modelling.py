@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from gridpulse.session import fresh_dir
 from gridpulse.sources.bronze import stored_marks, wrong_marks
 from gridpulse.sources.driver_tables import table
 from gridpulse.sources.tables import write_report
-from gridpulse.streaming.ingest import append_stream, drain, hourly_mean_stream, land_end_marker, smooth_alerts_stream, stream_readings
+from gridpulse.streaming.ingest import append_stream, drain, hourly_mean_stream, land_end_marker, ordered_alerts_stream, smooth_alerts_stream, stream_readings
 from gridpulse.suite import given
 from gridpulse.suite.base import clean, query, readings
 from gridpulse.suite.datasets import _SPLIT, gold_table
@@ -398,6 +400,34 @@ def stream_smooth_alerts(spark, sf):
     return spark.read.schema("asset_id long, ts timestamp, flag int, alert int").parquet(out)
 
 
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query(
+    "stream_ordered_alerts",
+    with_([*TO_CLEAN, f"flags AS (SELECT *, CAST({HOT} >= 90 AS INTEGER) AS flag FROM clean)"],
+          f"""SELECT asset_id, ts, flag, CASE WHEN sum(flag) OVER ({W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) >= 4 THEN 1 ELSE 0 END AS alert FROM flags"""),
+)
+def stream_ordered_alerts(spark, sf):
+    """Flags of which some arrive up to five hours late, in a later batch; decided in time order behind the watermark."""
+    flags = clean(spark, sf).select("asset_id", "ts", (F.col(HOT) >= 90).cast("int").alias("flag"))
+    schema, late = "asset_id long, ts timestamp, flag int", timedelta(hours=6)
+    source, out, state = (fresh_dir(spark, n) for n in ("flags", "stream-alerts", "stream-state"))
+    early = F.col("ts") + F.make_dt_interval(hours=F.hour("ts") % 6) < F.lit("2024-01-15").cast("timestamp")
+    before = spark.conf.get(_ROCKS[0])
+    spark.conf.set(*_ROCKS)
+    try:
+        for part in (early, ~early, None):
+            if part is None:
+                land_end_marker(spark, source, flags.agg(F.max("ts")).first()[0], schema, late)
+            else:
+                flags.where(part).write.mode("append").parquet(source)
+            drain(ordered_alerts_stream(stream_readings(spark, source, schema), late="6 hours"), out, state)
+    finally:
+        spark.conf.set(_ROCKS[0], before)
+    return spark.read.schema("asset_id long, ts timestamp, flag int, alert int").parquet(out)
+
+
 @query("stream_append", with_([READINGS], f"SELECT tag, strftime(ts, '%Y-%m-%d') AS date, count(*) AS rows, {r('sum(value)', 'total')} FROM readings GROUP BY ALL"))
 def stream_append(spark, sf):
     """Streamed into the Bronze layout; a second run with the same checkpoint finds nothing new."""

@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from gridpulse.models.evaluate import smooth_alerts
 from gridpulse.session import fresh_dir
 from gridpulse.sources import bronze
-from gridpulse.streaming.ingest import drain, hourly_mean_stream, land_end_marker, smooth_alerts_stream, stream_readings
+from gridpulse.streaming.ingest import drain, hourly_mean_stream, land_end_marker, ordered_alerts_stream, smooth_alerts_stream, stream_readings
 from tests.helpers import panel_pdf
 
 
@@ -77,3 +79,26 @@ def test_end_marker_closes_open_hours_once(spark):
         drain(hourly_mean_stream(stream_readings(spark, src, schema)), out, state)
     want = rows.groupBy("asset_id", "tag", F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("value"))
     assert sorted(map(tuple, read().collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_alerts_of_rows_that_come_late_between_batches(spark):
+    """Each hour arrives in one of four batches, up to five hours behind; decisions equal those of the ordered series."""
+    key, schema = "spark.sql.streaming.stateStore.providerClass", "asset_id long, ts timestamp, flag int"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rng = np.random.default_rng(3)
+        pdf = panel_pdf(120)[["asset_id", "ts"]]
+        pdf["flag"] = rng.integers(0, 2, len(pdf)).astype("int32")
+        hour = pdf.groupby("asset_id").cumcount().to_numpy()
+        batch = np.minimum((hour + rng.integers(0, 5, len(pdf))) // 30, 3)
+        src, out, state = (fresh_dir(spark, n) for n in ("flags", "alerts", "state"))
+        for b in range(4):
+            spark.createDataFrame(pdf[batch == b].sample(frac=1, random_state=b), schema).coalesce(1).write.mode("append").parquet(src)
+            drain(ordered_alerts_stream(stream_readings(spark, src, schema), late="6 hours"), out, state)
+        land_end_marker(spark, src, pdf["ts"].max().to_pydatetime(), schema, timedelta(hours=6))
+        drain(ordered_alerts_stream(stream_readings(spark, src, schema), late="6 hours"), out, state)
+    finally:
+        spark.conf.unset(key)
+    got = spark.read.parquet(out).toPandas().sort_values(["asset_id", "ts"], ignore_index=True)
+    want = smooth_alerts(spark.createDataFrame(pdf, schema), "flag").toPandas().sort_values(["asset_id", "ts"], ignore_index=True)
+    assert len(got) == len(pdf) and (got["ts"] == want["ts"]).all() and (got["alert"] == want["alert"]).all()
