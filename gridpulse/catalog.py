@@ -265,7 +265,18 @@ TAG_POINTS = {
     "ventilador_1_mcb": "Fan 1 MCB",
     "ventilador_2": "Fan 2",
     "ventilador_2_mcb": "Fan 2 MCB",
-    **{f"ventilador_{n}_mcb": f"Fan {n} MCB" for n in range(3, 15)},
+    "ventilador_3_mcb": "Fan 3 MCB",
+    "ventilador_4_mcb": "Fan 4 MCB",
+    "ventilador_5_mcb": "Fan 5 MCB",
+    "ventilador_6_mcb": "Fan 6 MCB",
+    "ventilador_7_mcb": "Fan 7 MCB",
+    "ventilador_8_mcb": "Fan 8 MCB",
+    "ventilador_9_mcb": "Fan 9 MCB",
+    "ventilador_10_mcb": "Fan 10 MCB",
+    "ventilador_11_mcb": "Fan 11 MCB",
+    "ventilador_12_mcb": "Fan 12 MCB",
+    "ventilador_13_mcb": "Fan 13 MCB",
+    "ventilador_14_mcb": "Fan 14 MCB",
 }
 
 

@@ -11,7 +11,7 @@ from gridpulse.catalog import SIGNALS, Params
 from gridpulse.functions.columns import min_max_scale, weighted_score
 from gridpulse.models import evaluate as ev
 from gridpulse.models.explain import surrogate_importances
-from gridpulse.models.iforest import fit_forest
+from gridpulse.models.iforest import draw_samples, fit_forest
 from gridpulse.models.prep import scale, sequences
 from gridpulse.models.reconstruction import Reconstruction, feature_contributions, fit_reconstruction
 from gridpulse.plans.scoring import score_latest_window, score_rows, score_table_file
@@ -190,12 +190,14 @@ def isolation_forest_fit(spark, sf):
     """Shape of a fitted forest: every tree has one root, every inner node two children, and a sample of 256 where there are as many rows."""
     d = _vectors(spark, sf).where("label = 0")
     grown = fit_forest(d, ["vec_id"], trees=50)
+    drawn = draw_samples(d, "features", ["vec_id"], 50, grown.sample, 42, d.count()).groupBy(F.col("tree").cast("long").alias("tree")).agg(
+        (F.count(F.lit(1)) >= 256).cast("long").alias("full_sample"))
     per_tree = grown.nodes.groupBy(F.col("tree").cast("long").alias("tree")).agg(
         F.count_if(F.col("node") == 0).alias("roots"),
         F.count_if(F.col("feature") < 0).alias("leaves"), F.count_if(F.col("feature") >= 0).alias("inner"),
     )
     whole = per_tree.where(F.col("leaves") == F.col("inner") + 1)  # a tree that is not whole is missing from the result
-    return whole.select("tree", F.lit(int(grown.sample == 256)).cast("long").alias("full_sample"), "roots")
+    return whole.join(drawn, "tree").select("tree", "full_sample", "roots")
 
 
 _WIDTH = 64
