@@ -408,7 +408,7 @@ def copy_groups(docs: DataFrame, shingle: int, words: int, radius: int, similari
     held = scratch.write(held, "held")
     several = scratch.write(held.join(held.groupBy("key").count().where("count > 1"), "key", "left_semi"), "several")
     # one row speaks for all copies of a text, so that they do not meet in one task
-    speakers = rows.join(several, "text_hash").groupBy("text_hash", "key", "node").agg(F.min("doc_id").alias("doc_id"))
+    speakers = rows.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")).join(several, "text_hash")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.join(scratch.write(speakers, "speakers"), ["doc_id", "text_hash"]).dropDuplicates(["text_hash"])
     texts = texts.select("key", "node", F.length("text").alias("weight"), "text")
