@@ -41,6 +41,7 @@ BLOCK_WORDS = 2_000_000
 MOST_TABLES = 4096
 ENOUGH_TABLES = 256  # of one walk; beyond, more walks are taken
 MOST_WALKS = 64
+SLICE_ROWS = 2048  # texts looked at together, within a bound of characters
 
 
 def words(text: str | None) -> list[str]:
@@ -155,15 +156,19 @@ class Benchmark:
         out: dict[tuple[int, int, int], tuple[int, int]] = {}
         stop = (begin + sizes - 1)[text]  # end of the text, for each place
         two = np.append(ids[:-1] << 32 | ids[1:], 0) if len(ids) else ids
-        pair = np.concatenate([[0], np.cumsum(_within(two, self.pairs))]).astype(np.int32)
+        met = np.zeros(len(two), dtype=bool)
+        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        met[both] = _within(two[both], self.pairs)
+        pair = np.concatenate([[0], np.cumsum(met, dtype=np.int32)])
+        longest = max(self.items, default=1)
+        pair = np.concatenate([pair, np.full(longest, pair[-1], dtype=np.int32)])  # windows may run past the end
         lengths: dict[int, list[int]] = {}
         for n in self.items:
             lengths.setdefault(limit(n, self.slack), []).append(n)
         for d, group in lengths.items():
             # the first `least` words of a window of any of these lengths hold that many known pairs
             least = min(group)
-            end = np.minimum(np.arange(len(ids)) + least - 1, len(ids))
-            some = pair[end] - pair[:-1] >= least - 1 - 2 * d
+            some = pair[least - 1 : least - 1 + len(ids)] - pair[: len(ids)] >= least - 1 - 2 * d
             dense = np.flatnonzero(some & (ids > 0) if d == 0 else some)
             for n in group:
                 for start in np.array_split(dense, math.ceil(len(dense) / 4096)) if len(dense) else []:
@@ -187,16 +192,23 @@ class Benchmark:
         if not met:
             return
         w, i = np.array(sorted(met)).T
-        for part in np.array_split(np.arange(len(w)), math.ceil(len(w) / 1024)):
-            at = start[w[part]]
-            place = at[:, None] - d + np.arange(n + 2 * d)
-            of = text[at]
-            inside = (place >= begin[of][:, None]) & (place < stop[at][:, None])
+        # windows of one text that start within d words of the first and propose the same item are verified together
+        at, of = start[w], text[start[w]]
+        order = np.lexsort((at, i, of))
+        at, of, i = at[order], of[order], i[order]
+        heads, last = [], None
+        for k, key in enumerate(zip(of.tolist(), i.tolist(), at.tolist())):
+            if last is None or key[:2] != last[:2] or key[2] - last[2] > d:
+                heads.append(k)
+                last = key
+        for part in np.array_split(np.array(heads), math.ceil(len(heads) / 1024)):
+            place = at[part][:, None] - d + np.arange(n + 3 * d)
+            inside = (place >= begin[of[part]][:, None]) & (place < stop[at[part]][:, None])
             around = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], 0)
             distance, shift = passage_distances(np.stack([item_of[x][1] for x in i[part].tolist()]), around)
             for k in np.flatnonzero(distance <= d).tolist():
-                t = int(of[k])
-                first = max(0, int(at[k]) - d + int(shift[k]) - int(begin[t]))
+                t = int(of[part[k]])
+                first = max(0, int(at[part[k]]) - d + int(shift[k]) - int(begin[t]))
                 key, found = (t, n, int(i[part[k]])), (int(distance[k]), first)
                 out[key] = min(out.get(key, found), found)
 
@@ -327,7 +339,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, reca
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
+            for part in slices(batches, rows=SLICE_ROWS):
                 best: dict[tuple, tuple] = {}
                 ids = part.column("doc_id").to_pylist()
                 for at, item, first, n, distance in shared.value.matches(part.column("text").to_pylist()):
@@ -362,7 +374,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, slack: float = 0.2, recall: flo
             held, size = np.zeros(len(texts), dtype=bool), np.cumsum(texts.str.len().fillna(0).to_numpy())
             at = 0
             while at < len(texts):  # a bounded number of rows and characters at a time
-                end = min(at + 256, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 4_000_000, side="right"))))
+                end = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 4_000_000, side="right"))))
                 for found in shared.value.matches(texts.iloc[at:end].tolist()):
                     held[at + found[0]] = True
                 at = end
