@@ -2,16 +2,18 @@
 
 In this vocabulary white space is dropped and a piece ends where an ASCII letter is followed by ASCII punctuation, so the
 ids of a text are those of such chunks one after another. The chunks of a slice of texts are counted out by Arrow; only
-those not met before are given to the library (its normaliser, splitter and BPE model), and the texts' ids are gathered
-from the chunks' ids. Texts that may hold an added token are encoded whole. What is remembered is bounded.
+those not met before are given to the library, and the texts' ids are gathered from the chunks' ids. Chunks of ASCII and
+Latin-1 letters are one word each, so they need its BPE model only, many in one call: the last id of a word, and no other,
+has the vocabulary's end mark. All others go through its normaliser and splitter, too. Texts that may hold an added token
+are encoded whole. What is remembered is bounded; when it is full, chunks met again stay.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
-from typing import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -19,69 +21,127 @@ import pyarrow as pa
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 REMEMBERED = 400_000  # chunks
+TOGETHER = 500  # words to a call of the model
 PIECE_BYTES = 4_000_000
-_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LETTER = np.array([chr(c).isascii() and chr(c).isalpha() for c in range(256)])
-_SIGN = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
-_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
-_PLAIN = re.compile(rb"[a-z]+")
+_WHITE = frozenset(b"\t\n\v\f\r ")
 _ADDED = b"<|"  # every added token starts with it
 
 
+def _letters(raw: np.ndarray) -> np.ndarray:
+    return ((raw | 32) - 97) < 26
+
+
 class WordEncoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._library = Tokenizer.from_file(path)
+        self._words = Tokenizer(self._library.model)
+        self._words.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark, vocabulary = self._library.model.end_of_word_suffix, self._library.get_vocab(with_added_tokens=False)
+        self._last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self._last[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
         self._remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
         self._slot: dict[bytes, int] = {}
         self._ids = np.zeros(1 << 16, dtype=np.uint32)
         self._end = np.zeros(1, dtype=np.int64)  # ids of slot i end at _end[i + 1]
+        self._met = np.zeros(0, dtype=np.int64)  # slices that had it
 
-    def _encode(self, chunks: list[bytes]) -> Iterator[list[int]]:
-        model, other = self._library.model, iter(self._library.encode_batch_fast(
-            [c.decode() for c in chunks if not _PLAIN.fullmatch(c)], add_special_tokens=False))
-        for c in chunks:
-            yield [t.id for t in model.tokenize(c.decode())] if _PLAIN.fullmatch(c) else next(other).ids
+    def _forget(self) -> None:
+        """Keep the chunks met again, half of what may be remembered at most."""
+        least = 2
+        while np.count_nonzero(self._met >= least) > self._remembered // 2:
+            least *= 2
+        keep = np.flatnonzero(self._met >= least)
+        many = self._end[keep + 1] - self._end[keep]
+        ids = self._gather(keep, many)
+        self._ids = np.zeros(max(1 << 16, len(ids)), dtype=np.uint32)
+        self._ids[: len(ids)] = ids
+        self._end = np.append(0, np.cumsum(many))
+        chunks = list(self._slot)  # in the order of the slots
+        self._slot = {chunks[i]: k for k, i in enumerate(keep.tolist())}
+        self._met = self._met[keep] // 2
+
+    def _gather(self, slot: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Ids of the slots, one after another."""
+        at = np.repeat(self._end[slot] - (np.cumsum(many) - many), many)
+        at += np.arange(len(at))
+        return self._ids[at]
+
+    def _of_words(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of these sizes, one after another, and how many lie between end marks."""
+        stop = np.cumsum(size)
+        text = np.insert(raw, stop, 32).tobytes()
+        cuts = [0, *(stop + np.arange(1, len(stop) + 1))[TOGETHER - 1 :: TOGETHER].tolist(), len(text)]
+        found = [x.ids for i, j in itertools.pairwise(cuts) if i < j
+                 for x in self._words.encode_batch_fast([text[i:j].decode()], add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32)
+        return ids, np.diff(np.flatnonzero(self._last[ids]), prepend=-1)
+
+    def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the chunks; in that order their ids, one after another, and how many each has."""
+        size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        raw = np.frombuffer(b"".join(chunks), dtype=np.uint8).copy()
+        lead = raw[:-1] == 0xC3
+        lead &= (raw[1:] != 0x97) & (raw[1:] != 0xB7)  # the signs among the letters
+        raw[1:][lead & (raw[1:] < 0x9F)] += 32  # to lower case
+        other = ~_letters(raw)
+        other[:-1] &= ~lead
+        other[1:] &= ~lead
+        plain = ~np.logical_or.reduceat(other, np.cumsum(size) - size)
+        ids, many = self._of_words(raw[np.repeat(plain, size)], size[plain])
+        if len(many) != np.count_nonzero(plain):  # a word without an end mark, not in the default vocabulary
+            ids, many, plain = ids[:0], many[:0], np.zeros_like(plain)
+        rest = np.flatnonzero(~plain)
+        found = [x.ids for x in self._library.encode_batch_fast([chunks[i].decode() for i in rest.tolist()], add_special_tokens=False)]
+        return (np.append(np.flatnonzero(plain), rest),
+                np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32)]),
+                np.concatenate([many, np.array([len(x) for x in found], dtype=np.int64)]))
 
     def _slots(self, chunks: list[bytes]) -> np.ndarray:
-        if len(self._slot) + len(chunks) > self._remembered:
+        def known() -> np.ndarray:
+            return np.fromiter(map(self._slot.get, chunks, itertools.repeat(-1)), dtype=np.int64, count=len(chunks))
+
+        slot = known()
+        if len(self._slot) and len(self._slot) + np.count_nonzero(slot < 0) > self._remembered:
             self._forget()
-        new = [c for c in chunks if c not in self._slot]
-        if new:
-            found = list(self._encode(new))
-            ends = self._end[-1] + np.cumsum([len(x) for x in found])
-            if ends[-1] > len(self._ids):
-                self._ids = np.concatenate([self._ids, np.zeros(max(len(self._ids), int(ends[-1])), dtype=np.uint32)])
-            self._ids[self._end[-1] : ends[-1]] = [t for x in found for t in x]
-            base = len(self._slot)
-            self._end = np.concatenate([self._end, ends])
-            self._slot.update(zip(new, range(base, base + len(new))))
-        return np.fromiter(map(self._slot.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+            slot = known()
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            order, ids, many = self._encode([chunks[i] for i in missing.tolist()])
+            missing, start, base = missing[order], int(self._end[-1]), len(self._slot)
+            if start + len(ids) > len(self._ids):
+                self._ids = np.concatenate([self._ids, np.zeros(max(len(self._ids), start + len(ids)), dtype=np.uint32)])
+            self._ids[start : start + len(ids)] = ids
+            self._end = np.concatenate([self._end, start + np.cumsum(many)])
+            self._met = np.concatenate([self._met, np.zeros(len(missing), dtype=np.int64)])
+            slot[missing] = np.arange(base, base + len(missing))
+            self._slot.update(zip([chunks[i] for i in missing.tolist()], range(base, base + len(missing))))
+        self._met[slot] += 1
+        return slot
 
     def _pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts raw[offsets[i] : offsets[i + 1]], one after another, and how many each has."""
-        inside = ~_WHITE[raw]
-        edge = np.zeros(len(raw) + 1, dtype=bool)
-        edge[offsets] = True
-        first = inside.copy()
-        first[1:] &= ~inside[:-1] | edge[1:-1] | _LETTER[raw[:-1]] & _SIGN[raw[1:]]
+        white, letter = ((raw - 9) < 5) | (raw == 32), _letters(raw)
+        sign = ((raw - 33) < 94) & ~letter & ((raw - 48) >= 10)
+        first = ~white
+        first[1:] &= white[:-1] | letter[:-1] & sign[1:]
+        edge = offsets[offsets < len(raw)]
+        first[edge] = ~white[edge]
         start = np.flatnonzero(first)
         if not len(start):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets) - 1, dtype=np.int64)
-        bare = _LOWER[raw[inside]]
-        where = np.append((np.cumsum(inside) - 1)[start], len(bare)).astype(np.int32)
+        last = ~white
+        last[:-1] &= white[1:] | first[1:]
+        where = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - start)).astype(np.int32)
+        bare = (raw + (((raw - 65) < 26).view(np.uint8) << 5))[~white]
         chunks = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(where), pa.py_buffer(bare)]).dictionary_encode()
-        slot = self._slots(chunks.dictionary.to_pylist())[chunks.indices.to_numpy(zero_copy_only=False)]
+        slot = self._slots(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())[chunks.indices.to_numpy(zero_copy_only=False)]
         many = self._end[slot + 1] - self._end[slot]
-        stop = np.cumsum(many)
-        ids = self._ids[np.repeat(self._end[slot] - (stop - many), many) + np.arange(stop[-1])]
-        text = np.searchsorted(offsets[1:], start, side="right")
-        return ids, np.bincount(text, weights=many, minlength=len(offsets) - 1).astype(np.int64)
+        before = np.append(0, np.cumsum(many))
+        return self._gather(slot, many), np.diff(before[np.searchsorted(start, offsets)])
 
     def _whole(self, text: str, chars: int) -> np.ndarray:
         """One text by the library, cut at white space if it is very long."""
@@ -113,7 +173,7 @@ class WordEncoder:
         out, at = [], 0
         while at < len(raw):
             end = min(at + PIECE_BYTES, len(raw))
-            while end < len(raw) and not _WHITE[raw[end]]:
+            while end < len(raw) and int(raw[end]) not in _WHITE:
                 end += 1
             out.append(self._pieces(raw[at:end], np.array([0, end - at]))[0])
             at = end

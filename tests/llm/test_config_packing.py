@@ -47,6 +47,43 @@ def test_long_texts_are_read_in_parts(library, monkeypatch):
     assert word_encoder().ids([text])[0].tolist() == library(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZéÉßÿŸ×÷ÃãÞþªİ1' \u0301"), max_size=30), min_size=1, max_size=5))
+def test_ids_of_latin_letters_equal_the_library(library, texts):
+    ids, many = WordEncoder(public_tokenizers.path("word_bpe_49k.json"), remembered=20).ids(texts) if len(texts) > 3 else word_encoder().ids(texts)
+    want = [library(t) for t in texts]
+    assert many.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_new_word_costs_no_call_of_its_own(library):
+    import sys
+
+    words = sorted({"".join(w) for w in itertools.product(["an", "th", "é", "ing", "ß", "Ou"], repeat=5)})
+    encoder, calls = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        ids, many = encoder.ids([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert ids.tolist() == library(" ".join(words)) and many.tolist() == [len(ids)]
+    assert calls[0] < len(words) / 5
+
+
+def test_words_met_again_are_remembered(library):
+    encoder, sent = WordEncoder(public_tokenizers.path("word_bpe_49k.json"), remembered=100), []
+    encode = encoder._encode
+    encoder._encode = lambda chunks: sent.extend(chunks) or encode(list(chunks))
+    for k in range(30):
+        text = f"often and again {' '.join(f'w{chr(97 + k % 26)}{chr(97 + i)}{k}' for i in range(20))}"
+        assert encoder.ids([text])[0].tolist() == library(text)
+        assert len(encoder._slot) <= 100
+    assert sent.count(b"often") == sent.count(b"again") == 1
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_knapsack_equals_enumeration(seed):
     r = np.random.default_rng(seed)
